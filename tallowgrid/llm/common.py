@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,86 @@ def crc_remainder(column: str, modulus: int) -> Column:
 def held_out(column: str, modulus: int, remainder: int) -> Column:
     """True for rows that learning must not see; rows without an id are never learned from."""
     return F.coalesce(crc_remainder(column, modulus) == F.lit(remainder), F.lit(True))
+
+
+def map_texts(docs: DataFrame, columns: list[str], text: str, make, schema: str) -> DataFrame:
+    """Columns of docs with what ``make()(texts)`` finds for the batch's texts appended.
+
+    ``make`` runs once a task and returns a function from a list of texts to arrays; ``schema`` names
+    and types them.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    rows = docs.select(*columns, F.col(text).alias("__text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+
+    def run(batches):
+        find = make()
+        for batch in batches:
+            if batch.num_rows:
+                found = find(batch.column(batch.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found)], names=[*batch.schema.names[:-1], *names])
+
+    return rows.mapInArrow(run, f"{kept}, {schema}")
+
+
+def keep_texts(docs: DataFrame, make, text: str = "text") -> DataFrame:
+    """Rows of docs, all columns as they are, for whose texts ``make()(texts)`` is true."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        find = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(find(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def agreed_labels(labels: DataFrame, name: str) -> DataFrame:
+    """doc_id and label of the documents whose label rows are not null and agree."""
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min(name).cast("int").alias("label"), F.max(name).cast("int").alias("__most"))
+        .where(F.col("label") == F.col("__most"))
+        .drop("__most")
+    )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, name: str, modulus: int, remainder: int, each: int) -> DataFrame:
+    """doc_id, text, label of at most ``each`` rows a label, never held out; the same rows every time.
+
+    The rows are those with the smallest hashes of their ids, so the sample is spread over all rows.
+    """
+    known = agreed_labels(labels, name).where(~held_out("doc_id", modulus, remainder)).join(docs.select("doc_id").distinct(), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = [known.where(F.col("label") == F.lit(v)).orderBy(*order).limit(each) for v in (0, 1)]
+    # At most 2 * each ids: small by parameter, so this side may be broadcast.
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+
+
+def logistic(features: np.ndarray, target: np.ndarray, ridge: float = 1e-2, rate: float | None = None) -> dict:
+    """Ridge logistic regression by Newton's method on standardised features.
+
+    ``rate``: the share of label 1 that the rows are weighted to have.
+    """
+    mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-9
+    x = np.column_stack([np.ones(len(features)), (features - mean) / scale])
+    have = min(max(target.mean(), 1e-3), 1 - 1e-3)
+    want = have if rate is None else min(max(rate, 1e-3), 1 - 1e-3)
+    weight = np.where(target == 1, want / have, (1 - want) / (1 - have))
+    beta = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge * len(target))
+    penalty[0] = 1e-6
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (target - p)) - penalty * beta)
+        beta += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return {"mean": mean, "scale": scale, "beta": beta}
+
+
+def probability(model: dict, features: np.ndarray) -> np.ndarray:
+    z = model["beta"][0] + ((features - model["mean"]) / model["scale"]) @ model["beta"][1:]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))

@@ -5,21 +5,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallowgrid.llm import tokens
+from tallowgrid.llm import language, quality, tokens, toxicity
 from tallowgrid.session import table
 
 
+def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify_documents(docs, language.fit(docs))
+
+
 def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokens.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return tokens.read_shards(manifest)
 
 
 QUERIES = {
+    "op2_rank_order_language": op2_rank_order_language,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
+    "op5_compression_quality": op5_compression_quality,
+    "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op8_token_shards": op8_token_shards,
 }
 ORACLES: dict[str, str] = {}
