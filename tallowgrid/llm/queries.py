@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallowgrid.llm import language, quality, tokens, toxicity
+from tallowgrid.llm import hosts, language, mixing, quality, tokens, toxicity
 from tallowgrid.session import table
 
 
@@ -18,6 +18,10 @@ def op3_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,11 +37,20 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(manifest)
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_rank_order_language": op2_rank_order_language,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
+    "op4_weighted_mix": op4_weighted_mix,
     "op5_compression_quality": op5_compression_quality,
     "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op8_token_shards": op8_token_shards,
+    "op9_host_rules": op9_host_rules,
+}
+ORACLES: dict[str, str] = {
+    "op4_weighted_mix": mixing.ORACLE_SQL,
+    "op9_host_rules": hosts.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {}
