@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallowgrid.llm import hosts, language, mixing, quality, tokens, toxicity
+from tallowgrid.llm import hosts, language, mixing, quality, tokens, toxicity, warc
 from tallowgrid.session import table
 
 
+def op1_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify_documents(docs, language.fit(docs))
@@ -42,6 +46,7 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_zip_warc": op1_zip_warc,
     "op2_rank_order_language": op2_rank_order_language,
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op4_weighted_mix": op4_weighted_mix,
@@ -51,6 +56,7 @@ QUERIES = {
     "op9_host_rules": op9_host_rules,
 }
 ORACLES: dict[str, str] = {
+    "op1_zip_warc": warc.ORACLE_SQL,
     "op4_weighted_mix": mixing.ORACLE_SQL,
     "op9_host_rules": hosts.ORACLE_SQL,
 }
