@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallowgrid.llm import hosts, language, mixing, quality, tokens, toxicity, warc
+from tallowgrid.llm import hosts, language, mixing, mtree, quality, tokens, toxicity, warc
 from tallowgrid.session import table
 
 
@@ -31,6 +32,11 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -51,6 +57,7 @@ QUERIES = {
     "op3_cost_balanced_packing": op3_cost_balanced_packing,
     "op4_weighted_mix": op4_weighted_mix,
     "op5_compression_quality": op5_compression_quality,
+    "op6_mtree_top_k": op6_mtree_top_k,
     "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op8_token_shards": op8_token_shards,
     "op9_host_rules": op9_host_rules,
@@ -58,5 +65,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_zip_warc": warc.ORACLE_SQL,
     "op4_weighted_mix": mixing.ORACLE_SQL,
+    "op6_mtree_top_k": mtree.ORACLE_SQL,
     "op9_host_rules": hosts.ORACLE_SQL,
 }
