@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowgrid.llm import hosts, language, mixing, mtree, quality, tokens, toxicity, warc
+from tallowgrid.llm import hosts, jaccard, language, mixing, mtree, quality, tokens, toxicity, warc
 from tallowgrid.session import table
 
 
@@ -51,6 +51,10 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_zip_warc": op1_zip_warc,
     "op2_rank_order_language": op2_rank_order_language,
@@ -61,10 +65,12 @@ QUERIES = {
     "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op8_token_shards": op8_token_shards,
     "op9_host_rules": op9_host_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op1_zip_warc": warc.ORACLE_SQL,
     "op4_weighted_mix": mixing.ORACLE_SQL,
     "op6_mtree_top_k": mtree.ORACLE_SQL,
+    "op10_jaccard_join": jaccard.ORACLE_SQL,
     "op9_host_rules": hosts.ORACLE_SQL,
 }
