@@ -546,3 +546,28 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y F
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d
 LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id
 """
+
+
+def keep_first(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """The documents, all columns kept, less all but one of each component.
+
+    The row of the smallest doc_id stays (of equal ids, that of the smallest text hash; of equal rows,
+    one). Rows without a shingle all stay. What goes is joined by (doc_id, text hash): by broadcast up
+    to ``broadcast_rows``, else by a shuffle.
+    """
+    rows = materialise(cluster(docs, **options).where("n_shingles > 0"), "jaccard-rows")
+    ordered = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    classes = rows.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    # Rows whose component has no id at all are components by their class only in cluster(); null ids
+    # of one null component would be one group here, so each of them is left alone.
+    named = classes.where("component_id IS NOT NULL")
+    first = named.groupBy("component_id").agg(F.min(ordered).alias("first"))
+    judged = named.join(first, "component_id").withColumn("stays", ordered == F.col("first"))
+    gone = judged.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("stays").alias("__once"))
+    gone = materialise(gone, "jaccard-gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    keyed = docs.withColumn("__text_hash", F.xxhash64("text")).withColumn("__long_id", F.col("doc_id").cast("long"))
+    joined = keyed.join(side, keyed["__long_id"].eqNullSafe(side["__id"]) & (keyed["__text_hash"] == side["__hash"]) & keyed["text"].isNotNull(), "left")
+    plain = joined.where("__once IS NULL").select(*docs.columns)
+    once = joined.where("__once").dropDuplicates(["__long_id", "__text_hash"]).select(*docs.columns)
+    return plain.unionByName(once)

@@ -16,24 +16,26 @@ _SYMBOLS = "#*$%&|<>!"
 
 
 def keyed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, key, bucket of every row.
+    """docs with the columns __source, __size, __key and __bucket.
 
     The key is -ln(u) / w: u is uniform, from the md5 of seed and doc_id, so reruns agree; w is the
     document's quality weight, 1 less its symbols per word, 0.1 at least. Ascending keys are a draw
-    without replacement with chances in proportion to w. ``bucket`` is a class of the key that ascends
+    without replacement with chances in proportion to w. The bucket is a class of the key that ascends
     with it.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        "source",
-        F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"),
-        (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).alias("symbols"),
+    rows = docs.withColumns(
+        {
+            "__source": F.col("source").cast("string"),
+            "__size": F.regexp_count(text, F.lit(_WORD)).cast("long"),
+            "__symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))),
+        }
     )
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    w = F.greatest(F.lit(0.1), 1.0 - F.col("symbols") / F.greatest(F.col("size"), F.lit(1)))
-    rows = rows.select("doc_id", "source", "size", (-F.ln(u) / w).alias("key"))
-    return rows.withColumn("bucket", F.floor(BUCKETS * F.col("key") / (1.0 + F.col("key"))).cast("int"))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), number)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+    w = F.greatest(F.lit(0.1), 1.0 - F.col("__symbols") / F.greatest(F.col("__size"), F.lit(1)))
+    rows = rows.withColumn("__key", -F.ln(u) / w).drop("__symbols")
+    return rows.withColumn("__bucket", F.floor(BUCKETS * F.col("__key") / (1.0 + F.col("__key"))).cast("int"))
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def source_targets(rows: DataFrame) -> DataFrame:
     / weight, those before the first that the level, shared by it and all after it, doesn't fill are at
     their stop. The windows have a row a source.
     """
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (place % len(WEIGHTS) + 1).cast("int"))
     sums = sums.withColumn("weight", weight).withColumn("stop", (MOST * F.col("source_size")).cast("double"))
@@ -60,37 +62,70 @@ def source_targets(rows: DataFrame) -> DataFrame:
     return sums.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row.
+def copies(rows: DataFrame) -> DataFrame:
+    """Rows with keys, and the columns __source_size, __target, __copies: how often each is taken.
 
     Complete epochs come first: each document is taken floor(target / source_size) times. The rest of
     the target is drawn in ascending key order: a document is taken once more if it brings the sum
     nearer to the target (sum before + size / 2 <= rest), so the sum ends within half a document of it.
-    Whole documents are taken. Null texts have size 0; rows that share a doc_id share a key and are
-    ordered by size; a null source is a source; no rows, no result.
 
     The running sums of a source are never one task's work: sums by (source, bucket) place all buckets
     but one, and only the documents of that one bucket are put in order.
     """
-    rows = materialise(keyed(docs, seed), "mix-keys")
     targets = source_targets(rows)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = targets.select("source", "source_size", "target", epochs.cast("long").alias("epochs"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    sums = rows.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
     sums = sums.withColumn("upto", upto).alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
     # The first bucket whose sum passes the rest; all before are taken, all after are not.
     edge = F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))
     edges = sums.groupBy("p.source", "source_size", "target", "epochs", "rest").agg(F.min(F.when(F.col("upto") > F.col("rest"), edge)).alias("edge"))
-    edges = edges.select(F.col("source").alias("__source"), "source_size", "target", "epochs", "rest", F.coalesce("edge.bucket", F.lit(BUCKETS + 1)).alias("edge"), F.coalesce("edge.before", F.lit(0)).alias("before"))
-    joined = rows.join(edges, rows["source"].eqNullSafe(edges["__source"]))
-    out = ["doc_id", "size", "source_size", "target"]
-    plain = joined.where(F.col("bucket") != F.col("edge")).select(*out, (F.col("size") * (F.col("epochs") + (F.col("bucket") < F.col("edge")).cast("int"))).alias("taken"))
-    order = Window.partitionBy("__source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    drawn = joined.where(F.col("bucket") == F.col("edge")).withColumn("once", (ahead + F.col("size") / 2.0 <= F.col("rest")).cast("int"))
-    return plain.unionByName(drawn.select(*out, (F.col("size") * (F.col("epochs") + F.col("once"))).alias("taken")))
+    edges = edges.select(
+        F.col("source").alias("__of"),
+        F.col("source_size").alias("__source_size"),
+        F.col("target").alias("__target"),
+        F.col("epochs").alias("__epochs"),
+        F.col("rest").alias("__rest"),
+        F.coalesce("edge.bucket", F.lit(BUCKETS + 1)).alias("__edge"),
+        F.coalesce("edge.before", F.lit(0)).alias("__before"),
+    )
+    edges = materialise(edges, "mix-edges")  # a row a source
+    joined = rows.join(edges, rows["__source"].eqNullSafe(edges["__of"]))
+    plain = joined.where(F.col("__bucket") != F.col("__edge")).withColumn("__copies", F.col("__epochs") + (F.col("__bucket") < F.col("__edge")).cast("int"))
+    order = Window.partitionBy("__of").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("__before") + F.coalesce(F.sum("__size").over(order), F.lit(0))
+    once = (ahead + F.col("__size") / 2.0 <= F.col("__rest")).cast("int")
+    drawn = joined.where(F.col("__bucket") == F.col("__edge")).withColumn("__copies", F.col("__epochs") + once)
+    return plain.unionByName(drawn)
+
+
+def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row.
+
+    Whole documents are taken. Null texts have size 0; rows that share a doc_id share a key and are
+    ordered by size; a null source is a source; no rows, no result. Keys and sizes are written once,
+    narrow, for the sums and the result.
+    """
+    rows = keyed(docs, seed).select(F.col("doc_id").cast("long").alias("doc_id"), "__source", "__size", "__key", "__bucket")
+    found = copies(materialise(rows, "mix-keys"))
+    return found.select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__copies")).alias("taken"),
+    )
+
+
+def repeat_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix itself: each document, all columns kept, as many times as it is taken.
+
+    Documents without a word take part in no target and are left out.
+    """
+    found = copies(keyed(docs, seed)).where((F.col("__size") > 0) & (F.col("__copies") > 0))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 #: DuckDB SQL of ``mix`` on documents.
