@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallowgrid.plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "coverage_quartile_mcc"
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

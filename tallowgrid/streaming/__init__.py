@@ -1,0 +1 @@
+"""Streaming: the described scope has no stream, window of time or stateful operator, so nothing is built."""
