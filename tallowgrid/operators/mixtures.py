@@ -59,9 +59,14 @@ def interaction(a: Column, b: Column) -> Column:
     return a * b
 
 
+def covered(category: str) -> Column:
+    """Aggregate: the share of rows with a known category."""
+    return F.count(category) / F.count("*")
+
+
 def coverage(rows: DataFrame, by: str, category: str) -> DataFrame:
     """Share of a mixture's ingredients with a known category."""
-    return rows.groupBy(by).agg((F.count(category) / F.count("*")).alias("coverage"))
+    return rows.groupBy(by).agg(covered(category).alias("coverage"))
 
 
 def active_rank(rows: DataFrame, by: str, conc: str, keys: list[str]) -> DataFrame:
@@ -84,8 +89,8 @@ CT_RULES = [
 ]
 
 
-def additivity(rows: DataFrame, by: str, category: str, conc: str, endpoint: str = "eye", strong: tuple = ("1",), weak: tuple = ("2A", "2B", "2")) -> DataFrame:
-    """s1, s2, n_missing, category: the additive mixture rule.
+def additivity(rows: DataFrame, by: str, category: str, conc: str, endpoint: str = "eye", strong: tuple = ("1",), weak: tuple = ("2A", "2B", "2"), extra: dict[str, Column] | None = None) -> DataFrame:
+    """s1, s2, n_missing, category: the additive mixture rule; ``extra`` aggregates come of the same pass.
 
     s1 and s2 are the sums of concentrations of the stronger and weaker categories; unknown
     concentrations are left out and counted, and the category is null if none is known. The first rule
@@ -93,10 +98,10 @@ def additivity(rows: DataFrame, by: str, category: str, conc: str, endpoint: str
     margin of 1e-9, so that the order of addition doesn't decide.
     """
     pick = lambda names: F.coalesce(F.sum(F.when(F.col(category).isin(*names), F.col(conc))), F.lit(0.0))
-    out = rows.groupBy(by).agg(pick(strong).alias("s1"), pick(weak).alias("s2"), F.count(F.when(F.col(conc).isNull(), 1)).alias("n_missing"), F.count(conc).alias("__known"))
+    out = rows.groupBy(by).agg(pick(strong).alias("s1"), pick(weak).alias("s2"), F.count(F.when(F.col(conc).isNull(), 1)).alias("n_missing"), F.count(conc).alias("__known"), *[c.alias(n) for n, c in (extra or {}).items()])
     result = None
     for e, _, w1, w2, cutoff, name in CT_RULES:
         if e == endpoint:
             test = w1 * F.col("s1") + w2 * F.col("s2") >= cutoff - 1e-9
             result = F.when(test, name) if result is None else result.when(test, name)
-    return out.select(by, "s1", "s2", "n_missing", F.when(F.col("__known") > 0, result.otherwise("NC")).alias("category"))
+    return out.select(by, "s1", "s2", "n_missing", F.when(F.col("__known") > 0, result.otherwise("NC")).alias("category"), *(extra or {}))

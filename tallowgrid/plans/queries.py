@@ -9,7 +9,7 @@ from tallowgrid.functions import scalars
 from tallowgrid.functions.scalars import comparable as c6
 from tallowgrid.operators import folds, labels, matrix, metrics, mixtures, models, ranks
 from tallowgrid.plans import fixtures as fx
-from tallowgrid.session import shared_root, table
+from tallowgrid.session import settle, shared_root, table
 from tallowgrid.sources import files, lookups
 
 QUERIES: dict = {}
@@ -513,10 +513,10 @@ def coverage_quartile_mcc(spark: SparkSession, sf: str) -> DataFrame:
     The rule and the coverage come from one pass over ingredient rows; pairs of categories are counted
     before they are multiplied by jurisdictions.
     """
-    rows = fx.ingredients(spark, sf)
-    both = mixtures.additivity(rows.select("f", "cat", "conc"), "f", "cat", "conc").select("f", F.col("category").alias("rule"))
-    both = both.join(mixtures.coverage(rows.select("f", "cat"), "f", "cat"), "f")
-    binned = ranks.equal_bins(both, 4, "coverage", "f", "bin")
+    rows = fx.ingredients(spark, sf).select("f", "cat", "conc")
+    both = mixtures.additivity(rows, "f", "cat", "conc", extra={"coverage": mixtures.covered("cat")}).select("f", F.col("category").alias("rule"), "coverage")
+    # Ranks read this narrow table three times; ingredient rows are read once.
+    binned = ranks.equal_bins(settle(both, "rules"), 4, "coverage", "f", "bin")
     joined = binned.join(fx.formulations(spark, sf).select("f", "category"), "f").groupBy("bin", "rule", "category").agg(F.count("*").alias("n"))
     truth = labels.project(joined.where("category IS NOT NULL AND rule IS NOT NULL"), fx.projection(spark))
     rule = fx.projection(spark).select("jur", F.col("category").alias("rule"), F.col("y").alias("pred"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,14 @@ def shared_root(spark: SparkSession) -> str:
         root = "file://" + os.path.join(tempfile.mkdtemp(prefix="tallowgrid-"), "shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
+
+
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """Rows written once to the shared folder and read from there.
+
+    For plans that use one costly narrow table several times: it is computed once, its lineage is cut,
+    and a lost executor takes nothing with it.
+    """
+    path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
