@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -67,12 +69,53 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc_remainder(column, modulus) == F.lit(remainder), F.lit(True))
 
 
+#: Rows of an Arrow batch that hold whole texts: with the longest texts it bounds a worker's memory.
+TEXT_ROWS = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have TEXT_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
+#: What a worker remembers from task to task, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def lean(task, own: str = ""):
+    """A task that first drops what other operators left in the worker, and gives freed memory back at
+    its end: workers live on, and share an executor's memory."""
+
+    def run(batches):
+        for name, held in CACHES.items():
+            if name != own:
+                held.clear()
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps what it has
+
+
 def map_texts(docs: DataFrame, columns: list[str], text: str, make, schema: str) -> DataFrame:
     """Columns of docs with what ``make()(texts)`` finds for the batch's texts appended.
 
     ``make`` runs once a task and returns a function from a list of texts to arrays; ``schema`` names
     and types them.
     """
+    bound_batches(docs.sparkSession)
     names = [f.split()[0] for f in schema.split(", ")]
     rows = docs.select(*columns, F.col(text).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
@@ -84,11 +127,12 @@ def map_texts(docs: DataFrame, columns: list[str], text: str, make, schema: str)
                 found = find(batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, found)], names=[*batch.schema.names[:-1], *names])
 
-    return rows.mapInArrow(run, f"{kept}, {schema}")
+    return rows.mapInArrow(lean(run), f"{kept}, {schema}")
 
 
 def keep_texts(docs: DataFrame, make, text: str = "text") -> DataFrame:
     """Rows of docs, all columns as they are, for whose texts ``make()(texts)`` is true."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches):
@@ -97,7 +141,7 @@ def keep_texts(docs: DataFrame, make, text: str = "text") -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.array(find(batch.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def agreed_labels(labels: DataFrame, name: str) -> DataFrame:

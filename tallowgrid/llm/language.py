@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import held_out, keep_texts, map_texts
+from tallowgrid.llm.common import bound_batches, held_out, keep_texts, lean, map_texts
 
 MODULUS, REMAINDER = 5, 0
 UNDETERMINED = "und"
@@ -54,6 +54,7 @@ def fit(docs: DataFrame, size: int = 300) -> dict:
     a task before they are shuffled; a profile row is kept for each rank only, so what reaches the
     driver is languages x size.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id", MODULUS, REMAINDER)).select("lang", "text")
 
     def count(batches):
@@ -68,11 +69,11 @@ def fit(docs: DataFrame, size: int = 300) -> dict:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
-            if sum(map(len, held.values())) > 300_000:
+            if sum(map(len, held.values())) > 40_000:
                 yield from flush()
         yield from flush()
 
-    summed = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    summed = rows.mapInArrow(lean(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     # Each task's rows are cut to ranks in reach before they meet, by the sort the window needs.
     top = summed.withColumn("rank", rank).where(F.col("rank") <= size).toPandas()

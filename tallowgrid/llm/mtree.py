@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import materialise, new_folder, open_fs, write_file
+from tallowgrid.llm.common import lean, materialise, new_folder, open_fs, write_file
 
 PAGE, FANOUT = 256, 16
 #: Above this, sums of products might not be exact as doubles; Python integers take over.
@@ -231,9 +231,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tree_vectors: int
 
     columns = [F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")]
     listed = "path string, first long, n long"
-    trees = materialise(vectors.select(*columns).mapInArrow(writer("tree", tree_vectors), listed), "mtree-pages")
+    trees = materialise(vectors.select(*columns).mapInArrow(lean(writer("tree", tree_vectors)), listed), "mtree-pages")
     dealt = queries.select(*columns).repartition(1 + queries.count() // block_queries, "vec_id")
-    blocks = materialise(dealt.mapInArrow(writer("block", block_queries), listed), "mtree-queries")
+    blocks = materialise(dealt.mapInArrow(lean(writer("block", block_queries)), listed), "mtree-queries")
     # A row a file: vectors / tree_vectors, and queries / block_queries.
     tree_paths = [r["path"] for r in trees.orderBy("first", "n").collect()]
     block_paths = [r["path"] for r in blocks.orderBy("first", "n").collect()]
@@ -282,7 +282,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tree_vectors: int
                 )
 
     plan = spark.createDataFrame(spark.sparkContext.parallelize(work, len(work)), "block string, trees array<string>")
-    found = plan.mapInArrow(search, "block string, at long, query_id long, vec_id long, score long")
+    found = plan.mapInArrow(lean(search), "block string, at long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("block", "at").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import agreed_labels, held_out, keep_texts, labelled_sample, logistic, map_texts, probability
+from tallowgrid.llm.common import agreed_labels, held_out, keep_texts, labelled_sample, lean, logistic, map_texts, probability
 
 MODULUS, REMAINDER = 4, 2
 CHUNK = 1024
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 8000, dictionary_bytes:
                     out.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(out_label, pa.int32()), pa.array(out, pa.binary())], names=["label", "chunk"])
 
-    built = sample.where(half == 0).select("text", "label").mapInArrow(sampled, "label int, chunk binary").toPandas()
+    built = sample.where(half == 0).select("text", "label").mapInArrow(lean(sampled), "label int, chunk binary").toPandas()
     pools = [sorted(bytes(c) for c in built["chunk"][built["label"] == v]) for v in (0, 1)]
     if not all(len(p) >= 2 for p in pools):
         return {"constant": float(bool(pools[1])) if bool(pools[0]) != bool(pools[1]) else 0.5}
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 8000, dictionary_bytes:
             found = [own.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "features"])
 
-    seen = sample.where(half == 1).select("text", "label").mapInArrow(measured, "label int, features array<double>").toPandas()
+    seen = sample.where(half == 1).select("text", "label").mapInArrow(lean(measured), "label int, features array<double>").toPandas()
     target = seen["label"].to_numpy()
     if len(set(target)) < 2:
         return {"constant": 0.5}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import agreed_labels, held_out, labelled_sample, logistic, map_texts, probability
+from tallowgrid.llm.common import agreed_labels, held_out, labelled_sample, lean, logistic, map_texts, probability
 
 MODULUS, REMAINDER = 5, 0
 _EDGE = "!?.,;:|\"'()[]{}<>*#%&$@~`“”«»‘’-_/\\+=…"
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int =
                     yield from flush()
         yield from flush()
 
-    counted = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.mapInArrow(lean(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.persist()
     least = max(4, 0.02 * toxic_n)
     share = F.col("toxic") / (F.col("toxic") + F.col("clean") * F.lit(toxic_n / clean_n))
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int =
         for batch in batches:
             yield batch.filter(pa.array([lexicon.find(t, 1.0) is not None for t in batch.column(0).to_pylist()], pa.bool_()))
 
-    near = counted.where((F.col("clean") > F.col("toxic")) & ~F.col("term").endswith("*")).select("term").mapInArrow(exceptions, "term string")
+    near = counted.where((F.col("clean") > F.col("toxic")) & ~F.col("term").endswith("*")).select("term").mapInArrow(lean(exceptions), "term string")
     # Words near a lexicon of bounded size; a bounded number of the most frequent would do.
     model["clean"] = frozenset(r["term"] for r in near.limit(100_000).collect())
     counted.unpersist()
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int =
             x = [own.weight(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.float64())], names=["label", "x"])
 
-    seen = sample.mapInArrow(measured, "label int, x double").groupBy("label", "x").count().toPandas().sort_values(["label", "x"])
+    seen = sample.mapInArrow(lean(measured), "label int, x double").groupBy("label", "x").count().toPandas().sort_values(["label", "x"])
     n = seen["count"].to_numpy()
     x = np.repeat(np.log1p(np.minimum(seen["x"].to_numpy(), 20.0)), n)[:, None]
     y = np.repeat(seen["label"].to_numpy(), n)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import materialise, new_folder, open_fs
+from tallowgrid.llm.common import lean, materialise, new_folder, open_fs
 
 DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format: signatures, and the structures after them.
@@ -231,7 +231,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, records_each: in
         out.close()
         return pa.RecordBatch.from_pydict({"path": [uri], "records": [len(index)]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    return materialise(rows.mapInArrow(write, "path string, records long"), "warc-manifest")
+    return materialise(rows.mapInArrow(lean(write), "path string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -270,7 +270,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     paths = manifest.select("path")
     n = max(1, min(paths.count(), 10_000))
-    return paths.repartition(n).mapInArrow(read, schema)
+    return paths.repartition(n).mapInArrow(lean(read), schema)
 
 
 #: DuckDB SQL of what reading back gives; base32 is spelt out from the digest's bits.
