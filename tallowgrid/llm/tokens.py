@@ -26,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import materialise, new_folder, open_fs, write_file
+from tallowgrid.llm.common import CACHES, bound_batches, lean, materialise, new_folder, open_fs, write_file
 
 END_ID = 1
 _END = struct.pack("<I", END_ID)
 _MARKS = "!,.;:?|"
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_ENCODERS: dict = {}
+_MARK_BYTES, _LETTER_BYTES = _MARKS.encode(), frozenset(map(ord, _LETTERS))
+_ENCODERS: dict = CACHES.setdefault("tokens", {})
 
 
 class ChunkEncoder:
@@ -44,13 +45,14 @@ class ChunkEncoder:
     letter is a piece of its own in both, so it is cut off before the memory is asked.
     """
 
-    def __init__(self, path: str, leading_space: bool, limit: int = 900_000):
+    def __init__(self, path: str, leading_space: bool, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.leading_space, self.limit = leading_space, limit
+        self.form = "utf-8" if leading_space else "latin-1"
         self.body: dict[str, bytes] = {}
         self.head: dict[str, bytes] = {}
         # Ids that begin a piece after a space, or end a word.
@@ -78,44 +80,49 @@ class ChunkEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self._library_ids(texts)]
 
-    def _first(self, chunk: str) -> bytes:
+    def _first(self, chunk: str | bytes) -> bytes:
         """Ids of a chunk that no space precedes."""
         if (got := self.head.get(chunk)) is None:
-            got = self._library([chunk])[0]
+            got = self._library([chunk if isinstance(chunk, str) else chunk.decode(self.form)])[0]
             if len(self.head) < self.limit // 8:
                 self.head[chunk] = got
         return got
 
-    def _chunks(self, chunks: list[str]) -> bytes | None:
-        """Ids of chunks that a space precedes; None if white space meets such a space."""
+    def _chunks(self, chunks: list) -> bytes | None:
+        """Ids of chunks that a space precedes; None if white space meets such a space.
+
+        Chunks are bytes, in the encoding of ``self.form``, or text.
+        """
         known = self.body
         ids = [known.get(c) for c in chunks]
         if None not in ids:
             return b"".join(ids)
-        new: dict[str, list[tuple[int, str]]] = {}
+        marks, letters = (_MARKS, _LETTERS) if isinstance(chunks[0], str) else (_MARK_BYTES, _LETTER_BYTES)
+        new: dict = {}
         for i, got in enumerate(ids):
             if got is None:
                 c = chunks[i]
-                if self.leading_space and (not c or c[0].isspace() or c[-1].isspace()):
-                    return None
-                base = c.rstrip(_MARKS)
-                if base is not c and base and base[-1] in _LETTERS:
+                base = c.rstrip(marks)
+                if base is not c and base and base[-1] in letters:
                     tail = c[len(base) :]
                     if (got := known.get(base)) is not None:
                         ids[i] = got + self._first(tail)
                         continue
                 else:
-                    base, tail = c, ""
+                    base, tail = c, None
                 if base in new:
                     new[base].append((i, tail))
                 else:
                     new[base] = [(i, tail)]
         if new:
-            plain = [b for b in new if b.isalpha()]
-            other = [b for b in new if not b.isalpha()] if len(plain) < len(new) else []
+            texts = {b: b if isinstance(b, str) else b.decode(self.form) for b in new}
+            plain = [b for b, t in texts.items() if t.isalpha()]
+            other = [b for b, t in texts.items() if not t.isalpha()] if len(plain) < len(new) else []
+            if self.leading_space and any(not (t := texts[b]) or t[0].isspace() or t[-1].isspace() for b in other):
+                return None
             for names in (plain, other):
                 if names:
-                    found = self._words(names)
+                    found = self._words([texts[b] for b in names])
                     for base, got in zip(names, found, strict=True):
                         for i, tail in new[base]:
                             ids[i] = got + self._first(tail) if tail else got
@@ -126,35 +133,37 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         if not self.leading_space:
             try:
-                text.encode("latin-1")
-                text = text.lower()  # among these characters the vocabulary's own lower case is the same
+                # These characters don't combine, so the case of A-Z may go first; bytes split at
+                # ASCII white space only.
+                chunks = text.encode("latin-1").lower().split()
             except UnicodeEncodeError:
-                pass
-            return self._chunks(text.split(" "))
-        first, *chunks = text.split(" ")
-        if first and not first[0].isspace() and not first[-1].isspace():
-            if (ids := self._chunks(chunks)) is not None:
+                chunks = text.split(" ")
+            return self._chunks(chunks) if chunks else b""
+        first, *chunks = text.encode().split(b" ")
+        head = first.decode()
+        if head and not head[0].isspace() and not head[-1].isspace():
+            if (ids := self._chunks(chunks) if chunks else b"") is not None:
                 return self._first(first) + ids
         # Runs of white space stay with the chunk before them, which is encoded whole.
         first, *chunks = re.split(r"(?<=\S) (?=\S)", text)
         out = [self._library([first])[0]]
-        plain: list[str] = []
+        plain: list[bytes] = []
         for c in chunks:
             if c[-1].isspace():
-                out += [self._chunks(plain), self._library([" " + c])[0]]
+                out += [self._chunks(plain) if plain else b"", self._library([" " + c])[0]]
                 plain = []
             else:
-                plain.append(c)
-        return b"".join([*out, self._chunks(plain)])
+                plain.append(c.encode())
+        return b"".join([*out, self._chunks(plain) if plain else b""])
 
 
-def encoder(path: str, leading_space: bool) -> ChunkEncoder:
+def encoder(path: str, leading_space: bool, remembered: int) -> ChunkEncoder:
     """One encoder for each vocabulary and worker process."""
-    key = (path, leading_space)
+    key = (path, leading_space, remembered)
     if key not in _ENCODERS:
         gc.disable()  # the memory holds no cycles; walking it again and again takes a third of the time
         _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(path, leading_space)
+        _ENCODERS[key] = ChunkEncoder(path, leading_space, remembered)
     return _ENCODERS[key]
 
 
@@ -259,7 +268,7 @@ class ShardReader:
         self.file.close()
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, frame_ids: int = 1 << 16, level: int = 3) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, frame_ids: int = 1 << 16, level: int = 3, remembered: int = 700_000) -> DataFrame:
     """Encode documents and write shards in ascending doc_id order; one row per shard.
 
     Returns shard (ascending with doc_id), path, documents, n_tokens. A range partitioning on
@@ -270,13 +279,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, leading_space: bool = Fal
     committed names are read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     folder = new_folder(spark, "token-shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path, leading_space)
+        own = encoder(tokenizer_path, leading_space, remembered)
         count = total = 0
 
         def documents():
@@ -301,7 +311,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, leading_space: bool = Fal
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "documents": [count], "n_tokens": [total]}, schema=schema)
 
     schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("n_tokens", pa.int64())])
-    return materialise(rows.mapInArrow(write, "shard long, path string, documents long, n_tokens long"), "token-manifest")
+    return materialise(rows.mapInArrow(lean(write, "tokens"), "shard long, path string, documents long, n_tokens long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -343,7 +353,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=names)
                 reader.close()
 
-    return listed.mapInArrow(read, schema)
+    return listed.mapInArrow(lean(read), schema)
 
 
 # --- packing -----------------------------------------------------------------------------------
@@ -391,20 +401,22 @@ def pack_lengths(lengths: list[int], capacity: int, linear: float = 1.0, quadrat
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, leading_space: bool = True, group_ids: int = 1 << 21, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, leading_space: bool = True, group_ids: int = 1 << 21, with_ids: bool = False, remembered: int = 700_000) -> DataFrame:
     """Tokenise documents and pack them; one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked. Each
     task packs groups of about ``group_ids`` ids in the order it reads documents, so nothing is
     shuffled and memory is bounded by a group or by one document, whichever is larger. sequence_id is
-    (task number << 40) + a running number: unique, not dense. Null texts are empty; each document
+    (task number << 40) + a running number: unique, not dense. A worker remembers ``remembered`` chunks:
+    more take less time and more memory. Null texts are empty; each document
     has at least its end id; rows with the same doc_id are packed each by itself; null ids stay null.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path, leading_space)
+        own = encoder(tokenizer_path, leading_space, remembered)
         base = TaskContext.get().partitionId() << 40
         doc_ids, held, size = [], [], 0
 
@@ -440,4 +452,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, l
         if held:
             yield flush()
 
-    return rows.mapInArrow(pack, ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids)
+    return rows.mapInArrow(lean(pack, "tokens"), ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids)
