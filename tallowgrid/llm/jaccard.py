@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import materialise
+from tallowgrid.llm.common import bound_batches, lean, materialise
 
 WORDS = 5
 #: A link needs NUMERATOR / DENOMINATOR of the union in common, in integers.
@@ -101,38 +101,44 @@ def _rarest(docs: DataFrame) -> DataFrame:
     Documents of one block with equal sets are represented by the first.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(4, min(14, (2 * partitions - 1).bit_length()))
+    bits = max(4, min(20, (2 * partitions - 1).bit_length()))  # buckets: twice the partitions or more
+    narrow = np.uint16 if bits <= 16 else np.uint32
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
     def deal(batches):
-        number = 0
-        for whole in batches:
-            for low in range(0, whole.num_rows, 8192):
-                batch = whole.slice(low, 8192)
-                name = TaskContext.get().partitionId() << 20 | number
-                number += 1
-                table, sets, first = np.zeros(batch.num_rows, dtype=_DOC), [], {}
-                hashes = batch.column(2).to_pylist()
-                for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                    s = shingles(text.as_py())
-                    signature = struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes()))
-                    same = first.setdefault(signature, k) if len(s) else k
-                    table[k] = (doc_id or 0, doc_id is not None, len(s), same, *signature, hashes[k])
-                    sets.append(s if same == k else s[:0])
-                flat = np.concatenate(sets)
-                at = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-                bucket = (flat >> _U(64 - bits)).astype(np.uint16)
-                order = np.argsort(bucket, kind="stable")
-                rest = ((flat >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(np.uint32)[order]
-                at, stops = at[order], np.cumsum(np.bincount(bucket, minlength=1 << bits))
-                del flat, order
-                out, start, size = [((name * 2654435761) % (1 << bits), name, 1, table.tobytes(), b"", b"")], 0, 0
-                for b, stop in enumerate(stops.tolist()):
-                    if stop > start:
-                        out.append((b, name, 0, rest[start:stop].tobytes(), at[start:stop].tobytes(), b""))
-                        start = stop
-                yield _blobs(out)
+        number, held, sets, first, size = 0, [], [], {}, 0
+
+        def flush():
+            nonlocal number, held, sets, first, size
+            name = TaskContext.get().partitionId() << 20 | number
+            table, flat = np.array(held, dtype=_DOC), np.concatenate(sets)
+            at = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+            number, held, sets, first, size = number + 1, [], [], {}, 0
+            bucket = (flat >> _U(64 - bits)).astype(narrow)
+            order = np.argsort(bucket, kind="stable")
+            rest = ((flat >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(np.uint32)[order]
+            at, stops = at[order], np.cumsum(np.bincount(bucket, minlength=1 << bits))
+            out, start = [((name * 2654435761) % (1 << bits), name, 1, table.tobytes(), b"", b"")], 0
+            for b, stop in enumerate(stops.tolist()):
+                if stop > start:
+                    out.append((b, name, 0, rest[start:stop].tobytes(), at[start:stop].tobytes(), b""))
+                    start = stop
+            return _blobs(out)
+
+        for batch in batches:
+            for doc_id, text, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                s = shingles(text.as_py())
+                k, signature = len(sets), struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes()))
+                same = first.setdefault(signature, k) if len(s) else k
+                held.append((doc_id or 0, doc_id is not None, len(s), same, *signature, text_hash))
+                sets.append(s if same == k else s[:0])
+                size += len(sets[-1])
+                if len(sets) >= 8192 or size >= 1_500_000:
+                    yield flush()
+        if held:
+            yield flush()
 
     def count(batches):
         for bucket, held in _grouped(batches, "bucket"):
@@ -192,9 +198,9 @@ def _rarest(docs: DataFrame) -> DataFrame:
                 columns = [zero.astype(np.int32), base + a, zero, n[a], k, zero, zero, zero]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
 
-    dealt = rows.mapInArrow(deal, _BLOB).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    counted = dealt.mapInArrow(count, _BLOB).repartition(partitions, "batch").sortWithinPartitions("batch")
-    return counted.mapInArrow(choose, "kind int, uid long, doc_id long, n long, key long, low long, high long, text_hash long")
+    dealt = rows.mapInArrow(lean(deal), _BLOB).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    counted = dealt.mapInArrow(lean(count), _BLOB).repartition(partitions, "batch").sortWithinPartitions("batch")
+    return counted.mapInArrow(lean(choose), "kind int, uid long, doc_id long, n long, key long, low long, high long, text_hash long")
 
 
 # --- regions -----------------------------------------------------------------------------------
@@ -316,7 +322,7 @@ def _small_regions(members: DataFrame) -> DataFrame:
             if pivot in held and len(uids) > 1:
                 yield _links([(uids[x], uids[y]) for x, y in join_region([held[u][0] for u in uids], uids.index(pivot))])
 
-    return members.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(solve, _LINKS)
+    return members.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(lean(solve), _LINKS)
 
 
 def _large_regions(members: DataFrame, sizes: DataFrame, pivots_each: int, cap: int) -> list[DataFrame]:
@@ -365,7 +371,7 @@ def _large_regions(members: DataFrame, sizes: DataFrame, pivots_each: int, cap:
             yield pa.RecordBatch.from_pylist([dict(zip(("kind", "pivot", "slice", "uid", "cell", "a", "b"), r, strict=True)) for r in out], schema=arrow_meet)
 
     arrow_meet = pa.schema([("kind", pa.int32()), ("pivot", pa.int64()), ("slice", pa.int32()), ("uid", pa.int64()), ("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    met = materialise(fed.repartition("pivot", "slice").sortWithinPartitions("pivot", "slice", "uid").mapInArrow(first, meet), "jaccard-cells")
+    met = materialise(fed.repartition("pivot", "slice").sortWithinPartitions("pivot", "slice", "uid").mapInArrow(lean(first), meet), "jaccard-cells")
     cells, pairs = met.where("kind = 0").select("pivot", "uid", "cell", "slice"), met.where("kind = 1").select("pivot", "a", "b")
     links = [cells.where("cell IS NOT NULL AND cell <> uid").select(F.col("uid").alias("a"), F.col("cell").alias("b")), pairs.select("a", "b")]
     # A row a pivot and region: merged cells, by union-find over the pivots of a region.
@@ -432,7 +438,7 @@ def _large_regions(members: DataFrame, sizes: DataFrame, pivots_each: int, cap:
             yield own, held
 
     tiles = theirs.unionByName(others).repartition("pivot", "slice", "part").sortWithinPartitions("pivot", "slice", "part")
-    links.append(tiles.mapInArrow(second, _LINKS))
+    links.append(tiles.mapInArrow(lean(second), _LINKS))
     return links
 
 
@@ -474,7 +480,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def cluster(docs: DataFrame, cap: int = 4096, pivots_each: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
+def cluster(docs: DataFrame, cap: int = 1024, pivots_each: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
     """uid, doc_id, n_shingles, component_id, text_hash for every row.
 
     component_id is the smallest doc_id that links reach, the row's own included. Null and empty texts, and
