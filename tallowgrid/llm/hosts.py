@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,8 +63,9 @@ def host_verdicts(measured: DataFrame, reject_above: float = 0.5) -> DataFrame:
     For each rule the beta prior has the pooled rate as its mean and a strength by the method of
     moments: p(1-p)/v - 1, within 1 and 10,000, where v is the variance of the hosts' rates, weighted
     by documents, less what sampling alone gives. A host's rate is (prior mean * strength + failures)
-    / (strength + documents); a host is bad if any rule's rate is above ``reject_above``. Rows without
-    a source are one host. The table has a row a host; sums over it are the only global step.
+    / (strength + documents); a host is bad if any rule's rate is above ``reject_above`` and above the
+    prior mean, so that hosts of few documents aren't judged by what others do. Rows without a source
+    are one host. The table has a row a host; sums over it are the only global step.
     """
     # A hot host's rows are summed within each task first.
     fails = [F.sum(F.expr(f"CAST({rule} AS INT)").cast("long")).alias(f"f_{name}") for name, rule in RULES.items()]
@@ -79,7 +81,8 @@ def host_verdicts(measured: DataFrame, reject_above: float = 0.5) -> DataFrame:
         strength = min(max(p * (1 - p) / v - 1, 1.0), 10_000.0) if v > 0 else 10_000.0
         rates.append(((F.lit(p * strength) + F.col(f"f_{r}")) / (F.lit(strength) + F.col("documents"))).alias(f"rate_{r}"))
     judged = hosts.select("source", "documents", *rates)
-    return judged.withColumn("host_ok", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) <= F.lit(reject_above))
+    fine = [F.col(f"rate_{r}") <= F.lit(max(reject_above, mean[r])) for r in RULES]
+    return judged.withColumn("host_ok", reduce(lambda a, b: a & b, fine))
 
 
 def judge_documents(docs: DataFrame, reject_above: float = 0.5) -> DataFrame:
@@ -128,7 +131,7 @@ strength AS (
  SELECT {", ".join(f"CASE WHEN v_{r} > 0 THEN least(greatest(p_{r} * (1 - p_{r}) / v_{r} - 1, 1), 10000) ELSE 10000 END AS m_{r}" for r in RULES)}
  FROM spread, pooled),
 verdicts AS (
- SELECT source, greatest({", ".join(f"(p_{r} * m_{r} + f_{r}) / (m_{r} + n)" for r in RULES)}) <= 0.5 AS host_ok
+ SELECT source, {" AND ".join(f"(p_{r} * m_{r} + f_{r}) / (m_{r} + n) <= greatest(0.5, p_{r})" for r in RULES)} AS host_ok
  FROM hosts, pooled, strength)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
  ({RULES["short"]}) OR ({RULES["repetitive"]}) AS base_failed,
