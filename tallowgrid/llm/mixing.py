@@ -122,9 +122,10 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 def repeat_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: each document, all columns kept, as many times as it is taken.
 
-    Documents without a word take part in no target and are left out.
+    Documents without a word take part in no target and are left out. Rows are written once with their
+    keys, so that words are counted once; sums and ranks then read the keys alone.
     """
-    found = copies(keyed(docs, seed)).where((F.col("__size") > 0) & (F.col("__copies") > 0))
+    found = copies(materialise(keyed(docs, seed), "mix-rows")).where((F.col("__size") > 0) & (F.col("__copies") > 0))
     return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
