@@ -35,8 +35,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
-    return tokens.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of documents in sequences of 2048 ids; workers that other stages used keep less in mind."""
+    return tokens.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=350_000)
 
 
 STAGES = [
