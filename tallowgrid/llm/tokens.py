@@ -45,7 +45,7 @@ class ChunkEncoder:
     letter is a piece of its own in both, so it is cut off before the memory is asked.
     """
 
-    def __init__(self, path: str, leading_space: bool, limit: int = 700_000):
+    def __init__(self, path: str, leading_space: bool, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -268,7 +268,7 @@ class ShardReader:
         self.file.close()
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, frame_ids: int = 1 << 16, level: int = 3, remembered: int = 700_000) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, frame_ids: int = 1 << 16, level: int = 3, remembered: int = 1_000_000) -> DataFrame:
     """Encode documents and write shards in ascending doc_id order; one row per shard.
 
     Returns shard (ascending with doc_id), path, documents, n_tokens. A range partitioning on
@@ -401,7 +401,7 @@ def pack_lengths(lengths: list[int], capacity: int, linear: float = 1.0, quadrat
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, leading_space: bool = True, group_ids: int = 1 << 21, with_ids: bool = False, remembered: int = 700_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, leading_space: bool = True, group_ids: int = 1 << 21, with_ids: bool = False, remembered: int = 1_300_000) -> DataFrame:
     """Tokenise documents and pack them; one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked. Each
