@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -24,20 +25,23 @@ def encode_missing(matrix: DataFrame, features: list[str], protocol: str) -> tup
     return matrix.withColumns(low | high), [*low, *high]
 
 
-def out_of_fold(rows: DataFrame, key: str, y: str, features: list[str], protocol: str = "native", trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
+def out_of_fold(rows: DataFrame, key: str, y: str, features: list[str], protocol: str = "native", trees: int = 100, depth: int = 6, seed: int = 7) -> DataFrame:
     """seed, fold, key, p: each row's probability by the forest that its fold was left out of.
 
-    ``rows`` has seed and fold columns. One fit for each (seed, fold); the assembled matrix is cached
-    for them. The list of (seed, fold) is small by design.
+    ``rows`` has seed and fold columns. One fit for each (seed, fold), three at a time; the assembled
+    matrix is cached for them. The list of (seed, fold) is small by design.
     """
     encoded, names = encode_missing(rows.where(F.col(y).isNotNull()), features, protocol)
     vectors = VectorAssembler(inputCols=names, outputCol="__features").transform(encoded).select("seed", "fold", key, F.col(y).cast("double").alias("y"), "__features").cache()
     parts = sorted((r["seed"], r["fold"]) for r in vectors.select("seed", "fold").distinct().collect())
-    out = []
-    for s, f in parts:
+
+    def fit(part):
+        s, f = part
         own = vectors.where(F.col("seed") == s)
         forest = RandomForestClassifier(featuresCol="__features", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
         model = forest.fit(own.where(F.col("fold") != f).orderBy(key))
         p = F.element_at(vector_to_array("probability"), -1)
-        out.append(model.transform(own.where(F.col("fold") == f)).select("seed", "fold", key, p.alias("p")))
-    return reduce(DataFrame.unionByName, out)
+        return model.transform(own.where(F.col("fold") == f)).select("seed", "fold", key, p.alias("p"))
+
+    with ThreadPool(3) as pool:
+        return reduce(DataFrame.unionByName, pool.map(fit, parts, chunksize=1))

@@ -587,8 +587,8 @@ def fold_invariants(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def train_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = _basis_rows(spark, sf).select("f", "grp", "y")
-    assigned = folds.hashed_folds(rows, "grp", [0])
+    assigned = folds.stratified_group_folds(rows, "grp", "y", SEEDS).withColumnRenamed("group", "grp")
     used = [m[0] for m in fx.MANIFEST if m[4] == "ACTIVE" and not m[5] and m[0] not in fx.FEAT_DROP and not m[0].startswith(tuple(fx.DROP_PREFIXES))]
     built = matrix.under_protocol(fx.matrix(spark, sf), "f", "known", "native_restored", fx.ZERO_IS_MISSING)
-    ready = rows.join(assigned, "grp").join(built.select("f", *used), "f")
+    ready = rows.withColumn("grp", F.col("grp").cast("string")).join(assigned, "grp").join(built.select("f", *used), "f")
     return models.out_of_fold(ready, "f", "y", used).select("seed", "fold", F.col("f").alias("key"), "p")

@@ -144,6 +144,29 @@ def test_missing_may_go_to_either_side_of_a_split(spark):
         assert right == 80
 
 
+def test_forests_are_fitted_over_all_seeds_and_stratified_folds(spark, small_dir, monkeypatch):
+    import inspect
+
+    from tallowgrid.plans import queries
+
+    given = {}
+    whole = inspect.signature(models.out_of_fold)
+
+    def seen(*args, **options):
+        given.update(whole.bind(*args, **options).arguments)
+        return given["rows"].selectExpr("seed", "fold", "f", "0.5D AS p")
+
+    monkeypatch.setattr(models, "out_of_fold", seen)
+    queries.train_predict(spark, small_dir)
+    assert given.get("trees", whole.parameters["trees"].default) == 100
+    rows = given["rows"].select("seed", "fold", "grp", "f").collect()
+    assert {(r["seed"], r["fold"]) for r in rows} == {(s, f) for s in range(5) for f in range(5)}
+    labelled = queries._basis_rows(spark, small_dir).join(queries.fx.matrix(spark, small_dir), "f", "left_semi")
+    assert len(rows) == len({(r["seed"], r["f"]) for r in rows}) == 5 * labelled.count()
+    want = {(r["seed"], r["group"]): r["fold"] for r in queries.group_folds(spark, small_dir).collect()}
+    assert all(want[r["seed"], r["grp"]] == r["fold"] for r in rows)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("AAAAAAAAAAAAAA-BBBBBBBBBB-C", 1.5, "as_supplied", True, None), ("X", 7.0, "diluted", False, 2.0), (None, None, None, None, 0.0)], "k string, ph double, b string, known boolean, x double")
     got = df.select(
