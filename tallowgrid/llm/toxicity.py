@@ -185,12 +185,14 @@ def _terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in range(4, min(len(w), 9))}
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int = 2000, purity: float = 0.98) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int = 2000, purity: float = 0.98, chance: float = 0.05) -> dict:
     """Lexicon, exceptions and calibration from labelled rows that are not held out.
 
     ``each`` bounds the rows learned from, for each label. A term is taken if ``purity`` of the
-    documents that have it are toxic, and 2 % of the toxic ones, 4 at least, have it; of a chain of
-    stems the longest with nearly the same documents. Words of clean documents that are near a term
+    documents that have it are toxic, 4 toxic ones at least have it, and either 2 % of the toxic ones
+    do or more than chance gives (``chance`` bounds the share of false terms, by Benjamini and
+    Hochberg), so terms of a language with few rows are taken too; ``most_terms`` with the most
+    evidence at most; of a chain of stems the longest with nearly the same documents. Words of clean documents that are near a term
     are exceptions. Without rows of both labels the score is constant: 0, or 1 if all rows are toxic.
     """
     sample = labelled_sample(docs, labels, "toxic", MODULUS, REMAINDER, each).select("text", "label")
@@ -221,8 +223,13 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int =
     counted = counted.persist()
     least = max(4, 0.02 * toxic_n)
     share = F.col("toxic") / (F.col("toxic") + F.col("clean") * F.lit(toxic_n / clean_n))
-    found = counted.where((F.col("toxic") >= least) & (share >= purity)).orderBy(F.desc("toxic"), "term").limit(most_terms).collect()
-    terms = choose({r["term"]: r["toxic"] for r in found})
+    # Less the logarithm of Chernoff's bound on so many toxic ones among the documents that have a term.
+    of = lambda x, rate: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (F.col("toxic") + F.col("clean")) / F.lit(rate))).otherwise(0.0)
+    evidence = of("toxic", toxic_n / (toxic_n + clean_n)) + of("clean", clean_n / (toxic_n + clean_n))
+    found = counted.where((F.col("toxic") >= 4) & (share >= purity)).withColumn("evidence", evidence).orderBy(F.desc("evidence"), "term").limit(most_terms).collect()
+    tried = counted.where(F.col("toxic") + F.col("clean") >= 4).count()
+    passed = max((k for k, r in enumerate(found, 1) if r["evidence"] >= np.log(tried / (k * chance))), default=0)
+    terms = choose({r["term"]: r["toxic"] for k, r in enumerate(found, 1) if k <= passed or r["toxic"] >= least})
     model = constant | {"terms": {t: (1.0, stem) for t, stem in terms.items()}}
 
     def exceptions(batches):

@@ -213,6 +213,17 @@ def test_toxicity(spark, make_docs):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_toxic_words_of_few_rows_are_learned(spark, make_docs):
+    rows, labels = toxic_rows(2400)
+    learned = [i for i, _, t in labels if t and zlib.crc32(str(i).encode()) % 5]
+    few = set(learned[:6])
+    assert len(few) < 0.02 * len(learned)
+    docs = make_docs([(i, text + " bomenteja" * (i in few), lang, s) for i, text, lang, s in rows] + [(9000, "the bomenteja of water", "es", "s")])
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "bomenteja" in model["terms"]
+    assert toxicity.score_documents(docs.where("doc_id = 9000"), model).first()["predicted"] == 1
+
+
 @pytest.mark.parametrize(("text", "want"), [("a a a a a", 5), ("a b c a b c", 6), ("a b c d a b c", 6), ("a b", 0), ("", 0)])
 def test_repeated_words(text, want):
     from tallowgrid.llm.hosts import measure
