@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,42 +65,48 @@ class LevenshteinAutomaton:
 
 
 class Lexicon:
-    """A trie of terms: each maps to (weight, whether it is a stem)."""
+    """A trie of terms: each maps to (weight, whether it is a stem, edits it bears)."""
 
-    def __init__(self, terms: dict[str, tuple[float, bool]]):
-        self.terms, self.root = terms, {}
+    def __init__(self, terms: dict[str, tuple[float, bool, int]]):
+        self.terms: dict[str, tuple[float, bool, int]] = {}
+        self.root: dict = {}
+        # Parts of terms, one of which every word within the allowed edits of a term has.
+        self.heads, self.tails, self.inner = {}, {}, {}
         for term, entry in terms.items():
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = (term, *entry)
-        self.near = self._filter()
+            self.add(term, *entry)
+
+    def add(self, term: str, weight: float, stem: bool, k: int) -> None:
+        """Of k + 1 parts of a term, k edits leave one as it is: the first at the word's beginning, the
+        last at its end, one between moved by k places at most."""
+        self.terms[term] = (weight, stem, k)
+        node = self.root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = (term, weight, stem, k)
+        cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
+        self.heads.setdefault(cuts[1], set()).add(term[: cuts[1]])
+        if k:
+            self.tails.setdefault(len(term) - cuts[k], set()).add(term[cuts[k] :])
+        for i in range(1, k):
+            for at in range(max(0, cuts[i] - k), cuts[i] + k + 1):
+                self.inner.setdefault((at, cuts[i + 1] - cuts[i]), set()).add(term[cuts[i] : cuts[i + 1]])
 
     @staticmethod
     def allowed(term: str, stem: bool) -> int:
-        """Edits that a term's length bears."""
+        """Edits that a term's length bears; stems and words of four letters are taken as they are."""
         return 0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2
 
-    def _filter(self):
-        """A pattern that every word within the allowed edits of a term matches.
-
-        Of k + 1 parts of a term, k edits leave one as it is, moved by k places at most.
-        """
-        parts = set()
-        for term, (_, stem) in self.terms.items():
-            k = self.allowed(term, stem)
-            if stem:
-                parts.add("^" + re.escape(term))
-                continue
-            cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
-            for i in range(k + 1):
-                part = re.escape(term[cuts[i] : cuts[i + 1]])
-                parts.add("^" + part if i == 0 else part + "$" if i == k else part)
-        return re.compile("|".join(sorted(parts))) if parts else re.compile(r"(?!)")
+    def near(self, word: str) -> bool:
+        """False only for words that no term is near to."""
+        return (
+            any(word[:n] in parts for n, parts in self.heads.items())
+            or any(word[-n:] in parts for n, parts in self.tails.items())
+            or any(word[at : at + n] in parts for (at, n), parts in self.inner.items())
+        )
 
     def find(self, word: str, fuzzy: float) -> tuple[float, str] | None:
         """Weight and term of the best hit of a word; misspelled hits weigh ``fuzzy`` as much."""
-        if not self.near.search(word):
+        if not self.near(word):
             return None
         most = 2 if len(word) > 6 else 1 if len(word) > 3 else 0
         automaton = LevenshteinAutomaton(word, most)
@@ -105,15 +114,17 @@ class Lexicon:
         stack = [(self.root, automaton.start())]
         while stack:
             node, states = stack.pop()
-            if "" in node:
-                term, weight, stem = node[""]
-                edits = automaton.prefix_edits(states) if stem else automaton.edits(states)
-                if edits is not None and edits <= self.allowed(term, stem):
-                    found = (weight * (fuzzy if edits else 1.0), term)
-                    best = max(best, found) if best else found
             for c, child in node.items():
-                if c and any(new := automaton.step(states, c)):
-                    stack.append((child, new))
+                if c:
+                    new = automaton.step(states, c)
+                    if any(new):
+                        stack.append((child, new))
+                else:
+                    term, weight, stem, bears = child
+                    edits = automaton.prefix_edits(states) if stem else automaton.edits(states)
+                    if edits is not None and edits <= bears:
+                        found = (weight * (fuzzy if edits else 1.0), term)
+                        best = max(best, found) if best else found
         return best
 
 
@@ -175,8 +186,8 @@ class ToxicityScorer:
         return sum(w * (self.model["quoted"] if q else 1.0) for _, _, w, q in self.spans(text or ""))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.weight(t) for t in texts])
-        return probability(self.model["calibration"], np.log1p(np.minimum(x, 20.0))[:, None])
+        x = np.array([self.weight(t) for t in texts], dtype=np.float64)
+        return probability(self.model["calibration"], np.log1p(x)[:, None])
 
 
 def _terms(text: str) -> set[str]:
@@ -185,15 +196,46 @@ def _terms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in range(4, min(len(w), 9))}
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int = 2000, purity: float = 0.98, chance: float = 0.05) -> dict:
+def _contexts(text: str, names: frozenset[str]) -> Iterator[tuple]:
+    """The named terms of a text, each with the two words before and after its first place, or 0."""
+    words = text.lower().split()
+    seen: set[str] = set()
+    for i, c in enumerate(words):
+        if (w := c.strip(_EDGE)).isalpha():
+            for name in (w, *(w[:n] + "*" for n in range(4, min(len(w), 9)))):
+                if name in names and name not in seen:
+                    seen.add(name)
+                    yield name, " ".join(words[i - 2 : i]) if i > 1 else 0, " ".join(words[i + 1 : i + 3]) if i + 2 < len(words) else 0
+
+
+def independent(before: Iterable, after: Iterable) -> int:
+    """How many places are no copies of each other: places with one side in common are one text's.
+
+    An edited copy has mostly one side of a word as it was, so a copied text counts once. A side of 0, where
+    a text begins or ends, is in common with none.
+    """
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k, (a, b) in enumerate(zip(before, after, strict=True)):
+        parent[root((0, a) if a else (2, k))] = root((1, b) if b else (3, k))
+    return len({root(x) for x in list(parent)})
+
+
+def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, purity: float = 0.98, chance: float = 0.05, neighbours: int = 3) -> dict:
     """Lexicon, exceptions and calibration from labelled rows that are not held out.
 
-    ``each`` bounds the rows learned from, for each label. A term is taken if ``purity`` of the
-    documents that have it are toxic, 4 toxic ones at least have it, and either 2 % of the toxic ones
-    do or more than chance gives (``chance`` bounds the share of false terms, by Benjamini and
-    Hochberg), so terms of a language with few rows are taken too; ``most_terms`` with the most
-    evidence at most; of a chain of stems the longest with nearly the same documents. Words of clean documents that are near a term
-    are exceptions. Without rows of both labels the score is constant: 0, or 1 if all rows are toxic.
+    ``each`` bounds the rows learned from, for each label, and with them all that is collected here. A
+    term is taken if ``purity`` of the documents that have it are toxic, 4 toxic ones at least have it in
+    places that are no copies of each other, and chance doesn't explain it (``chance`` bounds the share
+    of false terms, by Benjamini and Hochberg): so rare terms are taken too, and words of copied texts aren't. Of a chain of
+    stems the longest with nearly the same documents stays. A term with more than ``neighbours`` ordinary
+    words within its edits is taken as it is spelt only; the ordinary words near the others are exceptions.
+    Without rows of both labels the score is constant: 0.001, or 0.999 if all rows are toxic.
     """
     sample = labelled_sample(docs, labels, "toxic", MODULUS, REMAINDER, each).select("text", "label")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -221,26 +263,43 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int =
 
     counted = sample.mapInArrow(lean(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.persist()
-    least = max(4, 0.02 * toxic_n)
     share = F.col("toxic") / (F.col("toxic") + F.col("clean") * F.lit(toxic_n / clean_n))
+    likely = counted.where((F.col("toxic") >= 4) & (share >= purity))
+    names = frozenset(r["term"] for r in likely.select("term").collect())
+
+    def contexts(batches):
+        for batch in batches:
+            found = [(t, a and xxhash.xxh3_64_intdigest(a) >> 1, b and xxhash.xxh3_64_intdigest(b) >> 1) for text in batch.column("text") for t, a, b in _contexts(text.as_py(), names)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["term", "before", "after"])
+
+    # A row for each term and toxic row at most.
+    seen = sample.where("label = 1").select("text").mapInArrow(lean(contexts), "term string, before long, after long").distinct()
+    apart = seen.groupBy("term").applyInPandas(lambda key, rows: pd.DataFrame({"term": [key[0]], "apart": [independent(rows["before"], rows["after"])]}), "term string, apart long")
     # Less the logarithm of Chernoff's bound on so many toxic ones among the documents that have a term.
-    of = lambda x, rate: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (F.col("toxic") + F.col("clean")) / F.lit(rate))).otherwise(0.0)
-    evidence = of("toxic", toxic_n / (toxic_n + clean_n)) + of("clean", clean_n / (toxic_n + clean_n))
-    found = counted.where((F.col("toxic") >= 4) & (share >= purity)).withColumn("evidence", evidence).orderBy(F.desc("evidence"), "term").limit(most_terms).collect()
+    of = lambda x, rate: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (F.col("apart") + F.col("clean")) / F.lit(rate))).otherwise(0.0)
+    evidence = of("apart", toxic_n / (toxic_n + clean_n)) + of("clean", clean_n / (toxic_n + clean_n))
+    found = likely.join(apart, "term").where("apart >= 4").withColumn("evidence", evidence).orderBy(F.desc("evidence"), "term").collect()
     tried = counted.where(F.col("toxic") + F.col("clean") >= 4).count()
     passed = max((k for k, r in enumerate(found, 1) if r["evidence"] >= np.log(tried / (k * chance))), default=0)
-    terms = choose({r["term"]: r["toxic"] for k, r in enumerate(found, 1) if k <= passed or r["toxic"] >= least})
-    model = constant | {"terms": {t: (1.0, stem) for t, stem in terms.items()}}
+    terms = choose({r["term"]: r["toxic"] for r in found[:passed]})
+    edits = {t: Lexicon.allowed(t, stem) for t, stem in terms.items()}
+    entries = lambda: {t: (1.0, stem, edits[t]) for t, stem in terms.items()}
 
-    def exceptions(batches):
-        lexicon = Lexicon(model["terms"])
+    def ordinary(batches, held):
+        lexicon = Lexicon(held)
         for batch in batches:
-            yield batch.filter(pa.array([lexicon.find(t, 1.0) is not None for t in batch.column(0).to_pylist()], pa.bool_()))
+            hits = [lexicon.find(t, 0.5) for t in batch.column(0).to_pylist()]
+            near = [(t, h[1]) for t, h in zip(batch.column(0).to_pylist(), hits, strict=True) if h and h[0] < 1.0]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in near], pa.string()), pa.array([h for _, h in near], pa.string())], names=["word", "term"])
 
-    near = counted.where((F.col("clean") > F.col("toxic")) & ~F.col("term").endswith("*")).select("term").mapInArrow(lean(exceptions), "term string")
-    # Words near a lexicon of bounded size; a bounded number of the most frequent would do.
-    model["clean"] = frozenset(r["term"] for r in near.limit(100_000).collect())
+    words = counted.where((F.col("clean") > F.col("toxic")) & ~F.col("term").endswith("*")).select("term")
+    near = [tuple(r) for r in words.mapInArrow(lean(lambda batches, held=entries(): ordinary(batches, held)), "word string, term string").collect()]
     counted.unpersist()
+    for term, n in Counter(t for _, t in near).items():
+        if n > neighbours:
+            edits[term] = 0
+    lexicon = Lexicon(entries())
+    model = constant | {"terms": lexicon.terms, "clean": frozenset(w for w, _ in near if lexicon.find(w, 0.5))}
 
     def measured(batches):
         own = ToxicityScorer(model)
@@ -250,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int =
 
     seen = sample.mapInArrow(lean(measured), "label int, x double").groupBy("label", "x").count().toPandas().sort_values(["label", "x"])
     n = seen["count"].to_numpy()
-    x = np.repeat(np.log1p(np.minimum(seen["x"].to_numpy(), 20.0)), n)[:, None]
+    x = np.repeat(np.log1p(seen["x"].to_numpy()), n)[:, None]
     y = np.repeat(seen["label"].to_numpy(), n)
     if np.ptp(x) == 0:
         return model | {"calibration": level(min(max(y.mean(), 0.001), 0.999))}
@@ -259,10 +318,10 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 15000, most_terms: int =
 
 
 def choose(counts: dict[str, int]) -> dict[str, bool]:
-    """Terms to keep, and whether each is a stem.
+    """Terms to keep, and whether each is a stem; ``counts`` has the strongest first.
 
     A stem gives way to a longer one, or to a word, that nearly as many documents have (95 %); what a
-    kept shorter stem covers is not kept again.
+    kept shorter stem covers, and what is a misspelling of a stronger kept term, is not kept again.
     """
     kept: dict[str, bool] = {}
     for name in sorted(counts, key=lambda t: (len(t.rstrip("*")), t.endswith("*"), t)):
@@ -273,14 +332,21 @@ def choose(counts: dict[str, int]) -> dict[str, bool]:
         if name.endswith("*") and any(counts[t] >= 0.95 * counts[name] for t in longer):
             continue
         kept[base] = name.endswith("*")
-    return kept
+    lexicon = Lexicon({})
+    for name in counts:
+        base = name.rstrip("*")
+        if kept.get(base) == name.endswith("*") and (kept[base] or lexicon.find(base, 1.0) is None):
+            lexicon.add(base, 1.0, kept[base], Lexicon.allowed(base, kept[base]))
+    return {t: stem for t, (_, stem, _) in lexicon.terms.items()}
 
 
 def score_documents(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
-    Null and empty texts have no hit and get the score of none. Whole texts are searched; repeated
-    rows are each scored; rows without an id count as held out.
+    Null and empty texts have no hit and get the score of none. Whole texts are searched, very long ones
+    too; repeated rows are each scored; rows without an id count as held out; no rows give none; further
+    columns, whatever their names, are not read. The score is the logistic of ln(1 + w), w being the sum of
+    the hits' weights: 1, ``fuzzy`` for a misspelling, times ``quoted`` where a hit is quoted or reported.
     """
     found = map_texts(docs, ["doc_id"], "text", lambda: lambda texts, own=ToxicityScorer(model): [own.scores(texts)], "score double")
     return found.select(

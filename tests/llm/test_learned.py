@@ -1,9 +1,11 @@
 """Language, quality and toxicity: held-out accuracy, and defined results in odd cases."""
 
+import math
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from compare import connect, same  # noqa: F401
 from hypothesis import given, settings
@@ -161,7 +163,7 @@ def test_trie_walk_finds_what_distance_says(term, edits):
     for at, c, kind in edits:
         at = min(at, len(word) - 1)
         word = word[:at] + (c if kind != 1 else "") + word[at + (kind != 2) :] if len(word) > 1 else word
-    lexicon = toxicity.Lexicon({t: (1.0, False) for t in terms})
+    lexicon = toxicity.Lexicon({t: (1.0, False, toxicity.Lexicon.allowed(t, False)) for t in terms})
     bear = 2 if len(word) > 6 else 1 if len(word) > 3 else 0
     want = any(distance(word, t) <= min(bear, lexicon.allowed(t, False)) for t in terms)
     assert (lexicon.find(word, 0.8) is not None) == want
@@ -206,6 +208,9 @@ def test_toxicity(spark, make_docs):
     assert len(held) > 30 and all(r["predicted"] == truth[r["doc_id"]] for r in held)
     assert [by[i]["predicted"] for i in (None, 1002, 1003, 1004, 1006)] == [1] * 5
     assert [by[i]["predicted"] for i in (1000, 1001, 1005, 1007)] == [0] * 4
+    texts = {r[0]: r[1] for r in rows + odd}
+    for i in [*range(60), None, *range(1000, 1006), 1007]:
+        assert by[i]["score"] == pytest.approx(direct_score(model, texts[i]), abs=1e-9)
     own = toxicity.ToxicityScorer(model)
     assert [(i, t, q) for i, t, _, q in own.spans('he said "blockhead" then')] == [(2, "blockhead", True)]
     none = toxicity.fit(docs, marks.limit(0))
@@ -224,6 +229,40 @@ def test_toxic_words_of_few_rows_are_learned(spark, make_docs):
     assert toxicity.score_documents(docs.where("doc_id = 9000"), model).first()["predicted"] == 1
 
 
+def test_copies_are_no_evidence(spark, make_docs):
+    assert toxicity.independent([1, 1, 2, 3, 0, 0], [5, 6, 6, 7, 8, 0]) == 4
+    rows, labels = toxic_rows(1200)
+    copied = "stone qwertzug again"
+    more = [(20_000 + i, f"the water {copied} house {WORDS['en'][i % 11]} light", "en", "s") for i in range(40)]
+    docs = make_docs(rows + more)
+    marks = spark.createDataFrame(labels + [(i, 1, 1) for i, *_ in more], "doc_id long, quality int, toxic int")
+    assert "qwertzug" not in toxicity.fit(docs, marks)["terms"]
+
+
+def direct_score(model, text):
+    """Score by edit distances over all terms and by the words around each hit."""
+    words = (text or "").lower().split()
+    total = 0.0
+    for i, w in enumerate(words):
+        bare = w.strip(toxicity._EDGE)
+        forms = [bare] if bare.isalpha() or not bare else [*filter(None, toxicity._INNER.split(bare)), toxicity._INNER.sub("", bare).translate(toxicity._DISGUISE), w.strip("\"'().,;:?").translate(toxicity._DISGUISE)]
+        best = None
+        for f in filter(None, forms):
+            for term, (weight, stem, k) in model["terms"].items():
+                bear = min(k, 2 if len(f) > 6 else 1 if len(f) > 3 else 0)
+                d = (0 if f.startswith(term) else 9) if stem else distance(f, term)
+                if d <= bear and f not in model["clean"]:
+                    best = max(best or (0.0, ""), (weight * (model["fuzzy"] if d else 1.0), term))
+        if best:
+            before, after = words[max(0, i - model["window"]) : i], words[i + 1 : i + 1 + model["window"]]
+            marks = toxicity._QUOTES
+            opened = sum(x.count(q) for x in before for q in marks) % 2 == 1 or w.startswith(marks)
+            closed = w.rstrip(".,;:!?").endswith(marks) or any(q in x for x in after for q in marks)
+            said = any(x.strip(toxicity._EDGE) in toxicity._REPORTING for x in before[-3:])
+            total += best[0] * (model["quoted"] if opened and closed or said else 1.0)
+    return float(toxicity.probability(model["calibration"], np.array([[math.log1p(total)]]))[0])
+
+
 @pytest.mark.parametrize(("text", "want"), [("a a a a a", 5), ("a b c a b c", 6), ("a b c d a b c", 6), ("a b", 0), ("", 0)])
 def test_repeated_words(text, want):
     from tallowgrid.llm.hosts import measure
