@@ -43,8 +43,17 @@ def ngram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.bincount(inverse, weights=np.concatenate(counts), minlength=len(flat)).astype(np.int64)
 
 
+def only_letters(words: Counter) -> Counter:
+    """Words cut at what is no letter: the pattern takes numerals that are no digits for letters."""
+    for w in [w for w in words if not w.isalpha()]:
+        n = words.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            words[part] += n
+    return words
+
+
 def words_of(text: str) -> Counter:
-    return Counter(_WORD.findall(text.lower()))
+    return only_letters(Counter(_WORD.findall(text.lower())))
 
 
 def fit(docs: DataFrame, size: int = 300) -> dict:
@@ -62,7 +71,7 @@ def fit(docs: DataFrame, size: int = 300) -> dict:
 
         def flush():
             for lang, words in held.items():
-                codes, counts = ngram_counts(words)
+                codes, counts = ngram_counts(only_letters(words))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
             held.clear()
 
