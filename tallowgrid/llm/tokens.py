@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import heapq
+import math
 import os
 import re
 import struct
@@ -50,7 +51,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # A text with an added token's string is encoded whole, as chunks don't show where it begins.
+        self.added = sorted({x for t in self.tokenizer.get_added_tokens_decoder().values() for x in (t.content, t.content.lower())})
         self.leading_space, self.limit = leading_space, limit
         self.form = "utf-8" if leading_space else "latin-1"
         self.body: dict[str, bytes] = {}
@@ -131,6 +133,8 @@ class ChunkEncoder:
         return b"".join(ids)
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added) or not self.leading_space and any(t in text.lower() for t in self.added):
+            return self._library([text])[0]
         if not self.leading_space:
             try:
                 # These characters don't combine, so the case of A-Z may go first; bytes split at
@@ -157,11 +161,26 @@ class ChunkEncoder:
         return b"".join([*out, self._chunks(plain) if plain else b""])
 
 
+def _quietly(task):
+    """A task during which the collector of cycles rests: what an encoder remembers holds none, and walking
+    it again and again takes a third of the time."""
+
+    def run(batches):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from task(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return run
+
+
 def encoder(path: str, leading_space: bool, remembered: int) -> ChunkEncoder:
     """One encoder for each vocabulary and worker process."""
     key = (path, leading_space, remembered)
     if key not in _ENCODERS:
-        gc.disable()  # the memory holds no cycles; walking it again and again takes a third of the time
         _ENCODERS.clear()
         _ENCODERS[key] = ChunkEncoder(path, leading_space, remembered)
     return _ENCODERS[key]
@@ -311,7 +330,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, leading_space: bool = Fal
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "documents": [count], "n_tokens": [total]}, schema=schema)
 
     schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("n_tokens", pa.int64())])
-    return materialise(rows.mapInArrow(lean(write, "tokens"), "shard long, path string, documents long, n_tokens long"), "token-manifest")
+    return materialise(rows.mapInArrow(lean(_quietly(write), "tokens"), "shard long, path string, documents long, n_tokens long"), "token-manifest")
 
 
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -359,14 +378,53 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 # --- packing -----------------------------------------------------------------------------------
 
 
+class _Rooms:
+    """Open sequences by the room they have: the cheapest with at least some room, in steps of log(capacity)."""
+
+    def __init__(self, capacity: int):
+        self.leaves = capacity + 1
+        self.heaps: list[list] = [[] for _ in range(self.leaves)]
+        self.tree: list[tuple] = [(math.inf, -1, 0)] * (2 * self.leaves)
+
+    def _refresh(self, room: int) -> None:
+        at = room + self.leaves
+        self.tree[at] = (*self.heaps[room][0], room) if self.heaps[room] else (math.inf, -1, 0)
+        while at > 1:
+            at //= 2
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def add(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        if self.heaps[room][0][1] == sequence:
+            self._refresh(room)
+
+    def take(self, least: int) -> tuple[float, int, int] | None:
+        """Removes and returns (cost, sequence, room) of the cheapest with that room."""
+        a, b, best = least + self.leaves, 2 * self.leaves, (math.inf, -1, 0)
+        while a < b:
+            if a & 1:
+                best = min(best, self.tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                best = min(best, self.tree[b])
+            a, b = a // 2, b // 2
+        if best[1] < 0:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._refresh(best[2])
+        return best
+
+
 def pack_lengths(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> list[tuple[int, int, int, int, int]]:
     """Cost-balanced packing of documents into sequences that end up full.
 
     Returns pieces (document, start, length, sequence, offset). A sequence has the capacity, or a
     power of two below it: the ids that don't fill whole sequences go to one sequence for each binary
     digit of their number, so no sequence needs padding. Documents, cut to the capacity, go in
-    descending cost (linear + quadratic attention) to the sequence of lowest cost that has room; a
-    document larger than that room is cut, and its rest goes on in turn. ``capacity`` is a power of two.
+    descending cost (linear + quadratic attention, within a piece) to the sequence of lowest cost that has
+    room for them. Only where none has, a document is cut to the cheapest one's room, and its rest goes
+    on in turn. ``capacity`` is a power of two.
     """
     total = sum(lengths)
     rooms = [capacity] * (total // capacity)
@@ -379,23 +437,22 @@ def pack_lengths(lengths: list[int], capacity: int, linear: float = 1.0, quadrat
         at = 0
         while n - at >= capacity:
             out.append((d, at, capacity, full, 0))
-            used[full] = capacity
             full, at = full + 1, at + capacity
         if n > at:
             queue.append((at - n, d, at))
     heapq.heapify(queue)
-    heap = [(0.0, s) for s in range(full, len(rooms))]
+    held = _Rooms(capacity)
+    for s in range(full, len(rooms)):
+        held.add(0.0, s, rooms[s])
     while queue:
         left, d, at = heapq.heappop(queue)
         left = -left
-        cost, s = heap[0]
-        take = min(left, rooms[s] - used[s])
+        cost, s, room = held.take(left) or held.take(1)
+        take = min(left, room)
         out.append((d, at, take, s, used[s]))
         used[s] += take
-        if used[s] == rooms[s]:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, (cost + linear * take + quadratic * take * take, s))
+        if take < room:
+            held.add(cost + linear * take + quadratic * take * take, s, room - take)
         if take < left:
             heapq.heappush(queue, (take - left, d, at + take))
     return out
@@ -452,4 +509,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, l
         if held:
             yield flush()
 
-    return rows.mapInArrow(lean(pack, "tokens"), ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids)
+    return rows.mapInArrow(lean(_quietly(pack), "tokens"), ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids)

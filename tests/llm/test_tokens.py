@@ -15,13 +15,12 @@ from tallowgrid.llm import tokens
 from tallowgrid.llm.common import open_fs
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", " ", "\n", "a  b c", " x y", "x ", "a\n b", "a \n b  c\t d", "Σας ΟΔΟΣ é́", "it's I'LL 'd don't!!! a||b", "<|endoftext|>", "\x1ca \x1c b", "日本語 한국어。", "ÀÉ ß Ǆ İ", "H̱ ẖ", "1234 x1y2", "a b", "word, word. Word!! WORD"]
+TEXTS = ["", " ", "\n", "a  b c", " x y", "x ", "a\n b", "a \n b  c\t d", "Σας ΟΔΟΣ é́", "it's I'LL 'd don't!!! a||b", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "<PAD> x [unk] <|ENDOFTEXT|>", "\x1ca \x1c b", "日本語 한국어。", "ÀÉ ß Ǆ İ", "H̱ ẖ", "1234 x1y2", "a b", "word, word. Word!! WORD"]
 ROWS = [(i, t) for i, t in enumerate(TEXTS)] + [(100, None), (None, "no id"), (3, "again"), (3, "a  b c"), (7, "long words here. " * 4000)]
 
 
 def library(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
 
 
@@ -29,11 +28,12 @@ def library(path, text):
 def test_chunks_give_the_librarys_ids(path, space):
     draw = random.Random(5)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     for limit in (700_000, 3):
         own = tokens.ChunkEncoder(path, space, limit=limit)
         made = ["".join(draw.choice([" ", "  ", "\n", "a", "Be", "é", "'s", "1", "!", ",", "\t", "́", "漢", "\x1c", " ", "É", "µ", "\x85"]) for _ in range(draw.randint(1, 25))) for _ in range(400)]
-        for x in TEXTS + made:
+        named = [draw.choice(TEXTS) + draw.choice(["", " "]) + a.content + draw.choice(["", " "]) + draw.choice(TEXTS) for a in t.get_added_tokens_decoder().values() for _ in range(9)]
+        assert named
+        for x in TEXTS + made + named + [x.upper() for x in named]:
             assert own.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(x)
 
 
@@ -60,6 +60,12 @@ def test_packing_is_exact_and_without_padding(lengths, capacity):
     assert sorted(by_sequence) == list(range(len(by_sequence)))
 
 
+def test_documents_that_fit_are_not_cut():
+    assert len(tokens.pack_lengths([1500, 1500, 500, 500, 48, 48], 2048)) == 6
+    lengths = [random.Random(1).randint(1, 900) for _ in range(3000)]
+    assert len(tokens.pack_lengths(lengths, 2048)) < 1.2 * len(lengths)
+
+
 def test_costs_are_balanced():
     lengths = [2**k for k in range(11)] * 60
     pieces = tokens.pack_lengths(lengths, 2048)
