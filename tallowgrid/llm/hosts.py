@@ -57,15 +57,21 @@ def measure_documents(docs: DataFrame) -> DataFrame:
     return map_texts(docs, ["doc_id", "source"], "text", make, ", ".join(f"{m} long" for m in MEASURES))
 
 
-def host_verdicts(measured: DataFrame, reject_above: float = 0.5) -> DataFrame:
-    """One row a host: source, documents, the shrunk failure rate of each rule, host_ok.
-
-    For each rule the beta prior has the pooled rate as its mean and a strength by the method of
-    moments: p(1-p)/v - 1, within 1 and 10,000, where v is the variance of the hosts' rates, weighted
-    by documents, less what sampling alone gives. A host's rate is (prior mean * strength + failures)
-    / (strength + documents); a host is bad if any rule's rate is above ``reject_above`` and above the
-    prior mean, so that hosts of few documents aren't judged by what others do. Rows without a source
-    are one host. The table has a row a host; sums over it are the only global step.
+#: A host is bad if a rule's failure rate is surely above EXCESS times the pooled rate, and above LEAST;
+#: surely: by SURENESS standard deviations of the posterior.
+EXCESS, LEAST, SURENESS = 1.5, 0.05, 2.0
+
+
+def host_verdicts(measured: DataFrame, excess: float = EXCESS, least: float = LEAST, sureness: float = SURENESS) -> DataFrame:
+    """One row a host: source, documents, the shrunk failure rate of each rule and its lower bound, host_ok.
+
+    For each rule the beta prior has the pooled rate p as its mean and a strength s by the method of
+    moments: p(1-p)/v - 1, within 1 and 10,000, where v is the variance of the hosts' rates, weighted by
+    documents, less what sampling alone gives. A host of n documents, f of which fail, has the posterior
+    rate m = (p s + f) / (s + n) with the variance m(1-m) / (s + n + 1). It is bad if for any rule m less
+    ``sureness`` standard deviations is above ``excess`` * p and above ``least``: a host of few documents
+    is near p and unsure, so it isn't judged by what little is known. Rows without a source are one host.
+    The table has a row a host; sums over it are the only global step.
     """
     # A hot host's rows are summed within each task first.
     fails = [F.sum(F.expr(f"CAST({rule} AS INT)").cast("long")).alias(f"f_{name}") for name, rule in RULES.items()]
@@ -74,25 +80,28 @@ def host_verdicts(measured: DataFrame, reject_above: float = 0.5) -> DataFrame:
     n, h = totals["n"] or 1, totals["h"] or 1
     mean = {r: (totals[f"t_{r}"] or 0) / n for r in RULES}
     spread = hosts.agg(*[F.sum(F.col("documents") * F.pow(F.col(f"f_{r}") / F.col("documents") - F.lit(mean[r]), F.lit(2.0))).alias(r) for r in RULES]).first()
-    rates = []
+    rates, bounds = {}, {}
     for r in RULES:
         p = mean[r]
         v = (spread[r] or 0.0) / n - p * (1 - p) * h / n
         strength = min(max(p * (1 - p) / v - 1, 1.0), 10_000.0) if v > 0 else 10_000.0
-        rates.append(((F.lit(p * strength) + F.col(f"f_{r}")) / (F.lit(strength) + F.col("documents"))).alias(f"rate_{r}"))
-    judged = hosts.select("source", "documents", *rates)
-    fine = [F.col(f"rate_{r}") <= F.lit(max(reject_above, mean[r])) for r in RULES]
+        rates[f"rate_{r}"] = (F.lit(p * strength) + F.col(f"f_{r}")) / (F.lit(strength) + F.col("documents"))
+        m = F.col(f"rate_{r}")
+        bounds[f"surely_{r}"] = m - F.lit(sureness) * F.sqrt(m * (1 - m) / (F.lit(strength + 1) + F.col("documents")))
+    judged = hosts.withColumns(rates).withColumns(bounds).select("source", "documents", *rates, *bounds)
+    fine = [F.col(f"surely_{r}") <= F.lit(max(excess * mean[r], least)) for r in RULES]
     return judged.withColumn("host_ok", reduce(lambda a, b: a & b, fine))
 
 
-def judge_documents(docs: DataFrame, reject_above: float = 0.5) -> DataFrame:
-    """doc_id, the measures, base_failed, kept for every row.
+def judge_documents(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, the measures, base_failed, kept for every row; ``options`` are those of ``host_verdicts``.
 
-    Null and empty texts have no words and fail the base. Repeated rows are judged each. The measures
-    are written once, narrow, and read for the hosts' sums and for the result.
+    Null and empty texts have no words and fail the base; whole texts are measured, however long. Repeated
+    rows are judged each; no rows give none; further columns, whatever their names, are not read. The
+    measures are written once, narrow, and read for the hosts' sums and for the result.
     """
     measured = materialise(measure_documents(docs), "host-measures")
-    verdicts = host_verdicts(measured, reject_above).select(F.col("source").alias("__host"), "host_ok")
+    verdicts = host_verdicts(measured, **options).select(F.col("source").alias("__host"), "host_ok")
     joined = measured.join(verdicts, measured["source"].eqNullSafe(verdicts["__host"]), "left")
     base = F.expr(f"({RULES['short']}) OR ({RULES['repetitive']})")
     return joined.select("doc_id", *MEASURES, base.alias("base_failed"), (~base & F.coalesce("host_ok", F.lit(True))).alias("kept"))
@@ -130,9 +139,10 @@ spread AS (
 strength AS (
  SELECT {", ".join(f"CASE WHEN v_{r} > 0 THEN least(greatest(p_{r} * (1 - p_{r}) / v_{r} - 1, 1), 10000) ELSE 10000 END AS m_{r}" for r in RULES)}
  FROM spread, pooled),
+shrunk AS (SELECT source, n, {", ".join(f"p_{r}, m_{r}, (p_{r} * m_{r} + f_{r}) / (m_{r} + n) AS r_{r}" for r in RULES)} FROM hosts, pooled, strength),
 verdicts AS (
- SELECT source, {" AND ".join(f"(p_{r} * m_{r} + f_{r}) / (m_{r} + n) <= greatest(0.5, p_{r})" for r in RULES)} AS host_ok
- FROM hosts, pooled, strength)
+ SELECT source, {" AND ".join(f"r_{r} - {SURENESS} * sqrt(r_{r} * (1 - r_{r}) / (m_{r} + n + 1)) <= greatest({EXCESS} * p_{r}, {LEAST})" for r in RULES)} AS host_ok
+ FROM shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
  ({RULES["short"]}) OR ({RULES["repetitive"]}) AS base_failed,
  NOT (({RULES["short"]}) OR ({RULES["repetitive"]})) AND host_ok AS kept
