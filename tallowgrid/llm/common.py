@@ -158,13 +158,17 @@ def agreed_labels(labels: DataFrame, name: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, name: str, modulus: int, remainder: int, each: int) -> DataFrame:
     """doc_id, text, label of at most ``each`` rows a label, never held out; the same rows every time.
 
-    The rows are those with the smallest hashes of their ids, so the sample is spread over all rows.
+    The rows are those with the smallest hashes of their ids, so the sample is spread over all rows; of
+    rows that share an id, that with the smallest hash of its text. It is written once and read as often
+    as a fit needs it.
     """
     known = agreed_labels(labels, name).where(~held_out("doc_id", modulus, remainder)).join(docs.select("doc_id").distinct(), "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("label") == F.lit(v)).orderBy(*order).limit(each) for v in (0, 1)]
     # At most 2 * each ids: small by parameter, so this side may be broadcast.
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    return materialise(one.select("doc_id", F.col("first.text").alias("text"), "label"), "labelled-sample")
 
 
 def logistic(features: np.ndarray, target: np.ndarray, ridge: float = 1e-2, rate: float | None = None) -> dict:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
-import zlib
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -14,32 +12,39 @@ from pyspark.sql import functions as F
 from tallowgrid.llm.common import agreed_labels, held_out, keep_texts, labelled_sample, lean, logistic, map_texts, probability
 
 MODULUS, REMAINDER = 4, 2
-CHUNK = 1024
+#: Scales at which a text is compared with either kind: bytes of a block, of a dictionary, and of the
+#: segments that dictionaries are trained from. Small blocks tell words apart, large ones repetition.
+SCALES = ((1024, 32768, 200), (256, 32768, 64), (64, 65536, 64))
 
 
-def _chunks(content: bytes) -> list[bytes]:
+def _chunks(content: bytes, size: int) -> list[bytes]:
     """A text in blocks short enough that the dictionary counts; together they are the whole text."""
-    return [content[i : i + CHUNK] for i in range(0, len(content), CHUNK)] or [b""]
+    return [content[i : i + size] for i in range(0, len(content), size)] or [b""]
 
 
 class CompressionScorer:
-    """Score of a text from its compressed sizes with either dictionary."""
+    """Score of a text from its compressed sizes with the dictionaries of bad and of good text."""
 
     def __init__(self, model: dict):
         self.model = model
         self.by = []
-        for content in model["dictionaries"]:
-            dictionary = zstandard.ZstdCompressionDict(content)
-            dictionary.precompute_compress(level=3)
-            self.by.append(zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
+        for pair in model["dictionaries"]:
+            self.by.append([])
+            for content in pair:
+                dictionary = zstandard.ZstdCompressionDict(content)
+                dictionary.precompute_compress(level=3)
+                self.by[-1].append(zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
 
     def features(self, text: str) -> list[float]:
-        content = text.encode("utf-8", "replace")
-        blocks = _chunks(content)
-        bad, good = (sum(len(c.compress(b)) for b in blocks) for c in self.by)
-        n = max(len(content), 1)
-        difference, ratio, size = (bad - good) / (bad + good), min((bad + good) / (2 * n), 2.0), math.log(n + 20)
-        return [difference, difference * size, difference / size, ratio, max(0.0, 0.3 - ratio), ratio * size, size]
+        """For each scale the normalised difference (bad - good) / (bad + good) of compressed sizes: of the
+        whole text, and the mean, least and largest of its blocks."""
+        content, out = text.encode("utf-8", "replace"), []
+        for (size, _, _), (bad, good) in zip(SCALES, self.by, strict=True):
+            blocks = _chunks(content, size)
+            b, g = (np.array([len(c.compress(x)) for x in blocks], dtype=np.float64) for c in (bad, good))
+            each = (b - g) / (b + g)
+            out += [(b.sum() - g.sum()) / (b.sum() + g.sum()), each.mean(), each.min(), each.max()]
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
@@ -61,31 +66,29 @@ def scorer(model: dict):
     return CompressionScorer(model) if "dictionaries" in model else ConstantScorer(model)
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 8000, dictionary_bytes: int = 32768, chunks_each: int = 4) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, each: int = 8000) -> dict:
     """Dictionaries from one half of the sampled rows, the calibration from the other half.
 
-    ``each`` bounds the labelled rows learned from, for each label; ``chunks_each`` bounds the blocks
-    of one document, chosen by hash over the whole text, that a dictionary is built from. Held-out
-    rows and rows with conflicting labels are never learned from. Without rows of both labels the
-    model is a constant: 1 or 0 for the one label there is, 0.5 for none.
+    ``each`` bounds the labelled rows learned from, for each label; of these whole texts are used. A
+    dictionary is trained in a task of its own from all blocks of its label's half; the driver gets the
+    dictionaries and a row of differences for each row of the other half. Held-out rows and rows with
+    conflicting labels are never learned from. Without rows of both labels the model is a constant: 1 or 0
+    for the one label there is, 0.5 for none.
     """
     sample = labelled_sample(docs, labels, "quality", MODULUS, REMAINDER, each)
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
 
-    def sampled(batches):
-        for batch in batches:
-            out_label, out = [], []
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                for c in sorted(_chunks(text.encode("utf-8", "replace")), key=zlib.crc32)[:chunks_each]:
-                    out_label.append(label)
-                    out.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(out_label, pa.int32()), pa.array(out, pa.binary())], names=["label", "chunk"])
-
-    built = sample.where(half == 0).select("text", "label").mapInArrow(lean(sampled), "label int, chunk binary").toPandas()
-    pools = [sorted(bytes(c) for c in built["chunk"][built["label"] == v]) for v in (0, 1)]
-    if not all(len(p) >= 2 for p in pools):
-        return {"constant": float(bool(pools[1])) if bool(pools[0]) != bool(pools[1]) else 0.5}
-    model: dict = {"dictionaries": [_dictionary(p, dictionary_bytes) for p in pools]}
+    def train(key, rows):
+        texts = [t.encode("utf-8", "replace") for t in rows["text"]]
+        found = [dictionary([c for t in texts for c in _chunks(t, size)], most, segment) for size, most, segment in SCALES]
+        return pd.DataFrame({"label": [int(key[0])] * len(found), "scale": range(len(found)), "content": found})
+
+    trained = sample.where(half == 0).select("label", "text").groupBy("label").applyInPandas(train, "label int, scale int, content binary")
+    by = {(r["label"], r["scale"]): bytes(r["content"]) for r in trained.collect()}
+    labels_seen = {label for label, _ in by}
+    if labels_seen != {0, 1}:
+        return {"constant": float(max(labels_seen)) if labels_seen else 0.5}
+    model: dict = {"dictionaries": [[by[v, k] for v in (0, 1)] for k in range(len(SCALES))]}
 
     def measured(batches):
         own = CompressionScorer(model)
@@ -105,10 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 8000, dictionary_bytes:
     return model
 
 
-def _dictionary(pool: list[bytes], size: int) -> bytes:
-    """A trained dictionary; of few or small blocks, their own text."""
+def dictionary(pool: list[bytes], size: int, segment: int) -> bytes:
+    """A trained dictionary, the same for a pool in any order; of few or small blocks, their own text."""
+    pool = sorted(pool)
     try:
-        return zstandard.train_dictionary(size, pool, level=3).as_bytes()
+        return zstandard.train_dictionary(size, pool, k=segment, d=8).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pool)[-size:] or b"\0" * 8
 
@@ -116,7 +120,8 @@ def _dictionary(pool: list[bytes], size: int) -> bytes:
 def score_documents(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; null and empty texts get a score too.
 
-    Repeated rows are each scored. Rows without an id count as held out.
+    Whole texts are compressed, however long. Repeated rows are each scored; rows without an id count as
+    held out; no rows give none; further columns, whatever their names, are not read.
     """
     found = map_texts(docs, ["doc_id"], "text", lambda: lambda texts, own=scorer(model): [own.scores(texts)], "score double")
     return found.select(
@@ -128,5 +133,8 @@ def score_documents(docs: DataFrame, model: dict, threshold: float = 0.7) -> Dat
 
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
-    """The documents, all columns kept, whose score reaches the threshold."""
+    """The documents, all columns kept, whose score reaches the threshold.
+
+    Null and empty texts have a score like others; repeated rows are each judged; no rows give none.
+    """
     return keep_texts(docs, lambda: lambda texts, own=scorer(model): own.scores(texts) >= threshold)

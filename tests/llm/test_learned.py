@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from compare import connect, same  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,8 +44,22 @@ def direct_ngrams(text):
     return out
 
 
+def direct_language(model, text):
+    """The nearest profile by summing out-of-place distances one n-gram after another."""
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(g))
+    own = [code(g) for g, _ in sorted(direct_ngrams(text or "").items(), key=lambda x: (-x[1], code(x[0])))[: model["size"]]]
+    if not own:
+        return "und", 0.0
+    best = None
+    for k, lang in enumerate(model["langs"]):
+        rank = {int(c): int(r) for c, r in zip(model["codes"], model["ranks"][:-1, k], strict=True) if r < model["size"]}
+        total = sum(abs(rank[c] - i) if c in rank else model["size"] for i, c in enumerate(own))
+        best = min(best or (total, lang), (total, lang))
+    return best[1], 1 - best[0] / (model["size"] * len(own))
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("abcéß", min_size=1, max_size=6), min_size=1, max_size=8))
+@given(st.lists(st.text("abcéß½²ⅧdǅZ", min_size=1, max_size=6), min_size=1, max_size=8))
 def test_ngrams_match_direct_counting(words):
     text = " ".join(words)
     codes, counts = language.ngram_counts(language.words_of(text))
@@ -55,7 +70,7 @@ def test_ngrams_match_direct_counting(words):
 
 def test_language(spark, make_docs):
     rows = corpus(make_docs)
-    odd = [(1000, None, "en", "s"), (1001, "", "en", "s"), (1002, "12 34 !!", "en", "s"), (1003, "der und nicht", None, None), (None, "the of and", "en", "s"), (3, "le et avec", "fr", "s"), (1004, "wasser licht stein " * 30_000, "de", "s")]
+    odd = [(1000, None, "en", "s"), (1001, "", "en", "s"), (1002, "12 34 ½ ² 5 Ⅷ ٣ !!", "en", "s"), (1003, "der und nicht", None, None), (None, "the of and", "en", "s"), (3, "le et avec", "fr", "s"), (1004, "wasser licht stein " * 30_000, "de", "s")]
     docs = make_docs(rows + odd)
     model = language.fit(docs)
     assert model["langs"] == ["de", "en", "fr"]
@@ -70,6 +85,10 @@ def test_language(spark, make_docs):
         assert by[(i, "und")]["score"] == 0.0
     assert (1003, "de") in by and (1004, "de") in by and (None, "en") in by and by[(None, "en")]["held_out"]
     assert all(0 <= r["score"] <= 1 for r in got)
+    texts = {i: t for i, t, _, _ in rows + odd}
+    for r in got:
+        if r["doc_id"] != 3:
+            assert (r["lang_pred"], pytest.approx(r["score"], abs=1e-12)) == direct_language(model, texts[r["doc_id"]])
     kept = language.keep_identified(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(got) - 3
     empty = language.fit(docs.limit(0))
@@ -125,6 +144,38 @@ def test_quality(spark, make_docs):
     assert sorted(map(str, quality.score_documents(docs, quality.fit(docs, turned)).collect())) == sorted(map(str, got))
 
 
+def test_scores_are_what_compressed_sizes_say(spark, make_docs):
+    rows, labels = quality_rows(120)
+    docs = make_docs(rows + [(1000, None), (1001, ""), (1002, "Stone light. " * 4000)])
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, model).collect()}
+    c = model["calibration"]
+    for i, text in [(r[0], r[1]) for r in rows[:40]] + [(1000, ""), (1001, ""), (1002, "Stone light. " * 4000)]:
+        x = []
+        for (size, _, _), pair in zip(quality.SCALES, model["dictionaries"], strict=True):
+            raw = text.encode()
+            parts = [raw[k : k + size] for k in range(0, len(raw), size)] or [b""]
+            sizes = []
+            for content in pair:
+                z = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes.append([len(z.compress(p)) for p in parts])
+            each = [(b - g) / (b + g) for b, g in zip(*sizes, strict=True)]
+            b, g = map(sum, sizes)
+            x += [(b - g) / (b + g), sum(each) / len(each), min(each), max(each)]
+        z = c["beta"][0] + sum(w * (v - m) / s for w, v, m, s in zip(c["beta"][1:], x, c["mean"], c["scale"], strict=True))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6)
+
+
+def test_a_sample_has_a_row_an_id(spark, make_docs):
+    from tallowgrid.llm.common import labelled_sample
+
+    docs = make_docs([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None), (4, "no label")])
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs, marks, "quality", 1000, 999, 5).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3] and {r["text"] for r in got if r["doc_id"] == 3} == {""}
+    assert len(labelled_sample(docs, marks, "quality", 1000, 999, 1).collect()) == 2
+
+
 def test_quality_without_both_labels(spark, make_docs):
     docs = make_docs([(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
