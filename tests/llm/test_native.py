@@ -4,7 +4,9 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
+from compare import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,6 +52,24 @@ def test_hosts(spark, make_docs):
     assert hosts.judge_documents(make_docs([])).count() == 0
 
 
+def test_host_verdicts_against_sql(spark, make_docs):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 8)))
+    good = lambda: " ".join(word() for _ in range(60))
+    poor = [lambda: "short", lambda: "again and again " * 30, lambda: " ".join(f"{word()} # # |" for _ in range(60)), lambda: " ".join(word() + "\n" + "same line here" + "\n" for _ in range(40))]
+    rows = []
+    for host, n, share, kind in (("clean", 300, 0.03, 0), ("hot", 400, 0.05, 1), ("bad", 120, 0.4, 1), ("worse", 80, 0.9, 2), ("symbols", 90, 0.5, 2), ("lines", 60, 0.6, 3), ("small", 4, 0.5, 0), ("lone", 1, 1.0, 2), (None, 50, 0.0, 0)):
+        rows += [(len(rows) + k, poor[kind]() if draw.random() < share else good(), "en", host) for k in range(n)]
+    docs = make_docs(rows)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    got = hosts.judge_documents(docs)
+    same(got, con, hosts.ORACLE_SQL)
+    verdict = {r["source"]: r["host_ok"] for r in hosts.host_verdicts(hosts.measure_documents(docs)).collect()}
+    assert verdict == {"clean": True, "hot": True, "bad": False, "worse": False, "symbols": False, "lines": False, "small": True, "lone": True, None: True}
+    assert got.where("NOT base_failed AND NOT kept").count() > 100
+
+
 def level_targets(sizes):
     """Targets by bisection of the level."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -125,8 +145,8 @@ def test_top_k(spark):
     rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] + [0.0] * 7), (2003, [float("inf")] * 8), (None, rows[0][1]), (2004, []), (2005, [5.0]), (2006, [0.0] * 8), (50, rows[60][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", mtree.F.lit("x")).repartition(3)
     queries = {i for i, _ in rows if i is not None and i % 50 == 0}
-    for each, block in ((16_384, 65_536), (300, 7)):
-        got = mtree.top_k(df, df.where("vec_id % 50 = 0"), k=5, tree_vectors=each, block_queries=block)
+    for each, block, pivots in ((16_384, 65_536, 9), (300, 7, 9), (60, 65_536, 4)):
+        got = mtree.top_k(df, df.where("vec_id % 50 = 0"), k=5, tree_vectors=each, block_queries=block, pivots=pivots)
         assert sorted(map(tuple, got.collect())) == brute(rows, queries, 5)
     assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id IN (0, 1)")
@@ -150,3 +170,23 @@ def test_bounds_spare_computations():
         want = np.lexsort((np.arange(len(dots)), -dots))[:5]
         assert ids.tolist() == want.tolist() and scores.tolist() == dots[want].tolist()
     assert seen[0] < 0.5 * len(vectors) * len(range(0, len(vectors), 97))
+
+
+def test_trees_out_of_reach_are_not_opened():
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(30, 16)) * 300
+    trees, kept = [], {}
+    for n, c in enumerate(centres):
+        rows = np.floor(c + draw.normal(size=(100, 16)) * 3).astype(np.int64)
+        kept[str(n)] = mtree.MTree.build(1000 * n + np.arange(100), rows)
+        trees.append({"path": str(n), "root": kept[str(n)].root.tolist(), "reach": kept[str(n)].reach, "most": kept[str(n)].most})
+    ids = np.concatenate([t.ids for t in kept.values()])
+    vectors = np.concatenate([t.vectors for t in kept.values()]).astype(np.int64)
+    opened, seen = [], [0]
+    some = np.flatnonzero(ids // 1000 == 4)[:5]
+    best = mtree.search_block(ids[some], vectors[some], trees, lambda p: opened.append(p) or kept[p], 5, seen)
+    for i, (scores, found) in zip(some, best, strict=True):
+        dots = vectors @ vectors[i]
+        want = np.lexsort((ids, -np.where(ids == ids[i], -(2**60), dots)))[:5]
+        assert found.tolist() == ids[want].tolist() and scores.tolist() == dots[want].tolist()
+    assert len(opened) < 15 and seen[0] < len(ids) * len(some) / 2
