@@ -18,10 +18,10 @@ _SYMBOLS = "#*$%&|<>!"
 def keyed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """docs with the columns __source, __size, __key and __bucket.
 
-    The key is -ln(u) / w: u is uniform, from the md5 of seed and doc_id, so reruns agree; w is the
-    document's quality weight, 1 less its symbols per word, 0.1 at least. Ascending keys are a draw
-    without replacement with chances in proportion to w. The bucket is a class of the key that ascends
-    with it.
+    The key is -ln(u) / w: u is uniform, from the md5 of seed, doc_id and the text's md5, so reruns agree
+    and rows without an id, or with one in common, have keys of their own; w is the document's quality
+    weight, 1 less its symbols per word, 0.1 at least. Ascending keys are a draw without replacement with
+    chances in proportion to w. The bucket is a class of the key that ascends with it.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns(
@@ -32,7 +32,8 @@ def keyed(docs: DataFrame, seed: int = 17) -> DataFrame:
         }
     )
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), number)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+    named = F.concat(F.lit(f"{seed}:"), number, F.lit(":"), F.md5(text))
+    u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
     w = F.greatest(F.lit(0.1), 1.0 - F.col("__symbols") / F.greatest(F.col("__size"), F.lit(1)))
     rows = rows.withColumn("__key", -F.ln(u) / w).drop("__symbols")
     return rows.withColumn("__bucket", F.floor(BUCKETS * F.col("__key") / (1.0 + F.col("__key"))).cast("int"))
@@ -134,7 +135,7 @@ ORACLE_SQL = f"""
 WITH sized AS (
  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
   length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{_SYMBOLS}', '')) AS symbols,
-  (('0x' || substring(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  (('0x' || substring(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
  FROM documents),
 rows AS (SELECT *, -ln(u) / greatest(0.1::DOUBLE, 1.0::DOUBLE - symbols::DOUBLE / greatest(size, 1)::DOUBLE) AS key FROM sized),
 sums AS (
