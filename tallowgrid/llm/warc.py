@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import lean, materialise, new_folder, open_fs
+from tallowgrid.llm.common import bound_batches, lean, materialise, new_folder, open_fs
 
 DATA_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format: signatures, and the structures after them.
@@ -34,6 +34,8 @@ _END = struct.Struct("<IHHHHIIH")
 _END64 = struct.Struct("<IQHHIIQQQQ")
 _LOCATOR64 = struct.Struct("<IIQI")
 _BIG16, _BIG32 = 0xFFFF, 0xFFFFFFFF
+#: Shares in which pages of one digest are dealt where digests are too many to be broadcast.
+SALTS = 16
 #: A fixed date, so that a package written again has the same bytes.
 _DATE = "2020-01-01T00:00:00Z"
 
@@ -166,7 +168,8 @@ class StoredZipReader:
         return packed, full, offset
 
     def read(self, name: str, at: int = 0, length: int | None = None) -> bytes:
-        method, offset, packed, _, _ = self.members[name]
+        """A range of a stored member; a member read whole is checked against the directory's CRC."""
+        method, offset, packed, _, crc = self.members[name]
         if method:
             raise ValueError(f"{name} is not stored")
         if name not in self.starts:
@@ -177,28 +180,40 @@ class StoredZipReader:
         length = packed - at if length is None else length
         if at < 0 or at + length > packed:
             raise ValueError(f"{name}: range outside the member")
-        return self.file.read_at(length, self.starts[name] + at)
+        data = self.file.read_at(length, self.starts[name] + at)
+        if len(data) == packed and zlib.crc32(data) != crc:
+            raise ValueError(f"{name}: its CRC differs from the directory's")
+        return data
 
 
 # --- packages of pages -------------------------------------------------------------------------
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, records_each: int = 5000, bytes_each: int = 256 << 20, least: int = 0, force64: bool = False) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, records_each: int = 5000, bytes_each: int = 256 << 20, least: int = 0, force64: bool = False, broadcast_rows: int = 500_000) -> DataFrame:
     """Write a record for each page into packages; one row a package: path, records.
 
     Of rows with equal payloads of at least ``least`` bytes, the smallest page_id is the response;
-    others refer to it. Null html is an empty payload. Rows without a page_id, and further rows with
-    the smallest page_id, are responses too unless a smaller id exists. Only digests and ids are
-    grouped; a page is shuffled at most once, to learn what it refers to.
+    others refer to it. Null html is an empty payload; whole pages are written, however long. Rows without
+    a page_id, and further rows with the smallest page_id, are responses too unless a smaller id exists.
+    No rows give no package; further columns, whatever their names, are not read. Only digests and ids are
+    grouped. Up to ``broadcast_rows`` repeated payloads are broadcast and no page is shuffled; beyond, pages
+    are dealt by digest and one of SALTS salts.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    firsts = rows.where(F.length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where((F.col("n") > 1) & F.col("first").isNotNull()).select("sha1", "first")
-    rows = rows.join(firsts, "sha1", "left").select("page_id", "url", "payload", F.when((F.col("page_id") != F.col("first")) | F.col("page_id").isNull(), F.col("first")).alias("refers_to"))
+    sha1 = F.unhex(F.sha1("payload"))
+    firsts = rows.where(F.length("payload") >= least).groupBy(sha1.alias("sha1")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # A row for each payload that repeats; payloads themselves are never dealt by a digest that many share.
+    firsts = materialise(firsts.where((F.col("n") > 1) & F.col("first").isNotNull()).select("sha1", "first"), "warc-firsts")
+    if firsts.count() <= broadcast_rows:
+        joined = rows.withColumn("sha1", sha1).join(F.broadcast(firsts), "sha1", "left")
+    else:
+        salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("sha1", sha1).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["sha1", "salt"], "left")
+    rows = joined.select("page_id", "url", "payload", F.when((F.col("page_id") != F.col("first")) | F.col("page_id").isNull(), F.col("first")).alias("refers_to"))
+    bound_batches(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number, fs = None, 0, None

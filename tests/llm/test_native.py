@@ -120,6 +120,15 @@ def test_mix(spark, make_docs):
     assert mixing.mix(make_docs([])).count() == 0 and mixing.mix(make_docs([(1, None), (2, "")])).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_rows_without_an_id_have_keys_of_their_own(spark, make_docs):
+    docs = make_docs([(None, f"text of row {i}") for i in range(10_000)])
+    rows = mixing.keyed(docs)
+    assert rows.groupBy("__bucket").count().agg({"count": "max"}).first()[0] < 50
+    assert rows.select("__key").distinct().count() == 10_000
+    taken = sorted(r["taken"] for r in mixing.mix(docs).collect())
+    assert abs(sum(taken) - 1.5 * 40_000) <= 2 and taken[0] == 4 and taken[-1] == 8
+
+
 def test_keys_draw_by_weight(spark, make_docs):
     # Of pairs of a clean and a symbol-laden document, the clean one comes first ten times in eleven.
     docs = make_docs([(i, "a b c d" if i % 2 else "a### b### c### d###") for i in range(4000)])

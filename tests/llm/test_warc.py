@@ -41,6 +41,8 @@ def test_reading_back(spark):
         assert sorted(map(str, shown)) == expected(ROWS)
         assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in got)
         assert all(r["payload"].decode() == {i: h or "" for i, _, h in ROWS}[r["page_id"]] for r in got if r["payload"] is not None)
+    by_salt = warc.read_archives(warc.write_archives(pages, broadcast_rows=0)).collect()
+    assert sorted(str(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))) for r in by_salt) == expected(ROWS)
     small = warc.read_archives(warc.write_archives(pages, least=100)).collect()
     assert sum(r["record_type"] == "revisit" for r in small) == 0
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
@@ -58,6 +60,13 @@ def test_packages_are_zip_files_of_stored_members(spark):
         assert b"\r\nEvil:" not in records
 
 
+def test_many_rows_of_one_payload(spark):
+    pages = spark.range(10_000).selectExpr("id + 3 AS page_id", "'u' AS url", "CAST(IF(id % 100 = 0, id, NULL) AS STRING) AS html")
+    got = warc.read_archives(warc.write_archives(pages))
+    assert got.where("record_type = 'revisit'").count() == 9900 - 1
+    assert {r["refers_to"] for r in got.where("refers_to IS NOT NULL").select("refers_to").distinct().collect()} == {4}
+
+
 def reader(tmp_path, content):
     (tmp_path / "z.zip").write_bytes(content)
     return warc.StoredZipReader(pafs.LocalFileSystem().open_input_file(str(tmp_path / "z.zip")))
@@ -73,6 +82,10 @@ def test_packages_of_other_writers(tmp_path):
         z.comment = b"a comment PK\x05\x06 with a signature in it, long enough to mislead"
     r = reader(tmp_path, out.getvalue())
     assert r.read("a/é.txt", 3, 4) == b"3456" and r.read("b") == b"wide"
+    raw = bytearray(out.getvalue())
+    raw[raw.index(b"wide")] ^= 1
+    with pytest.raises(ValueError, match="CRC"):
+        reader(tmp_path, bytes(raw)).read("b")
     with pytest.raises(ValueError, match="not stored"):
         r.read("c")
     with pytest.raises(ValueError, match="outside"):
