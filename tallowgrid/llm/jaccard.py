@@ -3,25 +3,25 @@
 Jaccard distance d is a metric; two documents link at d <= 0.25. Of arbitrary pivots nearly every
 document is at distance 1, where the triangle inequality says nothing, so pivots are elected where
 distances are below 1: linked documents share a shingle among their rarest ones (of a set of n, the
-first n - ceil(3n/4) + 1 in one order of all shingles). Each shingle of such a prefix elects its first
-document as a pivot, and a document belongs to the region of every pivot its prefix elects, so that each
-linked pair meets in a region. There, a pivot's distances to all members give a window: a pair can only
-link if |d(x, p) - d(y, p)| <= 0.25, and need not be looked at if both are linked to p already. What
-is left of a region elects its next pivot, and so on to the end. A region too large for a task gets many
-pivots at once; its members are dealt to their nearest pivots' cells, cells joined by links are
-merged, and the members outside the largest merged cell meet all others block by block.
+first n - ceil(3n/4) + 1 in one order of all shingles), and each shingle of such a prefix elects its
+first document. A document's home is the nearest of the pivots its prefix elects, so pivots make Voronoi
+cells. It is replicated to another cell only where the triangle inequality allows a link over the
+boundary (see ``_boundary`` and ``_split``), and what links to pivots have connected needs no meeting. A
+cell too large for a task is parted by new pivots in the same way, again and again; within a cell the
+distances to its pivot are a window outside which nothing can link.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallowgrid.llm.common import bound_batches, lean, materialise
@@ -29,9 +29,12 @@ from tallowgrid.llm.common import bound_batches, lean, materialise
 WORDS = 5
 #: A link needs NUMERATOR / DENOMINATOR of the union in common, in integers.
 NUMERATOR, DENOMINATOR = 3, 4
+#: The same as a distance, and what rounding may add to a window.
+REACH, MARGIN = 0.25, 1e-9
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 _hash = xxhash.xxh3_64_intdigest
+_LINKS = "a long, b long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -255,203 +258,258 @@ class Sets:
         return self.names[self.number[self.starts[row] : self.starts[row + 1]]]
 
 
-def join_region(sets: list[np.ndarray], pivot: int, seen: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links of a region that connect all that is connected in it: a spanning forest, exactly.
+def join_cell(sets: list[np.ndarray], group: np.ndarray | None = None, apart: np.ndarray | None = None, seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of a cell that connect all that is connected in it, exactly.
 
-    The pivot's distances to all members come first. Then, as long as a member outside the largest
-    component hasn't met the others, it is the next pivot: it meets those of other components that no
-    pivot's window keeps apart, in sets of fitting size. ``seen`` counts distances.
+    ``group`` says what is connected already, ``apart`` is each member's distance to the cell's pivot. As
+    long as a member outside the largest component hasn't met the others, it is the next pivot: it
+    meets those of other components that no pivot's window keeps apart, in sets of fitting size. Every
+    pair of different components has a member outside the largest. ``seen`` counts distances.
     """
     n, block = len(sets), Sets(sets)
-    forest, out, windows = _Forest(n), [], []
+    forest, out, windows = _Forest(n), [], [] if apart is None else [apart]
+    if group is not None:
+        first: dict = {}
+        for k, g in enumerate(group.tolist()):
+            forest.join(first.setdefault(g, k), k)
     size, done = block.sizes, np.zeros(n, dtype=bool)
-    own = pivot
-    rows = np.arange(n)
     while True:
-        common = block.common(block.hashes(own), rows)
-        if seen is not None:
-            seen[0] += len(rows)
-        hit = linked(common, size[own], size[rows])
-        for r in rows[hit].tolist():
-            if forest.join(own, r):
-                out.append((own, r))
-        if len(rows) == n and len(windows) < 8:
-            windows.append(1.0 - common / np.maximum(size[own] + size - common, 1))
-        done[own] = True
         roots = forest.roots()
         largest = np.bincount(roots, minlength=n).argmax()
         left = np.flatnonzero(~done & (roots != largest))
         if not len(left):
             return out
         own = int(left[0])
-        near = (roots != roots[own]) & ~done & (4 * np.minimum(size, size[own]) >= 3 * np.maximum(size, size[own]))
+        near = (roots != roots[own]) & ~done & (DENOMINATOR * np.minimum(size, size[own]) >= NUMERATOR * np.maximum(size, size[own]))
         for w in windows:
-            near &= np.abs(w - w[own]) <= 0.25 + 1e-9
+            near &= np.abs(w - w[own]) <= REACH + MARGIN
         rows = np.flatnonzero(near)
-
-
-def _members(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, dict[int, tuple]]]:
-    """Members by uid of runs of rows with one key: (set, other columns of the row)."""
-    own, held = None, {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            now = tuple(row[k] for k in key)
-            if held and now != own:
-                yield own, held
-                held = {}
-            own = now
-            if row["uid"] not in held:
-                held[row["uid"]] = (shingles(row["text"]), row)
-    if held:
-        yield own, held
-
-
-_LINKS = "a long, b long"
+        done[own] = True
+        common = block.common(block.hashes(own), rows)
+        if seen is not None:
+            seen[0] += len(rows)
+        for r in rows[linked(common, size[own], size[rows])].tolist():
+            if forest.join(own, r):
+                out.append((own, r))
+        if len(rows) == n - 1 and len(windows) < 8:
+            w = np.zeros(n)
+            w[rows] = 1.0 - common / (size[own] + size[rows] - common)
+            windows.append(w)
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _small_regions(members: DataFrame) -> DataFrame:
-    """Links within regions that a task takes whole; members: pivot, uid, text."""
+def _spans(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of rows with one key, cut at the ends of batches."""
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        if batch.num_rows:
+            turn = np.zeros(batch.num_rows, dtype=bool)
+            for c in columns:
+                turn[1:] |= c[1:] != c[:-1]
+            edges = [0, *np.flatnonzero(turn).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield tuple(c[a] for c in columns), batch.slice(a, b - a)
 
-    def solve(batches):
-        for (pivot,), held in _members(batches, ["pivot"]):
-            uids = list(held)
-            if pivot in held and len(uids) > 1:
-                yield _links([(uids[x], uids[y]) for x, y in join_region([held[u][0] for u in uids], uids.index(pivot))])
 
-    return members.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(lean(solve), _LINKS)
+def _hashes(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets one after another, and where each begins and the last ends."""
+    parts = packed.to_pylist()
+    return np.frombuffer(b"".join(parts), dtype=_U), np.cumsum([0, *[len(x) // 8 for x in parts]])
 
 
-def _large_regions(members: DataFrame, sizes: DataFrame, pivots_each: int, cap: int) -> list[DataFrame]:
-    """Links within regions of more than ``cap`` members, which no task takes whole.
+def _overlap(head: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of a sorted set's hashes each of the sets has."""
+    at = np.searchsorted(head, flat)
+    at[at == len(head)] = 0
+    total = np.concatenate([[0], np.cumsum(head[at] == flat)])
+    return total[starts[1:]] - total[starts[:-1]]
+
+
+def _side(rows: DataFrame, few: int) -> DataFrame:
+    """Written rows as the side of a join: to be broadcast only if their count allows."""
+    return F.broadcast(rows) if rows.count() <= few else rows
 
-    1. The pivot and some members, spread by hash, are the region's pivots; blocks of members meet
-       them all. A member's cell is its nearest pivot's, if linked to it.
-    2. Pivots that some member is linked with alike are merged; so the cells of a group of near copies
-       become one, however large.
-    3. Members outside the region's largest merged cell meet all members, a block of either a task.
-    Every pair of different components has one member of the kind of step 3, so no link is lost.
-    """
-    few = F.broadcast(sizes)  # a row for every cap documents at most
-    rows = members.join(few, "pivot").withColumn("slice", F.pmod(F.xxhash64("uid"), F.ceil(F.col("members") / cap)).cast("int"))
-    rows = materialise(rows.select("pivot", "slice", "uid", "text", "members"), "jaccard-large")
-    own = F.row_number().over(_window("pivot", (F.col("uid") != F.col("pivot")).cast("int"), F.xxhash64("uid", F.lit(3)), "uid"))
-    # Candidates are cut by hash before they are ranked: of a region's members a fixed number is left.
-    likely = rows.where((F.col("uid") == F.col("pivot")) | (F.pmod(F.xxhash64("uid", F.lit(5)), F.greatest(F.lit(1), F.floor(F.col("members") / (8 * pivots_each)))) == 0))
-    chosen = likely.dropDuplicates(["pivot", "uid"]).withColumn("k", own).where(F.col("k") <= pivots_each)
-    heads = chosen.groupBy("pivot").agg(F.collect_list(F.struct("uid", "text")).alias("heads"))  # pivots_each texts a region
-    keys = rows.select("pivot", "slice").distinct().join(heads, "pivot").select("pivot", "slice", F.lit(-1).cast("long").alias("uid"), F.lit(None).cast("string").alias("text"), "heads")
-    fed = keys.unionByName(rows.select("pivot", "slice", "uid", "text").withColumn("heads", F.lit(None).cast(keys.schema["heads"].dataType)))
-    meet = "kind int, pivot long, slice int, uid long, cell long, a long, b long"
-
-    def first(batches):
-        for (pivot, part), held in _members(batches, ["pivot", "slice"]):
-            heads = held.pop(-1)[1]["heads"]
-            head_uids, head_sets = [h["uid"] for h in heads], [shingles(h["text"]) for h in heads]
-            uids = list(held)
-            block = Sets([held[u][0] for u in uids])
-            cell, least = np.full(len(uids), -1), np.ones(len(uids))
-            out, merged, first_head = [], _Forest(len(heads)), np.full(len(uids), -1)
-            for k, s in enumerate(head_sets):
-                common = block.common(s)
-                distance = 1.0 - common / np.maximum(block.sizes + len(s) - common, 1)
-                hit = linked(common, block.sizes, len(s))
-                nearer = hit & (distance < least)
-                cell[nearer], least[nearer] = k, distance[nearer]
-                again = hit & (first_head >= 0)
-                for other in np.unique(first_head[again]).tolist():
-                    merged.join(k, other)
-                first_head[hit & (first_head < 0)] = k
-            for k, u in enumerate(uids):
-                out.append((0, pivot, part, u, head_uids[cell[k]] if cell[k] >= 0 else None, None, None))
-            out += [(1, pivot, part, None, None, head_uids[k], head_uids[merged.root(k)]) for k in range(len(heads)) if merged.root(k) != k]
-            yield pa.RecordBatch.from_pylist([dict(zip(("kind", "pivot", "slice", "uid", "cell", "a", "b"), r, strict=True)) for r in out], schema=arrow_meet)
-
-    arrow_meet = pa.schema([("kind", pa.int32()), ("pivot", pa.int64()), ("slice", pa.int32()), ("uid", pa.int64()), ("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    met = materialise(fed.repartition("pivot", "slice").sortWithinPartitions("pivot", "slice", "uid").mapInArrow(lean(first), meet), "jaccard-cells")
-    cells, pairs = met.where("kind = 0").select("pivot", "uid", "cell", "slice"), met.where("kind = 1").select("pivot", "a", "b")
-    links = [cells.where("cell IS NOT NULL AND cell <> uid").select(F.col("uid").alias("a"), F.col("cell").alias("b")), pairs.select("a", "b")]
-    # A row a pivot and region: merged cells, by union-find over the pivots of a region.
-    counted = cells.where("cell IS NOT NULL").groupBy("pivot", "cell").agg(F.count("*").alias("n")).select("pivot", F.col("cell").alias("a"), F.col("cell").alias("b"), "n")
-    tied = counted.unionByName(pairs.withColumn("n", F.lit(0).cast("long")).distinct())
-
-    def merge(key, frame):
-        names = sorted(set(frame["a"]) | set(frame["b"]))
-        at, forest = {x: i for i, x in enumerate(names)}, _Forest(len(names))
-        for a, b in zip(frame["a"], frame["b"], strict=True):
-            forest.join(at[a], at[b])
-        weight = np.zeros(len(names), dtype=np.int64)
-        np.add.at(weight, [forest.root(at[a]) for a in frame["a"]], frame["n"])
-        best = int(weight.argmax())
-        return frame.head(0)[["pivot"]].assign(cell=[]) if not len(names) else _frame(key[0], [x for x in names if forest.root(at[x]) == best])
-
-    main = tied.groupBy("pivot").applyInPandas(merge, "pivot long, cell long")
-    outside = cells.join(main, ["pivot", "cell"], "left_anti").select("pivot", "uid", F.col("slice").alias("own")).distinct()
-    outside = materialise(outside, "jaccard-outside")
-    slices = rows.select("pivot", "slice").distinct()
-    # Members outside, in blocks of the cap: as many blocks as they fill.
-    fill = outside.groupBy("pivot").agg(F.ceil(F.count("*") / cap).cast("int").alias("parts"))
-    outside = outside.join(F.broadcast(fill), "pivot").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(9)), F.col("parts")).cast("int"))
-    theirs = outside.join(rows.select("pivot", "uid", "text").dropDuplicates(["pivot", "uid"]), ["pivot", "uid"])
-    theirs = theirs.join(slices, "pivot").select("pivot", "slice", "part", "uid", "text", F.lit(1).alias("out"))
-    others = rows.join(F.broadcast(fill), "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("pivot", "slice", "part", "uid", "text", F.lit(0).alias("out"))
-
-    def second(batches):
-        for _, held in _tiles(batches):
-            outer, inner = held[1], held[0]
-            if not outer or not inner:
-                continue
-            uids = list(inner)
-            block, forest = Sets([inner[u] for u in uids]), {}
-
-            def root(x):
-                while forest.setdefault(x, x) != x:
-                    x = forest[x]
-                return x
-
-            found = []
-            for u, s in outer.items():
-                common = block.common(s)
-                for k in np.flatnonzero(linked(common, block.sizes, len(s))).tolist():
-                    a, b = root(u), root(uids[k])
-                    if a != b:
-                        forest[max(a, b)] = min(a, b)
-                        found.append((u, uids[k]))
-            if found:
-                yield _links(found)
-
-    def _tiles(batches):
-        own, held = None, ({}, {})
-        for batch in batches:
-            for row in batch.to_pylist():
-                now = (row["pivot"], row["slice"], row["part"])
-                if own is not None and now != own:
-                    yield own, held
-                    held = ({}, {})
-                own = now
-                if row["uid"] not in held[row["out"]]:
-                    held[row["out"]][row["uid"]] = shingles(row["text"])
-        if own is not None:
-            yield own, held
 
-    tiles = theirs.unionByName(others).repartition("pivot", "slice", "part").sortWithinPartitions("pivot", "slice", "part")
-    links.append(tiles.mapInArrow(lean(second), _LINKS))
-    return links
+def _sliced(rows: DataFrame, key: str, cap: int, few: int) -> DataFrame:
+    """rows with the column slice: keys of more than ``cap`` rows are dealt to several slices by uid."""
+    hot = materialise(rows.groupBy(key).agg(F.count("*").alias("__m")).where(F.col("__m") > cap), "jaccard-hot")
+    cut = F.pmod(F.xxhash64("uid", F.lit(11)), F.ceil(F.col("__m") / F.lit(cap)))
+    return rows.join(_side(hot, few), key, "left").withColumn("slice", F.coalesce(cut, F.lit(0)).cast("int")).drop("__m")
 
 
-def _frame(pivot, cells):
-    import pandas as pd
+def _distances(pairs: DataFrame, sets: DataFrame, cap: int, few: int) -> DataFrame:
+    """pivot, uid, n, d for pairs of both, and linked.
 
-    return pd.DataFrame({"pivot": [pivot] * len(cells), "cell": cells}).astype("int64")
+    A task gets a pivot's set, then a slice of its members one batch after another: however many there
+    are, it holds a batch.
+    """
+    rows = _sliced(pairs, "pivot", cap, few)
+    heads = rows.select("pivot", "slice").distinct().join(sets.withColumnRenamed("uid", "pivot"), "pivot").select("pivot", "slice", F.lit(-1).cast("long").alias("uid"), "set")
+    fed = heads.unionByName(rows.join(sets, "uid").select("pivot", "slice", "uid", "set"))
+
+    def meet(batches):
+        head = np.zeros(0, dtype=_U)
+        for (pivot, _), part in _spans(batches, ["pivot", "slice"]):
+            flat, starts = _hashes(part.column("set"))
+            uids = part.column("uid").to_numpy()
+            if uids[0] == -1:
+                head, flat, starts, uids = flat[: starts[1]], flat[starts[1] :], starts[1:] - starts[1], uids[1:]
+            if len(uids):
+                n = np.diff(starts)
+                common = _overlap(head, flat, starts)
+                d = 1.0 - common / (n + len(head) - common)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(uids), pivot)), pa.array(uids), pa.array(n), pa.array(d), pa.array(linked(common, n, len(head)))], names=["pivot", "uid", "n", "d", "linked"])
+
+    dealt = fed.repartition("pivot", "slice").sortWithinPartitions("pivot", "slice", "uid")
+    return dealt.mapInArrow(lean(meet), "pivot long, uid long, n long, d double, linked boolean")
+
+
+def _solve(cells: DataFrame, key: list[str]) -> DataFrame:
+    """Links within cells that a task takes whole; cells: the key, uid, comp, d, set."""
 
+    def solve(batches):
+        own, held = None, {}
 
-def _window(key, *order):
-    from pyspark.sql import Window
+        def links():
+            uids = list(held)
+            found = join_cell([held[u][0] for u in uids], np.array([held[u][1] for u in uids]), np.array([held[u][2] for u in uids]))
+            return _links([(uids[x], uids[y]) for x, y in found])
 
-    return Window.partitionBy(key).orderBy(*order)
+        for now, part in _spans(batches, key):
+            if own is not None and now != own:
+                yield links()
+                held = {}
+            own = now
+            for u, c, d, x in zip(*[part.column(k).to_pylist() for k in ("uid", "comp", "d", "set")], strict=True):
+                held[u] = (np.frombuffer(x, dtype=_U), c, d)
+        if held:
+            yield links()
+
+    return cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(lean(solve), _LINKS)
+
+
+def _tiles(cells: DataFrame, sizes: DataFrame, sets: DataFrame, cap: int, shingles_cap: int, few: int) -> DataFrame:
+    """Links within cells that pivots can't part: members outside the cell's largest component meet all
+    members, a block of either a task."""
+    main = cells.groupBy("cell", "comp").agg(F.count("*").alias("m")).groupBy("cell").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
+    rows = cells.join(_side(materialise(sizes.join(main, "cell"), "jaccard-main"), few), "cell")
+    parts = F.ceil(F.greatest(F.col("members") / F.lit(cap), F.col("shingles") / F.lit(shingles_cap))).cast("int")
+    rows = rows.withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("own", F.pmod(F.xxhash64("uid", F.lit(9)), F.col("parts")).cast("int"))
+    blocks = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    outer = rows.where("comp <> main")
+    used = outer.select("cell", F.col("own").alias("outer")).distinct()
+    all_rows = rows.select("cell", "uid", "comp", "d", F.col("own").alias("inner")).join(used, "cell")
+    theirs = outer.select("cell", "uid", "comp", "d", F.col("own").alias("outer"), blocks.alias("inner"))
+    both = all_rows.unionByName(theirs).distinct()
+    return _solve(both.join(sets, "uid"), ["cell", "outer", "inner"])
+
+
+def _split(cells: DataFrame, sizes: DataFrame, sets: DataFrame, pivots_each: int, cap: int, few: int) -> DataFrame:
+    """Cells above the cap parted by new pivots: kind 0 is a membership (cell, pivot, uid, comp, d), kind
+    1 a link (uid, pivot).
+
+    Of a cell's members a fixed number, those of the smallest hashes, are its pivots. A member's home is
+    the nearest; it visits a pivot within its own distance home + 0.25 as well. Of a linked pair let x be
+    nearer home: then d(y, home of x) <= d(x, home of x) + 0.25 <= d(y, home of y) + 0.25, so they meet.
+    """
+    rows = cells.join(_side(sizes.select("cell", "members"), few), "cell")
+    # Candidates are cut by hash before they are ranked: of a cell's members a fixed number is left.
+    likely = rows.where(F.pmod(F.xxhash64("cell", "uid", F.lit(5)), F.greatest(F.lit(1), F.floor(F.col("members") / F.lit(8 * pivots_each)))) == 0)
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cell", "uid", F.lit(5)), "uid"))
+    chosen = likely.withColumn("k", rank).where(F.col("k") <= pivots_each).select("cell", F.col("uid").alias("pivot"))
+    sliced = _sliced(rows.drop("members"), "cell", cap, few)
+    heads = sliced.select("cell", "slice").distinct().join(chosen, "cell").withColumnRenamed("pivot", "uid").select("cell", "slice", "uid", F.lit(None).cast("long").alias("comp"))
+    fed = heads.unionByName(sliced.select("cell", "slice", "uid", "comp")).join(sets, "uid")
+    names = ["kind", "cell", "pivot", "uid", "comp", "n", "d"]
+
+    def meet(batches):
+        own, heads = None, []
+        for now, part in _spans(batches, ["cell", "slice"]):
+            if now != own:
+                own, heads = now, []
+            is_head = part.column("comp").is_null().to_numpy(zero_copy_only=False)
+            packed = part.column("set")
+            heads += [(u, np.frombuffer(x, dtype=_U)) for u, x, h in zip(part.column("uid").to_pylist(), packed.to_pylist(), is_head, strict=True) if h]
+            members = part.filter(pa.array(~is_head))
+            if not members.num_rows:
+                continue
+            flat, starts = _hashes(members.column("set"))
+            n, uids, comp = np.diff(starts), members.column("uid").to_numpy(), members.column("comp").to_numpy()
+            common = np.array([_overlap(h, flat, starts) for _, h in heads])
+            sizes = np.array([len(h) for _, h in heads])[:, None]
+            d, hit = 1.0 - common / (n + sizes - common), linked(common, n, sizes)
+            names_of = np.array([u for u, _ in heads])
+            for kind, (k, at) in ((0, np.nonzero(d <= d.min(axis=0) + REACH + MARGIN)), (1, np.nonzero(hit & (names_of[:, None] != uids)))):
+                if len(k):
+                    columns = [np.full(len(k), kind, dtype=np.int32), [now[0]] * len(k), names_of[k], uids[at], comp[at], n[at], d[k, at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    dealt = fed.repartition("cell", "slice").sortWithinPartitions("cell", "slice", F.col("comp").asc_nulls_first())
+    return dealt.mapInArrow(lean(meet), "kind int, cell string, pivot long, uid long, comp long, n long, d double")
+
+
+def _cells(cells: DataFrame, sets: DataFrame, cap: int, shingles_cap: int, pivots_each: int, few: int, depth: int) -> list[DataFrame]:
+    """Links within cells (cell, uid, comp, n, d), parted again and again until a task can take each."""
+    links = []
+    while True:
+        live = cells.groupBy("cell").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        live = materialise(live.withColumn("large", (F.col("members") > cap) | (F.col("shingles") > shingles_cap)), "jaccard-live")
+        counts = {r["large"]: r["count"] for r in live.groupBy("large").count().collect()}
+        if counts.get(False):
+            small = cells.join(_side(live.where("NOT large").select("cell"), few), "cell", "left_semi")
+            links.append(materialise(_solve(small.join(sets, "uid"), ["cell"]), "jaccard-links"))
+        if not counts.get(True):
+            return links
+        large = live.where("large").select("cell", "members", "shingles")
+        rows = materialise(cells.join(_side(large.select("cell"), few), "cell", "left_semi"), "jaccard-large")
+        if depth == 0:
+            return [*links, materialise(_tiles(rows, large, sets, cap, shingles_cap, few), "jaccard-links")]
+        met = materialise(_split(rows, large, sets, pivots_each, cap, few), "jaccard-split")
+        found = met.where("kind = 1").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
+        links.append(found)
+        # Links tie components together; a cell whose members are all tied has nothing left to find.
+        ties = met.where("kind = 1").select(F.col("comp").alias("a"), F.col("pivot").alias("uid"), "cell").join(rows.select("cell", "uid", F.col("comp").alias("b")), ["cell", "uid"]).select("a", "b")
+        tied = components(ties)
+        parts = met.where("kind = 0").join(tied, met["comp"] == tied["node"], "left").select(F.col("cell").alias("of"), F.concat_ws("/", "cell", "pivot").alias("cell"), "uid", F.coalesce("root", "comp").alias("comp"), "n", "d")
+        parts = materialise(parts, "jaccard-parts")
+        most = parts.groupBy("of", "cell").agg(F.count("*").alias("m")).groupBy("of").agg(F.max("m").alias("most"), F.sum("m").alias("all"))
+        stuck = large.join(most, large["cell"] == most["of"]).where("4 * most > 3 * members OR all > 8 * members").select("cell", "members", "shingles")
+        stuck = materialise(stuck, "jaccard-stuck")
+        if not stuck.isEmpty():
+            again = rows.join(stuck.select("cell"), "cell", "left_semi").join(tied, rows["comp"] == tied["node"], "left").select("cell", "uid", F.coalesce("root", "comp").alias("comp"), "n", "d")
+            links.append(materialise(_tiles(again, stuck, sets, cap, shingles_cap, few), "jaccard-links"))
+            parts = parts.join(stuck.select(F.col("cell").alias("of")), "of", "left_anti")
+        cells, depth = parts.drop("of"), depth - 1
+
+
+def _mixed(met: DataFrame, homes: DataFrame, cap: int, few: int) -> DataFrame:
+    """p, uid, n, d, home, dh, comp, hot: what lies around pivots that have members of several components;
+    hot where they are more than ``cap``."""
+    known = met.select(F.col("pivot").alias("p"), "uid", "n", "d").join(homes.drop("n"), "uid")
+    mixed = known.groupBy("p").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high")
+    mixed = materialise(mixed.select("p", (F.col("m") > cap).alias("hot")), "jaccard-mixed")
+    return known.join(_side(mixed, few), "p")
+
+
+def _boundary(known: DataFrame, few: int) -> DataFrame:
+    """pivot, uid: documents that may link into another pivot's cell, and have to be measured there.
+
+    A linked pair shares an elected pivot p. What lies around p is known of each home q and component that
+    p's members have: the range of their distances to p and of their sizes, their least distance home. y
+    is a candidate for q only if the triangle inequality allows a link to such members of another
+    component, and one of them is at least as near home as y is.
+    """
+    around = known.groupBy("p", F.col("home").alias("q"), F.col("comp").alias("of")).agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("dh").alias("least"))
+    around = materialise(around, "jaccard-around")
+    joined = known.join(_side(around, few), "p")
+    reach = REACH + MARGIN
+    able = (F.col("home") != F.col("q")) & (F.col("of") != F.col("comp"))
+    able &= (F.col("d") >= F.col("d0") - reach) & (F.col("d") <= F.col("d1") + reach) & (F.col("least") <= F.col("dh") + MARGIN)
+    able &= (DENOMINATOR * F.col("n") >= NUMERATOR * F.col("n0")) & (NUMERATOR * F.col("n") <= DENOMINATOR * F.col("n1"))
+    return joined.where(able).select(F.col("q").alias("pivot"), "uid").distinct()
 
 
 # --- components --------------------------------------------------------------------------------
@@ -464,8 +522,8 @@ def components(links: DataFrame) -> DataFrame:
     neighbours, and edges stay as few as they were. Ends when a round changes nothing.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "component-edges")
-    mark = None
-    while True:
+    mark, most = None, edges.count()
+    while most:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -480,14 +538,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def cluster(docs: DataFrame, cap: int = 1024, pivots_each: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id, text_hash for every row.
+def cluster(docs: DataFrame, cap: int = 128, shingles_cap: int = 1 << 20, pivots_each: int = 32, broadcast_rows: int = 200_000, depth: int = 6) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id, root, text_hash for every row.
 
-    component_id is the smallest doc_id that links reach, the row's own included. Null and empty texts, and
-    texts without a word, have no shingle and no link; fewer than five words are one shingle. Rows with
-    equal sets are one class; rows without doc_id take part, and get the class's smallest id, or null.
-    ``cap`` bounds the members a task holds; ``broadcast_rows`` the ids that are broadcast, above it
-    they are joined by a shuffle.
+    component_id is the smallest doc_id that links reach, the row's own included; root names the
+    component. Null and empty texts, and texts without a word, have no shingle and no link; fewer than
+    five words are one shingle. Rows with equal sets are one class; rows without doc_id take part, and get
+    the class's smallest id, or null. ``cap`` members and ``shingles_cap`` shingles bound a cell that a
+    task takes whole; ``depth`` bounds how often larger ones are parted before they are met in blocks;
+    ``broadcast_rows`` bounds, by count, what is broadcast: above it the same rows are joined by a shuffle.
     """
     base = materialise(_rarest(docs), "jaccard-rarest")
     rows = base.where("kind = 1").select("uid", "doc_id", "n", "low", "high", "text_hash")
@@ -498,39 +557,77 @@ def cluster(docs: DataFrame, cap: int = 1024, pivots_each: int = 32, broadcast_r
     keys = keys.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
     elected = keys.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
     edges = materialise(keys.join(elected, "key").where("uid <> pivot").select("pivot", "uid").distinct(), "jaccard-edges")
-    wanted = edges.select("uid").unionByName(edges.select(F.col("pivot").alias("uid"))).distinct()
-    wanted = wanted.join(classes.select(F.col("rep").alias("uid"), "rep_id", "rep_hash"), "uid")
-    wanted = materialise(wanted, "jaccard-wanted")
-    small = wanted.count() <= broadcast_rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
-    side = F.broadcast(wanted) if small else wanted
-    texts = texts.join(side, texts["doc_id"].eqNullSafe(side["rep_id"]) & (texts["text_hash"] == side["rep_hash"])).select("uid", "text")
-    texts = materialise(texts, "jaccard-texts")
-    members = edges.unionByName(edges.select("pivot", F.col("pivot").alias("uid")).distinct())
-    sizes = edges.groupBy("pivot").agg((F.count("*") + 1).alias("members")).where(F.col("members") > cap)
-    sizes = materialise(sizes, "jaccard-sizes")
-    links = []
-    if sizes.isEmpty():
-        links.append(_small_regions(members.join(texts, "uid")))
-    else:
-        few = F.broadcast(sizes.select("pivot"))  # a row for every cap documents at most
-        links.append(_small_regions(members.join(few, "pivot", "left_anti").join(texts, "uid")))
-        links += _large_regions(members.join(few, "pivot", "left_semi").join(texts, "uid"), sizes, pivots_each, cap)
-    all_links = links[0]
-    for more in links[1:]:
-        all_links = all_links.unionByName(more)
-    found = components(all_links)
+    sets = materialise(_sets(docs, edges, classes, broadcast_rows), "jaccard-sets")
+    # Distances to the elected pivots; a pivot is its own home.
+    pivots = edges.select("pivot").distinct().join(sets, F.col("pivot") == F.col("uid")).select("pivot", "uid", (F.length("set") / 8).cast("long").alias("n"), F.lit(0.0).alias("d"), F.lit(False).alias("linked"))
+    met = materialise(_distances(edges, sets, cap, broadcast_rows).unionByName(pivots), "jaccard-met")
+    links = [met.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))]
+    homes = met.groupBy("uid").agg(F.min(F.struct("d", "pivot")).alias("h"), F.first("n").alias("n")).select("uid", "n", F.col("h.pivot").alias("home"), F.col("h.d").alias("dh"))
+    tie = lambda links: homes.join(components(reduce(DataFrame.unionByName, links)), F.col("uid") == F.col("node"), "left").select("uid", "n", "home", "dh", F.coalesce("root", "uid").alias("comp"))
+    named = materialise(tie(links), "jaccard-homes")
+    known = materialise(_mixed(met, named, cap, broadcast_rows), "jaccard-known")
+    # Where all around a pivot is connected already there is nothing to find.
+    if not known.isEmpty():
+        links += _meetings(met, tie, named, known, links, sets, cap, shingles_cap, pivots_each, broadcast_rows, depth)
+    found = components(reduce(DataFrame.unionByName, links))
     ids = classes.join(found, classes["rep"] == found["node"], "left").select("low", "high", "n", "least", F.coalesce("root", "rep").alias("root"))
     ids = materialise(ids, "jaccard-roots")
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = ids.join(named, "root").select("low", "high", "n", "component_id")
+    ids = ids.join(named, "root").select("low", "high", "n", "root", "component_id")
     return rows.join(ids, ["low", "high", "n"], "left").select(
-        "uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash"
+        "uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", "text_hash"
     )
 
 
+def _meetings(met: DataFrame, tie, named: DataFrame, known: DataFrame, links: list[DataFrame], sets: DataFrame, cap: int, shingles_cap: int, pivots_each: int, few: int, depth: int) -> list[DataFrame]:
+    """Links that distances to the elected pivots didn't show: within hot pivots' regions, then within
+    homes' cells and over their boundaries. ``tie`` names documents' components by the links so far."""
+    # Around a hot pivot all members meet in its region, parted as often as it takes.
+    region = materialise(known.where("hot").select(F.col("p").cast("string").alias("cell"), "uid", "comp", "n", "d"), "jaccard-regions")
+    hot = materialise(region.select(F.col("cell").cast("long").alias("home")).distinct(), "jaccard-hot-pivots")
+    more = [] if hot.isEmpty() else _cells(region, sets, cap, shingles_cap, pivots_each, few, depth)
+    if more:
+        named = materialise(tie([*links, *more]), "jaccard-homes")
+        known = materialise(_mixed(met, named, cap, few), "jaccard-known")
+        known = known.join(_side(hot.withColumnRenamed("home", "p"), few), "p", "left_anti")
+    # Elsewhere members meet in their homes' cells, and visitors come over the boundaries.
+    visits = materialise(_distances(_boundary(known, few), sets, cap, few), "jaccard-visits")
+    more.append(visits.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b")))
+    visitors = visits.join(named.select("uid", "dh", "comp"), "uid").where(F.col("d") <= F.col("dh") + F.lit(REACH + MARGIN))
+    visitors = visitors.select(F.col("pivot").alias("home"), "uid", "comp", "n", "d")
+    at_home = named.select("home", "uid", "comp", "n", F.col("dh").alias("d"))
+    # Who is at home at a hot pivot has met there already: without visitors its cell has nothing to find.
+    idle = _side(materialise(hot.join(visitors.select("home").distinct(), "home", "left_anti"), "jaccard-idle"), few)
+    cells = at_home.join(idle, "home", "left_anti").unionByName(visitors).withColumn("home", F.col("home").cast("string")).withColumnRenamed("home", "cell")
+    return more + _cells(materialise(cells, "jaccard-members"), sets, cap, shingles_cap, pivots_each, few, depth)
+
+
+def _sets(docs: DataFrame, edges: DataFrame, classes: DataFrame, few: int) -> DataFrame:
+    """uid, set (hashes, eight bytes each, ascending): a row for every document that an edge names."""
+    wanted = edges.select("uid").unionByName(edges.select(F.col("pivot").alias("uid"))).distinct()
+    wanted = materialise(wanted.join(classes.select(F.col("rep").alias("uid"), "rep_id", "rep_hash"), "uid"), "jaccard-wanted")
+    side = _side(wanted, few)
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(side, texts["doc_id"].eqNullSafe(side["rep_id"]) & (texts["text_hash"] == side["rep_hash"])).select("uid", "text")
+
+    def pack(batches):
+        for batch in batches:
+            held = pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["uid", "set"])
+
+    # A text that rows repeat is merged within each task first.
+    return texts.mapInArrow(lean(pack), "uid long, set binary").groupBy("uid").agg(F.first("set").alias("set"))
+
+
 def join_documents(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+    """doc_id, n_shingles, component_id for every row; ``options`` are those of ``cluster``.
+
+    Links are those of 75 % of the union of two texts' shingles. Null and empty texts and texts without a
+    word have 0 shingles and their own id; repeated rows, also of one id, are each returned, with the
+    component of the id's text; whole texts count, however long; no rows give none; further columns,
+    whatever their names, are not read.
+    """
     return cluster(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
@@ -554,24 +651,22 @@ LEFT JOIN sizes USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach
 """
 
 
-def keep_first(docs: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
+def keep_first(docs: DataFrame, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """The documents, all columns kept, less all but one of each component.
 
     The row of the smallest doc_id stays (of equal ids, that of the smallest text hash; of equal rows,
-    one). Rows without a shingle all stay. What goes is joined by (doc_id, text hash): by broadcast up
-    to ``broadcast_rows``, else by a shuffle.
+    one); where a component has ids and rows without one, a row with an id. Rows without a shingle all
+    stay. A row for each component of two or more is joined back by broadcast up to ``broadcast_rows``,
+    else by a shuffle, and so is what goes, by (doc_id, text hash).
     """
-    rows = materialise(cluster(docs, **options).where("n_shingles > 0"), "jaccard-rows")
+    rows = materialise(cluster(docs, broadcast_rows=broadcast_rows, **options).where("n_shingles > 0"), "jaccard-rows")
     ordered = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    classes = rows.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
-    # Rows whose component has no id at all are components by their class only in cluster(); null ids
-    # of one null component would be one group here, so each of them is left alone.
-    named = classes.where("component_id IS NOT NULL")
-    first = named.groupBy("component_id").agg(F.min(ordered).alias("first"))
-    judged = named.join(first, "component_id").withColumn("stays", ordered == F.col("first"))
-    gone = judged.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("stays").alias("__once"))
-    gone = materialise(gone, "jaccard-gone")
-    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    first = rows.groupBy("root").agg(F.min(ordered).alias("first"), F.count("*").alias("of")).where("of > 1")
+    first = materialise(first.drop("of"), "jaccard-first")
+    judged = rows.join(_side(first, broadcast_rows), "root").withColumn("stays", ordered == F.col("first"))
+    gone = judged.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.bool_or("stays").alias("__once"), F.count("*").alias("rows"))
+    gone = materialise(gone.where("NOT __once OR rows > 1").drop("rows"), "jaccard-gone")
+    side = _side(gone, broadcast_rows)
     keyed = docs.withColumn("__text_hash", F.xxhash64("text")).withColumn("__long_id", F.col("doc_id").cast("long"))
     joined = keyed.join(side, keyed["__long_id"].eqNullSafe(side["__id"]) & (keyed["__text_hash"] == side["__hash"]) & keyed["text"].isNotNull(), "left")
     plain = joined.where("__once IS NULL").select(*docs.columns)

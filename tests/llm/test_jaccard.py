@@ -65,7 +65,7 @@ ODD = [(9000, None), (9001, ""), (9002, " \n"), (9003, "two Words"), (9004, "TWO
 
 
 def test_join(spark, make_docs):
-    for seed, options in ((1, {}), (2, {"cap": 6, "pivots_each": 3}), (3, {"cap": 4, "pivots_each": 2, "broadcast_rows": 0})):
+    for seed, options in ((1, {}), (3, {"cap": 3, "pivots_each": 2, "broadcast_rows": 0}), (4, {"cap": 10, "shingles_cap": 300, "pivots_each": 4, "depth": 1})):
         rows = near_copies(seed) + ODD
         got = jaccard.join_documents(make_docs(rows).repartition(3), **options).collect()
         assert sorted(str(tuple(r)) for r in got) == direct(rows)
@@ -73,22 +73,48 @@ def test_join(spark, make_docs):
     assert [tuple(r) for r in jaccard.join_documents(make_docs([(4, "one")])).collect()] == [(4, 1, 4)]
 
 
+def rings(seed, passage=40, each=60, own=(8, 9, 10, 11, 30)):
+    """Documents of one common passage and own words, near each other without a link, or nearly linked."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    shared, tails = [word() for _ in range(passage)], [[word() for _ in range(6)] for _ in range(7)]
+    rows = []
+    for i in range(each):
+        w = shared + draw.choice(tails)[: draw.randint(0, 6)] + [word() for _ in range(draw.choice(own) - 8)]
+        for _ in range(draw.randint(0, 2)):
+            w[draw.randrange(len(w))] = word()
+        rows.append((7 * i + 2, " ".join(w)))
+    return rows
+
+
 def test_one_large_group_of_near_copies(spark, make_docs):
     rows = near_copies(7, groups=1, each=260, boiler=False) + [(100_000 + i, near_copies(7, groups=1, each=1, boiler=False)[0][1]) for i in range(40)]
-    got = jaccard.join_documents(make_docs(rows), cap=40, pivots_each=4).collect()
+    rows += [(200_000 + i, rows[0][1]) for i in range(30)] + [(rows[3][0], rows[5][1])]
+    got = jaccard.join_documents(make_docs(rows), cap=20, pivots_each=4, depth=2).collect()
     assert sorted(str(tuple(r)) for r in got) == direct(rows)
 
 
+def test_no_link_over_a_boundary_is_lost(spark, make_docs):
+    # Documents around one passage: any pivot is about as far from all, and cells have to be parted.
+    for seed, cap, depth in ((1, 3, 6), (3, 50, 6), (5, 8, 1)):
+        rows = rings(seed, each=60 + 10 * seed)
+        got = jaccard.join_documents(make_docs(rows).repartition(4), cap=cap, pivots_each=3, depth=depth).collect()
+        assert sorted(str(tuple(r)) for r in got) == direct(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10_000), st.integers(2, 30))
-def test_regions_are_joined_exactly(seed, n):
+def test_cells_are_joined_exactly(seed, n):
     draw = np.random.default_rng(seed)
     base = draw.choice(200, size=40, replace=False)
     sets = []
     for _ in range(n):
         s = {int(x) for x in base if draw.random() > 0.12} | {int(x) for x in draw.integers(200, 400, draw.integers(0, 9))}
         sets.append(np.array(sorted(s), dtype=np.uint64))
-    links = jaccard.join_region(sets, int(draw.integers(n)))
+    pivot = sets[int(draw.integers(n))]
+    common = np.array([len(np.intersect1d(pivot, s)) for s in sets])
+    apart = 1 - common / (len(pivot) + np.array([len(s) for s in sets]) - common)
+    links = jaccard.join_cell(sets, None, apart if draw.random() < 0.5 else None)
     got, want = jaccard._Forest(n), jaccard._Forest(n)
     for a, b in links:
         assert jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))
@@ -107,7 +133,8 @@ def test_triangle_windows_spare_distances():
     sets = [np.concatenate([common, 1000 * (i + 1) + np.arange(w, dtype=np.uint64)]) for i, w in enumerate([0] + [12] * 30 + [25] * 30 + [120] * 30)]
     sets = [np.sort(s) for s in sets]
     seen = [0]
-    jaccard.join_region(sets, 0, seen)
+    apart = np.array([1 - 60 / len(s) for s in sets])
+    jaccard.join_cell(sets, np.array([0, *[1] * 30, *range(2, 62)]), apart, seen)
     assert seen[0] < len(sets) ** 2 / 2 and draw is not None
 
 
