@@ -2,48 +2,69 @@
 
 from __future__ import annotations
 
-import hashlib
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallowgrid.functions.scalars import hash_class
+from tallowgrid.operators.ranks import global_row_number
+from tallowgrid.session import settle
+
+
+def class_quotas(classes: list[tuple[int, int, int]], folds: int) -> dict[tuple[int, int], list[int]]:
+    """For each (pos, neg) class of groups, how many of its groups each fold gets; classes: pos, neg, groups.
+
+    Classes come in the order of falling difference of their counts. All folds get an equal part of a class;
+    what is left over goes, group by group, to the fold that then makes the spread of class shares least,
+    on ties to that of fewer rows.
+    """
+    totals = np.maximum([sum(p * n for p, _, n in classes), sum(q * n for _, q, n in classes)], 1.0)
+    held, out = np.zeros((folds, 2)), {}
+    for pos, neg, n in sorted(classes, key=lambda c: (-abs(c[0] - c[1]), -c[0], -c[1])):
+        quota = [n // folds] * folds
+        held += np.array([pos, neg]) * (n // folds)
+        for _ in range(n % folds):
+            scores = []
+            for k in range(folds):
+                held[k] += (pos, neg)
+                scores.append((round(float((held / totals).std(axis=0).mean()), 12), quota[k], float(held[k].sum()), k))
+                held[k] -= (pos, neg)
+            best = min(scores)[3]
+            quota[best] += 1
+            held[best] += (pos, neg)
+        out[(pos, neg)] = quota
+    return out
 
 
 def stratified_group_folds(rows: DataFrame, group: str, y: str, seeds: list[int], folds: int = 5) -> DataFrame:
     """seed, group, fold: no group spans two folds, and folds have like shares of each class.
 
-    Rows are summed to a row for each group first. Groups in the order of falling spread of their class
-    counts, like ones in the order of a hash of group and seed, go to the fold that then has the least
-    spread of class shares; ties go to the fold with fewer rows. The greedy step needs one task a seed;
-    its input is groups, not rows.
+    Rows are summed to a row for each group first. Groups with the same counts are alike to the greedy
+    rule, so it deals classes of groups, on a table with a row for each pair of counts (see
+    ``class_quotas``); which groups of a class a fold gets is decided by their rank in the order of a
+    hash of group and seed, a global rank that no single task makes.
     """
     known = rows.where(F.col(y).isNotNull())
     counts = known.groupBy(F.col(group).cast("string").alias("group")).agg(F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg"))
+    counts = settle(counts, "fold-groups")
+    # A row for each pair of counts.
+    classes = [tuple(r) for r in counts.groupBy("pos", "neg").agg(F.count("*").alias("n")).collect()]
+    if not classes:
+        return counts.select(F.lit(0).alias("seed"), "group", F.lit(0).alias("fold")).limit(0)
+    quotas = class_quotas(classes, folds)
+    size = {(p, q): n for p, q, n in classes}
+    table, before = [], 0
+    for p, q in sorted(size):
+        table.append((p, q, before, np.cumsum(quotas[(p, q)]).tolist()))
+        before += size[(p, q)]
+    side = counts.sparkSession.createDataFrame(table, "pos long, neg long, before long, upto array<long>")
     spread = counts.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-
-    def assign(frame):
-        import numpy as np
-
-        seed = int(frame["seed"].iloc[0])
-        order = [hashlib.md5(f"{g}:{seed}".encode()).hexdigest() for g in frame["group"]]
-        frame = frame.assign(order=order, gap=-(frame["pos"] - frame["neg"]).abs() / 2.0).sort_values(["gap", "order"], kind="stable")
-        held = np.zeros((folds, 2))
-        totals = np.maximum(frame[["pos", "neg"]].sum().to_numpy(dtype=float), 1.0)
-        out = []
-        for pos, neg in zip(frame["pos"], frame["neg"], strict=True):
-            best, choice = None, 0
-            for k in range(folds):
-                held[k] += (pos, neg)
-                score = (round(float((held / totals).std(axis=0).mean()), 12), float(held[k].sum()))
-                held[k] -= (pos, neg)
-                if best is None or score < best:
-                    best, choice = score, k
-            held[choice] += (pos, neg)
-            out.append(choice)
-        return frame.assign(fold=out)[["seed", "group", "fold"]].astype({"seed": "int32", "fold": "int32"})
-
-    return spread.groupBy("seed").applyInPandas(assign, "seed int, group string, fold int")
+    text = F.md5(F.concat("group", F.lit(":"), F.col("seed").cast("string")))
+    ranked = global_row_number(spread.withColumn("order", text), ["seed", "pos", "neg", "order", "group"], "rank")
+    place = F.array(*map(F.lit, seeds))
+    joined = ranked.join(F.broadcast(side), ["pos", "neg"])
+    at = F.col("rank") - 1 - F.lit(before) * (F.array_position(F.sort_array(place), F.col("seed")) - 1) - F.col("before")
+    return joined.select("seed", "group", F.size(F.filter("upto", lambda u: u <= at)).alias("fold"))
 
 
 def hashed_folds(groups: DataFrame, group: str, seeds: list[int], folds: int = 5) -> DataFrame:

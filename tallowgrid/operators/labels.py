@@ -49,6 +49,19 @@ def project(labels: DataFrame, projection: DataFrame, category: str = "category"
     return labels.join(F.broadcast(projection.withColumnRenamed("category", category)), category)
 
 
+def project_endpoints(labels: DataFrame, projection: DataFrame) -> DataFrame:
+    """Each label in every jurisdiction, by (endpoint, category); the projection is a small literal table."""
+    return labels.join(F.broadcast(projection), ["endpoint", "category"])
+
+
+def consolidation_conflicts(submitted: DataFrame, key: str, category: str) -> DataFrame:
+    """Keys on which submissions disagree: how many there are, and their categories in order."""
+    known = submitted.where(F.col(category).isNotNull())
+    names = F.sort_array(F.collect_set(category))
+    found = known.groupBy(key).agg(F.count("*").alias("n_submitted"), names.alias("__names"))
+    return found.where(F.size("__names") > 1).select(key, "n_submitted", F.array_join("__names", ",").alias("categories"))
+
+
 def equivalent_jurisdictions(projection: DataFrame) -> DataFrame:
     """Jurisdictions whose mappings coincide: mapping, jurisdictions."""
     pair = F.concat("category", F.lit("="), F.coalesce(F.col("y").cast("string"), F.lit("excluded")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallowgrid.functions.scalars import is_missing
@@ -55,23 +55,30 @@ def missing_flags(matrix: DataFrame, key: str) -> DataFrame:
     return matrix.select(key, *[is_missing(F.col(c)).alias(f"{c}_isna") for c in matrix.columns if c != key])
 
 
-def under_protocol(matrix: DataFrame, key: str, known: str, protocol: str, frozen: list[str]) -> DataFrame:
-    """The matrix under a protocol: nan0 fills missing cells with 0 (a control only); native leaves
+def cell(column: str, known: str, protocol: str, frozen: list[str]) -> Column:
+    """A column under a protocol: nan0 fills missing cells with 0 (a control only); native leaves
     them; native_restored also gives back the missing values that the build froze into 0."""
-    features = [c for c in matrix.columns if c not in (key, known)]
     if protocol == "nan0":
-        cells = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in features]
-    elif protocol == "native":
-        cells = [F.col(c) for c in features]
-    elif protocol == "native_restored":
-        cells = [F.when(F.col(known), F.col(c)).alias(c) if c in frozen else F.col(c) for c in features]
-    else:
-        raise ValueError(protocol)
-    return matrix.select(key, *cells)
-
-
-def zero_fraction(matrix: DataFrame, key: str) -> DataFrame:
-    return melt(matrix, key).agg((F.count_if(F.col("value") == 0) / F.count("*")).alias("zero_fraction"))
+        return F.coalesce(F.col(column), F.lit(0.0))
+    if protocol == "native":
+        return F.col(column)
+    if protocol == "native_restored":
+        return F.when(F.col(known), F.col(column)) if column in frozen else F.col(column)
+    raise ValueError(protocol)
+
+
+def under_protocol(matrix: DataFrame, key: str, known: str, protocol: str, frozen: list[str]) -> DataFrame:
+    """The matrix under a protocol."""
+    return matrix.select(key, *[cell(c, known, protocol, frozen).alias(c) for c in matrix.columns if c not in (key, known)])
+
+
+def zero_fractions(matrix: DataFrame, key: str, known: str, frozen: list[str]) -> DataFrame:
+    """protocol, zero_fraction: the share of cells that are 0 under each protocol, in one pass."""
+    features = [c for c in matrix.columns if c not in (key, known)]
+    zeros = lambda p: sum((cell(c, known, p, frozen) == 0).cast("int") if p == "nan0" else F.coalesce((cell(c, known, p, frozen) == 0).cast("int"), F.lit(0)) for c in features)
+    sums = matrix.agg(F.count("*").alias("__n"), *[F.sum(zeros(p)).alias(p) for p in PROTOCOLS])
+    rows = F.array(*[F.struct(F.lit(p).alias("protocol"), (F.col(p) / (F.col("__n") * F.lit(len(features)))).alias("zero_fraction")) for p in PROTOCOLS])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def invented(built: DataFrame, raw: DataFrame, key: str, column: str) -> DataFrame:

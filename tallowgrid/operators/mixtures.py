@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallowgrid.functions.scalars import known_or_null, ratio
@@ -105,3 +105,23 @@ def additivity(rows: DataFrame, by: str, category: str, conc: str, endpoint: str
             test = w1 * F.col("s1") + w2 * F.col("s2") >= cutoff - 1e-9
             result = F.when(test, name) if result is None else result.when(test, name)
     return out.select(by, "s1", "s2", "n_missing", F.when(F.col("__known") > 0, result.otherwise("NC")).alias("category"), *(extra or {}))
+
+
+def ct_rules(spark: SparkSession) -> DataFrame:
+    """The rules as a table: endpoint, step, w1, w2, cutoff, result."""
+    return spark.createDataFrame(CT_RULES, "endpoint string, step int, w1 double, w2 double, cutoff double, result string")
+
+
+def additivity_by_table(rows: DataFrame, by: str, category: str, conc: str, rules: DataFrame, strong: tuple = ("1",), weak: tuple = ("2A", "2B", "2")) -> DataFrame:
+    """endpoint, key, step, category for every mixture and endpoint of a table of rules.
+
+    Ingredients are summed to a row for each mixture before they meet the rules, a table of a few rows. The
+    first step whose weighted sum reaches its cut-off counts; without one the category is NC, and null
+    where no concentration is known.
+    """
+    pick = lambda names: F.coalesce(F.sum(F.when(F.col(category).isin(*names), F.col(conc))), F.lit(0.0))
+    sums = rows.groupBy(by).agg(pick(strong).alias("__s1"), pick(weak).alias("__s2"), F.count(conc).alias("__known"))
+    steps = rules.groupBy("endpoint").agg(F.array_sort(F.collect_list(F.struct("step", "w1", "w2", "cutoff", "result"))).alias("__steps"))
+    met = F.filter("__steps", lambda r: r["w1"] * F.col("__s1") + r["w2"] * F.col("__s2") >= r["cutoff"] - 1e-9)
+    joined = sums.join(F.broadcast(steps)).withColumn("__first", F.try_element_at(met, F.lit(1)))  # a row an endpoint
+    return joined.select("endpoint", by, F.col("__first.step").alias("step"), F.when(F.col("__known") > 0, F.coalesce("__first.result", F.lit("NC"))).alias("category"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallowgrid.session import shared_root
+
 #: Stands for a missing value inside a model's input only; never stored.
 SENTINEL = 1e300
 
@@ -25,23 +27,31 @@ def encode_missing(matrix: DataFrame, features: list[str], protocol: str) -> tup
     return matrix.withColumns(low | high), [*low, *high]
 
 
-def out_of_fold(rows: DataFrame, key: str, y: str, features: list[str], protocol: str = "native", trees: int = 100, depth: int = 6, seed: int = 7) -> DataFrame:
+def out_of_fold(rows: DataFrame, key: str, y: str, features: list[str], protocol: str = "native", trees: int = 100, depth: int = 6, seed: int = 7, parallel: int = 4) -> DataFrame:
     """seed, fold, key, p: each row's probability by the forest that its fold was left out of.
 
-    ``rows`` has seed and fold columns. One fit for each (seed, fold), three at a time; the assembled
-    matrix is cached for them. The list of (seed, fold) is small by design.
+    ``rows`` has seed and fold columns. The assembled matrix is written once, dealt and sorted by key, so
+    that every fit reads its rows in one order without a sort of its own. One fit for each (seed, fold),
+    ``parallel`` at a time; each writes its predictions and lets its forest go. The list of (seed, fold) is
+    small by design.
     """
     encoded, names = encode_missing(rows.where(F.col(y).isNotNull()), features, protocol)
-    vectors = VectorAssembler(inputCols=names, outputCol="__features").transform(encoded).select("seed", "fold", key, F.col(y).cast("double").alias("y"), "__features").cache()
-    parts = sorted((r["seed"], r["fold"]) for r in vectors.select("seed", "fold").distinct().collect())
+    vectors = VectorAssembler(inputCols=names, outputCol="__features").transform(encoded).select("seed", "fold", key, F.col(y).cast("double").alias("y"), "__features")
+    spark = rows.sparkSession
+    root = f"{shared_root(spark)}/forests-{uuid.uuid4().hex}"
+    vectors.repartition(F.col(key)).sortWithinPartitions("seed", key).write.partitionBy("seed").parquet(f"{root}/rows")
+    read = spark.read.schema(vectors.schema).parquet(f"{root}/rows")
+    parts = sorted((r["seed"], r["fold"]) for r in read.select("seed", "fold").distinct().collect())
+    empty = spark.createDataFrame([], read.select("seed", "fold", key, F.lit(0.0).alias("p")).schema)
 
     def fit(part):
         s, f = part
-        own = vectors.where(F.col("seed") == s)
+        own = read.where(F.col("seed") == s)
         forest = RandomForestClassifier(featuresCol="__features", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
-        model = forest.fit(own.where(F.col("fold") != f).orderBy(key))
+        model = forest.fit(own.where(F.col("fold") != f))
         p = F.element_at(vector_to_array("probability"), -1)
-        return model.transform(own.where(F.col("fold") == f)).select("seed", "fold", key, p.alias("p"))
+        model.transform(own.where(F.col("fold") == f)).select("seed", "fold", key, p.alias("p")).write.parquet(f"{root}/p/{s}-{f}")
 
-    with ThreadPool(3) as pool:
-        return reduce(DataFrame.unionByName, pool.map(fit, parts, chunksize=1))
+    with ThreadPool(parallel) as pool:
+        pool.map(fit, parts, chunksize=1)
+    return spark.read.schema(empty.schema).parquet(*[f"{root}/p/{s}-{f}" for s, f in parts]) if parts else empty

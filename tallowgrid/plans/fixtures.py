@@ -18,6 +18,8 @@ PROJECTION = [
     for jur, twob, two in (("UN_GHS", 1, 1), ("EU_CLP", 0, None), ("K_REACH", 1, 1), ("US_OSHA", 1, 1))
     for cat, y in (("1", 1), ("2A", 1), ("2B", twob), ("2", two), ("NC", 0))
 ]
+#: The same for skin: category 2 of EU_CLP and K_REACH counts everywhere, 3 in UN_GHS only.
+SKIN_PROJECTION = [(jur, cat, y) for jur, third in (("UN_GHS", 1), ("EU_CLP", None), ("K_REACH", None), ("US_OSHA", 0)) for cat, y in (("1", 1), ("2", 1), ("3", third), ("NC", 0))]
 #: feature, family, lane, layer, state, from_label: what may be used, by whom.
 MANIFEST = [
     ("n_ing", "composition", "L2", "formulation", "ACTIVE", False),
@@ -45,6 +47,9 @@ TAUS = [i / 10 for i in range(11)]
 _CAT = "CASE WHEN p_size <= 5 THEN '1' WHEN p_size <= 15 THEN '2A' WHEN p_size <= 25 THEN '2B' WHEN p_size <= 40 THEN 'NC' END"
 _LABEL = "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN '1' WHEN '2' THEN '2A' WHEN '3' THEN '2B' WHEN '5' THEN 'NC' END"
 
+_SKIN_F = "CASE f % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 3 THEN 'NC' END"
+_SKIN_S = "CASE WHEN p_size <= 8 THEN '1' WHEN p_size <= 20 THEN '2' WHEN p_size <= 28 THEN '3' WHEN p_size <= 42 THEN 'NC' END"
+
 
 def substances(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").selectExpr("p_partkey AS s", "concat(p_name, '|', p_brand) AS skeleton", "p_type AS role", "p_size", "p_retailprice AS price", f"{_CAT} AS cat")
@@ -78,6 +83,28 @@ def projection(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROJECTION, "jur string, category string, y int")
 
 
+def endpoint_projection(spark: SparkSession) -> DataFrame:
+    rows = [("eye", *r) for r in PROJECTION] + [("skin", *r) for r in SKIN_PROJECTION]
+    return spark.createDataFrame(rows, "endpoint string, jur string, category string, y int")
+
+
+def endpoint_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """layer, id, endpoint, category of every labelled formulation and substance."""
+    pair = lambda eye, skin: F.explode(F.array(F.struct(F.lit("eye").alias("endpoint"), eye.alias("category")), F.struct(F.lit("skin").alias("endpoint"), skin.alias("category")))).alias("r")
+    mixed = formulations(spark, sf).select(F.lit("formulation").alias("layer"), F.col("f").alias("id"), pair(F.col("category"), F.expr(_SKIN_F)))
+    single = substances(spark, sf).select(F.lit("substance").alias("layer"), F.col("s").alias("id"), pair(F.col("cat"), F.expr(_SKIN_S)))
+    return mixed.unionByName(single).select("layer", "id", "r.endpoint", "r.category").where("category IS NOT NULL")
+
+
+def columns_of(arm: str) -> list[str]:
+    """An arm's columns: A0 leaves out the additive rule's sums, A2 has the active ones, A3 all of them."""
+    return [m[0] for m in MANIFEST if not m[5] and m[0] not in FEAT_DROP and (m[4] == "ACTIVE" and (arm != "A0" or m[1] != "additivity") or arm == "A3" and m[1] == "additivity")]
+
+
+def arm_columns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(a, c) for a in ("A0", "A2", "A3") for c in columns_of(a)], "arm string, feature string")
+
+
 def manifest(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MANIFEST, "feature string, family string, lane string, layer string, state string, from_label boolean")
 
@@ -124,6 +151,11 @@ lines AS (SELECT l_orderkey AS f, l_partkey AS s, l_linenumber AS ln, l_suppkey
 ingredients AS (SELECT l.*, p.role, p.p_size, p.price, coalesce(p.cat, o.survey_cat) AS cat FROM lines l LEFT JOIN substances p USING (s) LEFT JOIN overlay o USING (s)),
 formulations AS (SELECT o_orderkey AS f, o_custkey AS grp, o_orderstatus AS tier, o_totalprice AS total, {_LABEL} AS category FROM orders),
 projection(jur, category, y) AS (VALUES {_values(PROJECTION)}),
+endpoint_projection(endpoint, jur, category, y) AS (VALUES {_values([("eye", *r) for r in PROJECTION] + [("skin", *r) for r in SKIN_PROJECTION])}),
+endpoint_labels AS (SELECT * FROM (
+ SELECT 'formulation' AS layer, f AS id, 'eye' AS endpoint, category FROM formulations UNION ALL SELECT 'formulation', f, 'skin', {_SKIN_F} FROM formulations UNION ALL
+ SELECT 'substance', s, 'eye', cat FROM substances UNION ALL SELECT 'substance', s, 'skin', {_SKIN_S} FROM substances) WHERE category IS NOT NULL),
+ct_rules(endpoint, step, w1, w2, cutoff, result) AS (VALUES {_values(mixtures.CT_RULES)}),
 manifest(feature, family, lane, layer, state, from_label) AS (VALUES {_values(MANIFEST)}),
 matrix AS (SELECT f, count(conc) > 0 AS known, count(*)::DOUBLE AS n_ing, sum(conc) AS conc_total, coalesce(sum(conc), 0) AS conc_total_frozen, sum(conc) AS conc_total_twin,
  avg(conc) AS conc_mean, max(conc) AS conc_max, avg(p_size) AS size_mean, avg(price) AS price_mean,

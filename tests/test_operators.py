@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallowgrid.functions import scalars
-from tallowgrid.operators import folds, labels, matrix, metrics, mixtures, models, ranks
+from tallowgrid.operators import checks, folds, labels, matrix, metrics, mixtures, models, ranks
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 SCORES = st.lists(st.tuples(st.integers(0, 1), st.sampled_from([-2.5, 0.0, 0.25, 1.0, 7.0, 1e6])), min_size=2, max_size=40)
@@ -159,12 +159,55 @@ def test_forests_are_fitted_over_all_seeds_and_stratified_folds(spark, small_dir
     monkeypatch.setattr(models, "out_of_fold", seen)
     queries.train_predict(spark, small_dir)
     assert given.get("trees", whole.parameters["trees"].default) == 100
-    rows = given["rows"].select("seed", "fold", "grp", "f").collect()
+    rows = given["rows"].select("seed", "fold", "group", "f").collect()
     assert {(r["seed"], r["fold"]) for r in rows} == {(s, f) for s in range(5) for f in range(5)}
     labelled = queries._basis_rows(spark, small_dir).join(queries.fx.matrix(spark, small_dir), "f", "left_semi")
     assert len(rows) == len({(r["seed"], r["f"]) for r in rows}) == 5 * labelled.count()
     want = {(r["seed"], r["group"]): r["fold"] for r in queries.group_folds(spark, small_dir).collect()}
-    assert all(want[r["seed"], r["grp"]] == r["fold"] for r in rows)
+    assert all(want[r["seed"], r["group"]] == r["fold"] for r in rows)
+
+
+def test_an_audit_that_finds_something_stops_the_job(spark, small_dir, monkeypatch):
+    from tallowgrid.plans import queries
+
+    none, some = spark.createDataFrame([], "item string, side string"), spark.createDataFrame([("a", "audited")], "item string, side string")
+    checks.require_empty(none, "nothing")
+    with pytest.raises(checks.Violation, match="declared differ.*'a', 'audited'"):
+        checks.require_empty(some, "columns audited and declared differ")
+    monkeypatch.setattr(queries, "audit_symdiff", lambda *_: some)
+    with pytest.raises(checks.Violation):
+        queries.train_predict(spark, small_dir)
+
+
+def test_quotas_of_classes_balance(spark):
+    classes = [(3, 0, 7), (0, 2, 11), (1, 1, 103), (5, 1, 1), (0, 0, 4)]
+    quotas = folds.class_quotas(classes, 5)
+    for p, q, n in classes:
+        assert sum(quotas[p, q]) == n and max(quotas[p, q]) - min(quotas[p, q]) <= 1
+    pos = [sum(p * quotas[p, q][k] for p, q, _ in classes) for k in range(5)]
+    assert max(pos) - min(pos) <= 5
+    rows = spark.createDataFrame([(g, 1, k) for g in range(3000) for k in range(1)], "g int, y int, k int")
+    found = folds.stratified_group_folds(rows, "g", "y", [3, 0])
+    assert sorted({(r["seed"], r["fold"], r["count"]) for r in found.groupBy("seed", "fold").count().collect()}) == [(s, f, 600) for s in (0, 3) for f in range(5)]
+    assert folds.stratified_group_folds(rows.limit(0), "g", "y", [0]).count() == 0
+
+
+def test_ranks_of_values_with_an_outlier(spark):
+    values = [(i, float((i * 37) % 101) if i else 1e300) for i in range(400)]
+    df = spark.createDataFrame(values, "k long, v double").repartition(5)
+    got = [r["k"] for r in ranks.global_row_number(df, ["v", "k"], "at").orderBy("at").collect()]
+    assert got == [k for k, _ in sorted(values, key=lambda x: (x[1], x[0]))]
+    before = {r["v"]: r["n_before"] for r in ranks.running_before(df.groupBy("v").agg(F.count("*").alias("n")), [], "v", ["n"]).collect()}
+    assert before == {v: sum(x < v for _, x in values) for v in {x for _, x in values}}
+
+
+def test_rules_from_a_table_are_the_rules(spark):
+    rows = [("a", "1", 3.0), ("b", "1", 1.0), ("c", "2A", 10.0), ("d", "2A", 9.0), ("e", "1", 0.5), ("e", "2B", 5.0), ("f", "1", None), ("g", "1", None), ("g", "NC", 50.0)]
+    df = spark.createDataFrame(rows, "f string, cat string, conc double")
+    got = {(r["endpoint"], r["f"]): r["category"] for r in mixtures.additivity_by_table(df, "f", "cat", "conc", mixtures.ct_rules(spark)).collect()}
+    for endpoint in ("eye", "skin"):
+        for r in mixtures.additivity(df, "f", "cat", "conc", endpoint=endpoint).collect():
+            assert got[endpoint, r["f"]] == r["category"]
 
 
 def test_scalars(spark):
