@@ -12,6 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallowgrid.session import settle as materialise  # noqa: F401  rows written once to the shared folder
 from tallowgrid.session import shared_root
 
 
@@ -23,17 +24,6 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write rows to the shared folder and read them back.
-
-    This cuts the lineage by a copy that outlives any executor, and runs an expensive plan once.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI: local or mounted folders, HDFS, S3 and GCS."""
     if uri.startswith("file:"):
