@@ -216,7 +216,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tree_vectors: int
 
     How much the bounds spare is the data's: of clustered vectors more than half (see the tests). The
     test tables' vectors lie evenly on a sphere of 64 dimensions: a query's fifth neighbour is 0.75 to 0.81 as
-    far as the mean vector, and any ball of more than a few vectors reaches beyond the difference.
+    far as the mean vector, and any ball of more than a few vectors reaches beyond the difference. Computed
+    distances, those of inner nodes included, as a share of queries x vectors: sf0.1 1.003, check_s 0.972 (with
+    pages of 32: 1.019, 0.975; 1,024 cells of k-means would still leave 0.81 and 0.93 to be looked at).
     """
     spark = vectors.sparkSession
     folder = new_folder(spark, "mtree")
