@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tallowgrid.functions.scalars import comparable as c6
 from tallowgrid.operators import checks, folds, labels, matrix, metrics, mixtures, models, ranks
 from tallowgrid.plans import fixtures as fx
 from tallowgrid.session import settle, shared_root, table
-from tallowgrid.sources import files, lookups
+from tallowgrid.sources import files, lookups, reports, xlsx
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,8 +57,6 @@ def scan_union_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT s, skeleton, role, cat, price FROM substances")
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
     path = f"{shared_root(spark)}/csv-{uuid.uuid4().hex}"
     rows = fx.substances(spark, sf).select("s", "skeleton", "role", "cat", "price")
     files.write_csv(rows, path)
@@ -98,6 +98,42 @@ def l0_hash_check(spark: SparkSession, sf: str) -> DataFrame:
     return files.file_hashes(spark, sf, "*.parquet")
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier", prelude=False)
+def xlsx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A small table as a workbook, and read back with its schema."""
+    import pyarrow.fs as pafs
+
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    uri = f"{shared_root(spark)}/books-{uuid.uuid4().hex}/supplier.xlsx"
+    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(xlsx.write_xlsx(rows))
+    spark.dataSource.register(xlsx.XlsxSource)
+    return spark.read.format("tallowgrid_xlsx").schema(rows.schema).option("path", path).load()
+
+
+@query("SELECT 'job_a' AS job, s, cat FROM substances WHERE s % 2 = 0 UNION ALL SELECT 'job_b', s, cat FROM substances WHERE s % 2 = 1")
+def isolated_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two jobs write a table of one name, each below its own folder."""
+    root, rows = f"{shared_root(spark)}/outputs-{uuid.uuid4().hex}", fx.substances(spark, sf).select("s", "cat")
+    paths = {job: files.write_output(rows.where(F.col("s") % 2 == k), root, job, "substances") for k, job in enumerate(("job_a", "job_b"))}
+    return labels.union_sources([spark.read.schema(rows.schema).parquet(p).select(F.lit(job).alias("job"), "s", "cat") for job, p in paths.items()])
+
+
+@query(f"SELECT f, {_r('f_ct_sens_a', 'f_ct_sens_b')} FROM matrix")
+def frozen_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of a retired endpoint, kept with the key and read back."""
+    root = f"{shared_root(spark)}/archive-{uuid.uuid4().hex}"
+    return rounded(spark.read.parquet(files.archive(fx.matrix(spark, sf), root, "sens", "f_ct_sens_", "f")))
+
+
+@query("SELECT r_regionkey + 3 AS line, '| ' || r_regionkey || ' | ' || r_name || ' |' AS text FROM region UNION ALL SELECT 1, '| r_regionkey | r_name |' UNION ALL SELECT 2, '|---|---|'", prelude=False)
+def report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    text = reports.markdown(table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"))
+    return spark.createDataFrame([(k, x) for k, x in enumerate(text.splitlines(), 1)], "line int, text string")
+
+
 _ALL = ["n_ing", "conc_total", "conc_total_frozen", "conc_total_twin", "conc_mean", "conc_max", "size_mean", "price_mean", "f_ct_eye_s1", "f_ct_eye_s2", "f_ct_sens_a", "f_ct_sens_b", "unit"]
 
 
@@ -671,6 +707,19 @@ def group_folds(spark: SparkSession, sf: str) -> DataFrame:
     return folds.stratified_group_folds(_basis_rows(spark, sf), "grp", "y", SEEDS)
 
 
+@query(
+    "SELECT seed, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, 5::BIGINT AS n_folds, TRUE AS balanced FROM formulations JOIN projection USING (category), (VALUES (0), (1), (2), (3), (4)) s(seed) WHERE jur = 'K_REACH' AND y IS NOT NULL GROUP BY seed"
+)
+def fold_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """For each seed what the folds hold together; balanced: no fold's share of positive rows or of groups
+    is further from the mean than 2 % of all rows or groups."""
+    rows = _basis_rows(spark, sf).select(F.col("grp").cast("string").alias("group"), "y")
+    held = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).join(group_folds(spark, sf), "group")
+    of = held.groupBy("seed", "fold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.count("*").alias("groups"))
+    even = lambda x: (F.max(x) - F.min(x)) <= 0.04 * F.sum(x)
+    return of.groupBy("seed").agg(F.sum("n").alias("n_rows"), F.sum("groups").alias("n_groups"), F.count("*").alias("n_folds"), (even("pos") & even("n") & even("groups")).alias("balanced"))
+
+
 @query("SELECT seed, \"group\" FROM (VALUES (0, '')) v(seed, \"group\") WHERE FALSE", prelude=False)
 def fold_invariants(spark: SparkSession, sf: str) -> DataFrame:
     """Groups whose rows lie in more than one of the folds in use; none may."""
