@@ -119,7 +119,8 @@ def identify_documents(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text where no language
-    could be learned. Whole texts count, whatever their length; repeated rows are each identified.
+    could be learned. Whole texts count, whatever their length; repeated rows are each identified; no rows
+    give none; further columns, whatever their names, are not read.
     """
 
     def make():

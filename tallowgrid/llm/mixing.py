@@ -105,9 +105,10 @@ def copies(rows: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row.
 
-    Whole documents are taken. Null texts have size 0; rows that share a doc_id share a key and are
-    ordered by size; a null source is a source; no rows, no result. Keys and sizes are written once,
-    narrow, for the sums and the result.
+    Whole documents are taken, however long. Null and empty texts have size 0; rows that repeat id and text
+    share a key and are drawn one after another, other rows have keys of their own; a null source is a
+    source; no rows, no result; further columns, whatever their names, are not read. Keys and sizes are
+    written once, narrow, for the sums and the result.
     """
     rows = keyed(docs, seed).select(F.col("doc_id").cast("long").alias("doc_id"), "__source", "__size", "__key", "__bucket")
     found = copies(materialise(rows, "mix-keys"))

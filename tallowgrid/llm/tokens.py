@@ -466,7 +466,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, l
     shuffled and memory is bounded by a group or by one document, whichever is larger. sequence_id is
     (task number << 40) + a running number: unique, not dense. A worker remembers ``remembered`` chunks:
     more take less time and more memory. Null texts are empty; each document
-    has at least its end id; rows with the same doc_id are packed each by itself; null ids stay null.
+    has at least its end id; rows with the same doc_id are packed each by itself; null ids stay null; no
+    rows give none; further columns, whatever their names, are not read.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

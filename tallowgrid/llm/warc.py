@@ -254,7 +254,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     A package is one task's work and records are read one by one, so memory is bounded by a record and
     an index. A response's payload is checked against its digest. ``with_payload`` adds the payload, null
-    for revisits.
+    for revisits. No packages give no rows.
     """
     spark = manifest.sparkSession
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
