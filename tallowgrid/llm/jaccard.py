@@ -419,36 +419,52 @@ def _split(cells: DataFrame, sizes: DataFrame, sets: DataFrame, pivots_each: int
     # Candidates are cut by hash before they are ranked: of a cell's members a fixed number is left.
     likely = rows.where(F.pmod(F.xxhash64("cell", "uid", F.lit(5)), F.greatest(F.lit(1), F.floor(F.col("members") / F.lit(8 * pivots_each)))) == 0)
     rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cell", "uid", F.lit(5)), "uid"))
-    chosen = likely.withColumn("k", rank).where(F.col("k") <= pivots_each).select("cell", F.col("uid").alias("pivot"))
+    chosen = likely.withColumn("k", rank).where(F.col("k") <= pivots_each).select("cell", "uid", "comp")
     sliced = _sliced(rows.drop("members"), "cell", cap, few)
-    heads = sliced.select("cell", "slice").distinct().join(chosen, "cell").withColumnRenamed("pivot", "uid").select("cell", "slice", "uid", F.lit(None).cast("long").alias("comp"))
-    fed = heads.unionByName(sliced.select("cell", "slice", "uid", "comp")).join(sets, "uid")
-    names = ["kind", "cell", "pivot", "uid", "comp", "n", "d"]
+    heads = sliced.select("cell", "slice").distinct().join(chosen, "cell").select("cell", "slice", "uid", "comp", F.lit(0).alias("member"))
+    fed = heads.unionByName(sliced.select("cell", "slice", "uid", "comp", F.lit(1).alias("member"))).join(sets, "uid")
+    names = ["kind", "cell", "pivot", "uid", "comp", "other", "n", "d"]
+
+    def batch(kind, cell, pivot, uid, comp, other, n, d):
+        m = len(uid)
+        columns = [np.full(m, kind, dtype=np.int32), [cell] * m, pivot, uid, comp, other, n, d]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def meet(batches):
         own, heads = None, []
         for now, part in _spans(batches, ["cell", "slice"]):
             if now != own:
                 own, heads = now, []
-            is_head = part.column("comp").is_null().to_numpy(zero_copy_only=False)
-            packed = part.column("set")
-            heads += [(u, np.frombuffer(x, dtype=_U)) for u, x, h in zip(part.column("uid").to_pylist(), packed.to_pylist(), is_head, strict=True) if h]
+            is_head = part.column("member").to_numpy() == 0
+            given = part.filter(pa.array(is_head))
+            heads += [(u, c, np.frombuffer(x, dtype=_U)) for u, c, x in zip(*[given.column(k).to_pylist() for k in ("uid", "comp", "set")], strict=True)]
             members = part.filter(pa.array(~is_head))
             if not members.num_rows:
                 continue
             flat, starts = _hashes(members.column("set"))
             n, uids, comp = np.diff(starts), members.column("uid").to_numpy(), members.column("comp").to_numpy()
-            common = np.array([_overlap(h, flat, starts) for _, h in heads])
-            sizes = np.array([len(h) for _, h in heads])[:, None]
-            d, hit = 1.0 - common / (n + sizes - common), linked(common, n, sizes)
-            names_of = np.array([u for u, _ in heads])
-            for kind, (k, at) in ((0, np.nonzero(d <= d.min(axis=0) + REACH + MARGIN)), (1, np.nonzero(hit & (names_of[:, None] != uids)))):
-                if len(k):
-                    columns = [np.full(len(k), kind, dtype=np.int32), [now[0]] * len(k), names_of[k], uids[at], comp[at], n[at], d[k, at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    dealt = fed.repartition("cell", "slice").sortWithinPartitions("cell", "slice", F.col("comp").asc_nulls_first())
-    return dealt.mapInArrow(lean(meet), "kind int, cell string, pivot long, uid long, comp long, n long, d double")
+            common = np.array([_overlap(h, flat, starts) for _, _, h in heads])
+            sizes = np.array([len(h) for _, _, h in heads])
+            d, hit = 1.0 - common / (n + sizes[:, None] - common), linked(common, n, sizes[:, None])
+            names_of, comp_of = np.array([u for u, _, _ in heads]), np.array([c for _, c, _ in heads])
+            k, at = np.nonzero(d <= d.min(axis=0) + REACH + MARGIN)
+            yield batch(0, now[0], names_of[k], uids[at], comp[at], comp_of[k], n[at], d[k, at])
+            # A link to the first pivot hit; further ones tie pivots together, once for all members.
+            first, forest = np.where(hit.any(axis=0), hit.argmax(axis=0), -1), _Forest(len(heads))
+            for j in range(len(heads)):
+                for other in np.unique(first[hit[j] & (first != j)]).tolist():
+                    forest.join(j, other)
+            at = np.flatnonzero((first >= 0) & (names_of[first] != uids))
+            k = first[at]
+            if len(at):
+                yield batch(1, now[0], names_of[k], uids[at], comp[at], comp_of[k], n[at], d[k, at])
+            roots = forest.roots()
+            k = np.flatnonzero(roots != np.arange(len(heads)))
+            if len(k):
+                yield batch(1, now[0], names_of[roots[k]], names_of[k], comp_of[k], comp_of[roots[k]], sizes[k], np.zeros(len(k)))
+
+    dealt = fed.repartition("cell", "slice").sortWithinPartitions("cell", "slice", "member")
+    return dealt.mapInArrow(lean(meet), "kind int, cell string, pivot long, uid long, comp long, other long, n long, d double")
 
 
 def _cells(cells: DataFrame, sets: DataFrame, cap: int, shingles_cap: int, pivots_each: int, few: int, depth: int) -> list[DataFrame]:
@@ -471,8 +487,7 @@ def _cells(cells: DataFrame, sets: DataFrame, cap: int, shingles_cap: int, pivot
         found = met.where("kind = 1").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
         links.append(found)
         # Links tie components together; a cell whose members are all tied has nothing left to find.
-        ties = met.where("kind = 1").select(F.col("comp").alias("a"), F.col("pivot").alias("uid"), "cell").join(rows.select("cell", "uid", F.col("comp").alias("b")), ["cell", "uid"]).select("a", "b")
-        tied = components(ties)
+        tied = components(met.where("kind = 1").select(F.col("comp").alias("a"), F.col("other").alias("b")), few)
         parts = met.where("kind = 0").join(tied, met["comp"] == tied["node"], "left").select(F.col("cell").alias("of"), F.concat_ws("/", "cell", "pivot").alias("cell"), "uid", F.coalesce("root", "comp").alias("comp"), "n", "d")
         parts = materialise(parts, "jaccard-parts")
         most = parts.groupBy("of", "cell").agg(F.count("*").alias("m")).groupBy("of").agg(F.max("m").alias("most"), F.sum("m").alias("all"))
@@ -515,26 +530,28 @@ def _boundary(known: DataFrame, few: int) -> DataFrame:
 # --- components --------------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = 200_000) -> DataFrame:
     """node, root: the smallest node reachable, for every node of a link.
 
     Alternating large-star and small-star steps: each points nodes at the smallest of their
-    neighbours, and edges stay as few as they were. Ends when a round changes nothing.
+    neighbours, and edges stay as few as they were. Ends when edges are stars: no root has an edge up.
+    Neighbours' minima are joined by broadcast where ``few`` nodes bound them, by count, else by a shuffle.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "component-edges")
-    mark, most = None, edges.count()
-    while most:
+    size = edges.count()
+    side = F.broadcast if 2 * size <= few else lambda least: least
+    done = not size
+    while not done:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = both.join(side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
+        joined = edges.join(side(least), "u")
         edges = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = materialise(edges, "component-edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == mark:
-            break
-        mark = now
+        # In a star forest each node has one edge, and what it points at has none.
+        below = edges.groupBy("u").agg(F.count("*").alias("n"))
+        done = below.where("n > 1").select("u").unionByName(below.join(edges.select(F.col("v").alias("u")), "u", "left_semi").select("u")).isEmpty()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -563,17 +580,19 @@ def cluster(docs: DataFrame, cap: int = 128, shingles_cap: int = 1 << 20, pivots
     met = materialise(_distances(edges, sets, cap, broadcast_rows).unionByName(pivots), "jaccard-met")
     links = [met.where("linked").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))]
     homes = met.groupBy("uid").agg(F.min(F.struct("d", "pivot")).alias("h"), F.first("n").alias("n")).select("uid", "n", F.col("h.pivot").alias("home"), F.col("h.d").alias("dh"))
-    tie = lambda links: homes.join(components(reduce(DataFrame.unionByName, links)), F.col("uid") == F.col("node"), "left").select("uid", "n", "home", "dh", F.coalesce("root", "uid").alias("comp"))
+    tie = lambda links: homes.join(components(reduce(DataFrame.unionByName, links), broadcast_rows), F.col("uid") == F.col("node"), "left").select("uid", "n", "home", "dh", F.coalesce("root", "uid").alias("comp"))
     named = materialise(tie(links), "jaccard-homes")
     known = materialise(_mixed(met, named, cap, broadcast_rows), "jaccard-known")
     # Where all around a pivot is connected already there is nothing to find.
     if not known.isEmpty():
         links += _meetings(met, tie, named, known, links, sets, cap, shingles_cap, pivots_each, broadcast_rows, depth)
-    found = components(reduce(DataFrame.unionByName, links))
+    found = components(reduce(DataFrame.unionByName, links), broadcast_rows)
     ids = classes.join(found, classes["rep"] == found["node"], "left").select("low", "high", "n", "least", F.coalesce("root", "rep").alias("root"))
     ids = materialise(ids, "jaccard-roots")
-    named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = ids.join(named, "root").select("low", "high", "n", "root", "component_id")
+    # Most classes are components of their own; the others' smallest ids are joined back.
+    several = ids.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("of")).where("of > 1").drop("of")
+    several = _side(materialise(several, "jaccard-named"), broadcast_rows)
+    ids = ids.join(several, "root", "left").select("low", "high", "n", "root", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(ids, ["low", "high", "n"], "left").select(
         "uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", "text_hash"
     )
