@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallowgrid.llm import hosts, jaccard, language, mixing, mtree, quality, tokens, toxicity, warc
+from tallowgrid.llm import codes, credentials, hosts, jaccard, language, mixing, mtree, quality, tokens, toxicity, trie, warc
 from tallowgrid.session import table
 
 
@@ -55,6 +55,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_linked_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_contracted_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_net_drift_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_zip_warc": op1_zip_warc,
     "op2_rank_order_language": op2_rank_order_language,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_token_shards": op8_token_shards,
     "op9_host_rules": op9_host_rules,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_linked_credentials": op11_linked_credentials,
+    "op12_contracted_trie": op12_contracted_trie,
+    "op13_net_drift_codes": op13_net_drift_codes,
 }
 ORACLES: dict[str, str] = {
     "op1_zip_warc": warc.ORACLE_SQL,
@@ -73,4 +88,7 @@ ORACLES: dict[str, str] = {
     "op6_mtree_top_k": mtree.ORACLE_SQL,
     "op10_jaccard_join": jaccard.ORACLE_SQL,
     "op9_host_rules": hosts.ORACLE_SQL,
+    "op11_linked_credentials": credentials.ORACLE_SQL,
+    "op12_contracted_trie": trie.ORACLE_SQL,
+    "op13_net_drift_codes": codes.ORACLE_SQL,
 }

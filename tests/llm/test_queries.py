@@ -27,8 +27,8 @@ def test_whole_tables(spark, small_dir, name):
     assert got.select("doc_id").distinct().count() == n
 
 
-def test_ten_operators():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_against_its_parts(spark, small_dir):
