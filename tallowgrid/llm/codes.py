@@ -140,6 +140,7 @@ class Bounds:
                 computed += len(changed) * len(entries)
             self.code[:, p] = at
             out[:, p] = best
+        self.fresh = False
         return out, computed
 
     def _keep(self, apart, members, rows, p, g, now, code):
@@ -232,8 +233,8 @@ def fit(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6,
     without an id last). A round sums each entry's parts within tasks and then over tasks; what reaches the
     driver is one row an entry. An entry becomes the floor of its mean; one without parts stays. Fewer vectors
     than entries give fewer entries; no vectors give no codebooks. Vectors of unlike lengths, of lengths that
-    ``parts`` doesn't divide, or with components of 2^50 or more raise ValueError; sums and distances below
-    that are exact.
+    ``parts`` doesn't divide, or with components of 2^50 or more raise ValueError. Below that sums and
+    distances are exact; an error or a label's error that a long can't hold stops the job.
     """
     codec = Codec(blocks=_blocks(vectors, parts), folder=new_folder(vectors.sparkSession, "code-bounds"))
     order = [F.col("vec_id").asc_nulls_last(), F.col("embedding")]
