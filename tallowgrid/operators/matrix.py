@@ -42,13 +42,32 @@ def dead_columns(matrix: DataFrame, key: str) -> DataFrame:
     return melt(matrix, key).groupBy("feature").agg(F.count_distinct("value").alias("n_distinct")).withColumn("dead", F.col("n_distinct") <= 1)
 
 
+def column_fingerprints(matrix: DataFrame, key: str) -> DataFrame:
+    """feature, fingerprint: a sum over rows of a hash of key and value, so that the order of rows and how
+    they lie in tasks don't matter. Equal columns have equal ones; a null has a hash of its own."""
+    cell = F.xxhash64(F.col(key), F.isnull("value"), F.col("value") + F.lit(0.0))
+    return melt(matrix, key).groupBy("feature").agg(F.sum(cell.cast("decimal(20,0)")).alias("fingerprint"))
+
+
 def duplicate_columns(matrix: DataFrame, key: str) -> DataFrame:
-    """a, b, all_equal for each pair of columns; nulls equal nulls. One aggregate, no self-join."""
-    names = sorted(c for c in matrix.columns if c != key)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    flags = matrix.agg(*[F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("all_equal")) for i, (a, b) in enumerate(pairs)])
-    return flags.select(F.explode(rows).alias("r")).select("r.*")
+    """a, b, all_equal for each pair of columns; nulls equal nulls.
+
+    Columns are compared by fingerprints, in one pass over the cells; only columns with the same fingerprint are
+    then compared cell by cell, each with the first of its class, in a second pass. What is handled outside
+    Spark's tasks is a row a column.
+    """
+    rows = column_fingerprints(matrix, key).collect()
+    like: dict = {}
+    for r in sorted(rows, key=lambda r: r["feature"]):
+        like.setdefault(r["fingerprint"], []).append(r["feature"])
+    asked = [(c[0], other) for c in like.values() for other in c[1:]]
+    spark, kept = matrix.sparkSession, {r["feature"]: r["feature"] for r in rows}
+    if asked:
+        flags = matrix.agg(*[F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias(f"p{i}") for i, (a, b) in enumerate(asked)]).first()
+        kept |= {b: a for i, (a, b) in enumerate(asked) if flags[f"p{i}"]}
+    classes = spark.createDataFrame(sorted(kept.items()), "name string, class string")
+    a, b = classes.select(F.col("name").alias("a"), F.col("class").alias("ca")), classes.select(F.col("name").alias("b"), F.col("class").alias("cb"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", (F.col("ca") == F.col("cb")).alias("all_equal"))
 
 
 def missing_flags(matrix: DataFrame, key: str) -> DataFrame:

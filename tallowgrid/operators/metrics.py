@@ -96,3 +96,53 @@ def lock_compare(new: DataFrame, stored: DataFrame, key: str, value: str, tolera
     a, b = new.select(F.col(key), F.col(value).alias("__new")), stored.select(F.col(key), F.col(value).alias("__stored"))
     diff = F.abs(F.col("__new") - F.col("__stored"))
     return a.join(b, key, "full_outer").select(key, diff.alias("diff"), F.coalesce(diff <= tolerance, F.lit(False)).alias("ok"))
+
+
+def threshold_sweep(counts: DataFrame, by: list[str], score: str) -> DataFrame:
+    """Confusion counts and mcc at every distinct score as the threshold (score >= tau is positive).
+
+    ``counts`` has a row for each (by, score), with pos and neg; cumulative counts come from running sums
+    over ranges of scores, so no task holds a group's scores. No grid: every threshold that tells rows apart is
+    tried.
+    """
+    placed = running_before(counts.select(*by, score, "pos", "neg"), by, score, ["pos", "neg"])
+    whole = counts.groupBy(*by).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    # A row a group: by design seeds, folds or arms.
+    named = whole.select(*[F.col(c).alias(f"__by_{c}") for c in by], "__p", "__n")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    out = placed.join(F.broadcast(named), same)
+    fn, tn = F.col("pos_before"), F.col("neg_before")
+    out = out.select(*by, F.col(score).alias("tau"), (F.col("__p") - fn).alias("tp"), tn.alias("tn"), (F.col("__n") - tn).alias("fp"), fn.alias("fn"))
+    return out.withColumn("mcc", mcc_of(*[F.col(c) for c in COUNTS]))
+
+
+def score_counts(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
+    """A row for each (by, score): pos, neg; rows with a missing label or score are left out."""
+    known = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
+    return known.groupBy(*by, score).agg(F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg"))
+
+
+def exact_threshold(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """tau of the largest mcc over all distinct scores, the lowest on ties, and that mcc."""
+    by = by or []
+    return best_threshold(threshold_sweep(score_counts(df, y, score, by), by, score), by)
+
+
+def exact_fold_thresholds(df: DataFrame, y: str, score: str, seed: str, fold: str, folds: int = 5) -> DataFrame:
+    """seed, fold, tau, mcc_train, mcc_held_out: for each fold the threshold that is best on the others' rows.
+
+    A (seed, score) row with the counts of each fold is written once for each fold held out, less that fold's
+    counts; only scores that others have are thresholds.
+    """
+    counts = score_counts(df, y, score, [seed, fold])
+    of = lambda name, k: F.coalesce(F.sum(F.when(F.col(fold) == k, F.col(name))), F.lit(0))
+    sums = counts.groupBy(seed, score).agg(*[F.array(*[of(n, k) for k in range(folds)]).alias(f"__{n}") for n in ("pos", "neg")])
+    total = lambda name: F.aggregate(f"__{name}", F.lit(0).cast("long"), lambda a, x: a + x)
+    rest = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: F.struct(k.cast("int").alias(fold), (total("pos") - F.get("__pos", k)).alias("pos"), (total("neg") - F.get("__neg", k)).alias("neg")))
+    others = sums.select(seed, score, F.explode(rest).alias("r")).select(seed, score, f"r.{fold}", "r.pos", "r.neg").where("pos + neg > 0")
+    picked = best_threshold(threshold_sweep(others, [seed, fold], score), [seed, fold]).withColumnRenamed("mcc", "mcc_train")
+    held = df.select(seed, fold, y, score).join(F.broadcast(picked.select(seed, fold, "tau")), [seed, fold])  # a row a fold
+    found = mcc(held.withColumn("__pred", (F.col(score) >= F.col("tau")).cast("int")), y, "__pred", [seed, fold])
+    return picked.join(found.select(seed, fold, F.col("mcc").alias("mcc_held_out")), [seed, fold])

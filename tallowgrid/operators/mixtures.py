@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,53 +77,78 @@ def active_rank(rows: DataFrame, by: str, conc: str, keys: list[str]) -> DataFra
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
+#: Sums of concentrations that the rules weigh, as conditions on an ingredient's eye and skin category. An
+#: ingredient counts once: one that burns skin counts as of the strongest eye class, and not in the weaker one.
+TERMS = {
+    "skin_1": "skin = '1'",
+    "skin_2": "skin = '2'",
+    "eye_1_or_skin_1": "eye = '1' OR skin = '1'",
+    "eye_2": "eye IN ('2', '2A', '2B') AND NOT coalesce(skin = '1', FALSE)",
+}
 #: The eye and skin cut-offs of the public UN GHS mixture rules (chapters 3.2, 3.3), in
-#: percent: endpoint, step, weight of the stronger sum, weight of the weaker sum, cut-off, result.
+#: percent: endpoint, step, term, weight, cut-off, result. A step's weighted terms are added up.
 CT_RULES = [
-    ("eye", 1, 1.0, 0.0, 3.0, "1"),
-    ("eye", 2, 1.0, 0.0, 1.0, "2A"),
-    ("eye", 3, 0.0, 1.0, 10.0, "2A"),
-    ("eye", 4, 10.0, 1.0, 10.0, "2A"),
-    ("skin", 1, 1.0, 0.0, 5.0, "1"),
-    ("skin", 2, 1.0, 0.0, 1.0, "2"),
-    ("skin", 3, 0.0, 1.0, 10.0, "2"),
-    ("skin", 4, 10.0, 1.0, 10.0, "2"),
+    ("eye", 1, "eye_1_or_skin_1", 1.0, 3.0, "1"),
+    ("eye", 2, "eye_1_or_skin_1", 1.0, 1.0, "2A"),
+    ("eye", 3, "eye_2", 1.0, 10.0, "2A"),
+    ("eye", 4, "eye_1_or_skin_1", 10.0, 10.0, "2A"),
+    ("eye", 4, "eye_2", 1.0, 10.0, "2A"),
+    ("skin", 1, "skin_1", 1.0, 5.0, "1"),
+    ("skin", 2, "skin_1", 1.0, 1.0, "2"),
+    ("skin", 3, "skin_2", 1.0, 10.0, "2"),
+    ("skin", 4, "skin_1", 10.0, 10.0, "2"),
+    ("skin", 4, "skin_2", 1.0, 10.0, "2"),
 ]
+#: The stronger and the weaker term of each endpoint.
+ENDPOINT_TERMS = {"eye": ("eye_1_or_skin_1", "eye_2"), "skin": ("skin_1", "skin_2")}
+
 
+def term_sum(term: str, conc: str, eye: str = "cat", skin: str = "skin") -> Column:
+    """Aggregate: the sum of known concentrations of a term's ingredients; 0 without one."""
+    test = re.sub(r"\b(eye|skin)\b(?! *_)", lambda m: {"eye": eye, "skin": skin}[m[1]], TERMS[term])
+    return F.coalesce(F.sum(F.when(F.expr(test), F.col(conc))), F.lit(0.0))
 
-def additivity(rows: DataFrame, by: str, category: str, conc: str, endpoint: str = "eye", strong: tuple = ("1",), weak: tuple = ("2A", "2B", "2"), extra: dict[str, Column] | None = None) -> DataFrame:
-    """s1, s2, n_missing, category: the additive mixture rule; ``extra`` aggregates come of the same pass.
 
-    s1 and s2 are the sums of concentrations of the stronger and weaker categories; unknown
-    concentrations are left out and counted, and the category is null if none is known. The first rule
-    whose weighted sum reaches its cut-off gives the category, else NC. Sums are compared with a
-    margin of 1e-9, so that the order of addition doesn't decide.
+def additivity(rows: DataFrame, by: str, conc: str, endpoint: str = "eye", eye: str = "cat", skin: str = "skin", extra: dict[str, Column] | None = None) -> DataFrame:
+    """s1, s2, n_missing, category: the additive mixture rule of an endpoint; ``extra`` aggregates come of the same pass.
+
+    s1 and s2 are the sums of the endpoint's stronger and weaker term; unknown concentrations are left out
+    and counted, and the category is null if none is known. The first step whose weighted sum reaches its
+    cut-off gives the category, else NC. Sums are compared with a margin of 1e-9, so that the order of
+    addition doesn't decide.
     """
-    pick = lambda names: F.coalesce(F.sum(F.when(F.col(category).isin(*names), F.col(conc))), F.lit(0.0))
-    out = rows.groupBy(by).agg(pick(strong).alias("s1"), pick(weak).alias("s2"), F.count(F.when(F.col(conc).isNull(), 1)).alias("n_missing"), F.count(conc).alias("__known"), *[c.alias(n) for n, c in (extra or {}).items()])
+    strong, weak = ENDPOINT_TERMS[endpoint]
+    out = rows.groupBy(by).agg(
+        term_sum(strong, conc, eye, skin).alias("s1"), term_sum(weak, conc, eye, skin).alias("s2"),
+        F.count(F.when(F.col(conc).isNull(), 1)).alias("n_missing"), F.count(conc).alias("__known"), *[c.alias(n) for n, c in (extra or {}).items()],
+    )
     result = None
-    for e, _, w1, w2, cutoff, name in CT_RULES:
-        if e == endpoint:
-            test = w1 * F.col("s1") + w2 * F.col("s2") >= cutoff - 1e-9
-            result = F.when(test, name) if result is None else result.when(test, name)
+    for step in sorted({r[1] for r in CT_RULES if r[0] == endpoint}):
+        own = [r for r in CT_RULES if r[:2] == (endpoint, step)]
+        total = sum((r[3] * F.col("s1" if r[2] == strong else "s2") for r in own), F.lit(0.0))
+        test = total >= own[0][4] - 1e-9
+        result = F.when(test, own[0][5]) if result is None else result.when(test, own[0][5])
     return out.select(by, "s1", "s2", "n_missing", F.when(F.col("__known") > 0, result.otherwise("NC")).alias("category"), *(extra or {}))
 
 
 def ct_rules(spark: SparkSession) -> DataFrame:
-    """The rules as a table: endpoint, step, w1, w2, cutoff, result."""
-    return spark.createDataFrame(CT_RULES, "endpoint string, step int, w1 double, w2 double, cutoff double, result string")
+    """The rules as a table: endpoint, step, term, weight, cutoff, result."""
+    return spark.createDataFrame(CT_RULES, "endpoint string, step int, term string, weight double, cutoff double, result string")
 
 
-def additivity_by_table(rows: DataFrame, by: str, category: str, conc: str, rules: DataFrame, strong: tuple = ("1",), weak: tuple = ("2A", "2B", "2")) -> DataFrame:
+def additivity_by_table(rows: DataFrame, by: str, conc: str, rules: DataFrame, eye: str = "cat", skin: str = "skin") -> DataFrame:
     """endpoint, key, step, category for every mixture and endpoint of a table of rules.
 
-    Ingredients are summed to a row for each mixture before they meet the rules, a table of a few rows. The
-    first step whose weighted sum reaches its cut-off counts; without one the category is NC, and null
-    where no concentration is known.
+    Ingredients are summed to a row for each mixture, with a sum for each term, before they meet the rules, a
+    table of a few rows. The first step whose weighted sum reaches its cut-off counts; without one the category
+    is NC, and null where no concentration is known.
     """
-    pick = lambda names: F.coalesce(F.sum(F.when(F.col(category).isin(*names), F.col(conc))), F.lit(0.0))
-    sums = rows.groupBy(by).agg(pick(strong).alias("__s1"), pick(weak).alias("__s2"), F.count(conc).alias("__known"))
-    steps = rules.groupBy("endpoint").agg(F.array_sort(F.collect_list(F.struct("step", "w1", "w2", "cutoff", "result"))).alias("__steps"))
-    met = F.filter("__steps", lambda r: r["w1"] * F.col("__s1") + r["w2"] * F.col("__s2") >= r["cutoff"] - 1e-9)
+    sums = rows.groupBy(by).agg(*[term_sum(t, conc, eye, skin).alias(f"__{t}") for t in TERMS], F.count(conc).alias("__known"))
+    held = F.create_map(*[x for t in TERMS for x in (F.lit(t), F.col(f"__{t}"))])
+    sums = sums.select(by, "__known", held.alias("__sums"))
+    step = rules.groupBy("endpoint", "step").agg(F.collect_list(F.struct("term", "weight")).alias("weights"), F.max("cutoff").alias("cutoff"), F.max("result").alias("result"))
+    steps = step.groupBy("endpoint").agg(F.array_sort(F.collect_list(F.struct("step", "weights", "cutoff", "result"))).alias("__steps"))
+    total = lambda r: F.aggregate(r["weights"], F.lit(0.0), lambda acc, w: acc + w["weight"] * F.element_at("__sums", w["term"]))
+    met = F.filter("__steps", lambda r: total(r) >= r["cutoff"] - 1e-9)
     joined = sums.join(F.broadcast(steps)).withColumn("__first", F.try_element_at(met, F.lit(1)))  # a row an endpoint
     return joined.select("endpoint", by, F.col("__first.step").alias("step"), F.when(F.col("__known") > 0, F.coalesce("__first.result", F.lit("NC"))).alias("category"))

@@ -18,8 +18,8 @@ PROJECTION = [
     for jur, twob, two in (("UN_GHS", 1, 1), ("EU_CLP", 0, None), ("K_REACH", 1, 1), ("US_OSHA", 1, 1))
     for cat, y in (("1", 1), ("2A", 1), ("2B", twob), ("2", two), ("NC", 0))
 ]
-#: The same for skin: category 2 of EU_CLP and K_REACH counts everywhere, 3 in UN_GHS only.
-SKIN_PROJECTION = [(jur, cat, y) for jur, third in (("UN_GHS", 1), ("EU_CLP", None), ("K_REACH", None), ("US_OSHA", 0)) for cat, y in (("1", 1), ("2", 1), ("3", third), ("NC", 0))]
+#: The same for skin: 1 and 2 count everywhere, 3 in UN_GHS only; the other three map skin alike.
+SKIN_PROJECTION = [(jur, cat, y) for jur, third in (("UN_GHS", 1), ("EU_CLP", 0), ("K_REACH", 0), ("US_OSHA", 0)) for cat, y in (("1", 1), ("2", 1), ("3", third), ("NC", 0))]
 #: feature, family, lane, layer, state, from_label: what may be used, by whom.
 MANIFEST = [
     ("n_ing", "composition", "L2", "formulation", "ACTIVE", False),
@@ -30,8 +30,15 @@ MANIFEST = [
     ("conc_max", "composition", "L2", "formulation", "ACTIVE", False),
     ("size_mean", "descriptor", "L3", "substance", "ACTIVE", False),
     ("price_mean", "descriptor", "L3", "substance", "STAGED", False),
+    ("f_ct0_eye_s1", "additivity_original", "L2", "formulation", "ACTIVE", False),
+    ("f_ct0_eye_s2", "additivity_original", "L2", "formulation", "ACTIVE", False),
+    ("f_ct0_skin_s1", "additivity_original", "L2", "formulation", "ACTIVE", False),
+    ("f_ct0_skin_s2", "additivity_original", "L2", "formulation", "ACTIVE", False),
     ("f_ct_eye_s1", "additivity", "L2", "formulation", "ACTIVE", False),
     ("f_ct_eye_s2", "additivity", "L2", "formulation", "ACTIVE", False),
+    ("f_ct_skin_s1", "additivity", "L2", "formulation", "ACTIVE", False),
+    ("f_ct_skin_s2", "additivity", "L2", "formulation", "ACTIVE", False),
+    ("f_ct_coverage", "additivity_coverage", "L2", "formulation", "ACTIVE", False),
     ("f_ct_sens_a", "additivity", "L2", "formulation", "STAGED", False),
     ("f_ct_sens_b", "additivity", "L2", "formulation", "STAGED", False),
     ("unit", "composition", "L1", "formulation", "STAGED", False),
@@ -52,7 +59,8 @@ _SKIN_S = "CASE WHEN p_size <= 8 THEN '1' WHEN p_size <= 20 THEN '2' WHEN p_size
 
 
 def substances(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").selectExpr("p_partkey AS s", "concat(p_name, '|', p_brand) AS skeleton", "p_type AS role", "p_size", "p_retailprice AS price", f"{_CAT} AS cat")
+    """s, skeleton, role, descriptors, cat (eye) and skin category of every substance."""
+    return table(spark, sf, "part").selectExpr("p_partkey AS s", "concat(p_name, '|', p_brand) AS skeleton", "p_type AS role", "p_size", "p_retailprice AS price", f"{_CAT} AS cat", f"{_SKIN_S} AS skin")
 
 
 def overlay(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,9 +78,10 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ingredients(spark: SparkSession, sf: str) -> DataFrame:
-    """Ingredient rows with role and category, surveys filling unknown categories."""
+    """Ingredient rows with role and categories: eye0 as originally known, cat with surveys filling what is
+    unknown, and skin."""
     known = labels.apply_overlay(substances(spark, sf), overlay(spark, sf), "s", "cat", "survey_cat")
-    return mixtures.ingredient_rows(lines(spark, sf), known.select("s", "role", "p_size", "price", F.col("cat_final").alias("cat")))
+    return mixtures.ingredient_rows(lines(spark, sf), known.select("s", "role", "p_size", "price", F.col("cat").alias("eye0"), F.col("cat_final").alias("cat"), "skin"))
 
 
 def formulations(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,9 +105,15 @@ def endpoint_labels(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.unionByName(single).select("layer", "id", "r.endpoint", "r.category").where("category IS NOT NULL")
 
 
+#: The additive rule's sums in each arm: A0 from original categories, A2 with the survey filling gaps, A3 as A2
+#: with the share of the known concentration whose category is known.
+ARM_FAMILIES = {"A0": ["additivity_original"], "A2": ["additivity"], "A3": ["additivity", "additivity_coverage"]}
+
+
 def columns_of(arm: str) -> list[str]:
-    """An arm's columns: A0 leaves out the additive rule's sums, A2 has the active ones, A3 all of them."""
-    return [m[0] for m in MANIFEST if not m[5] and m[0] not in FEAT_DROP and (m[4] == "ACTIVE" and (arm != "A0" or m[1] != "additivity") or arm == "A3" and m[1] == "additivity")]
+    """An arm's columns: ACTIVE ones of formulations that don't come from labels, with the arm's sums."""
+    sums = {f for own in ARM_FAMILIES.values() for f in own}
+    return [n for n, family, _, layer, state, label in MANIFEST if state == "ACTIVE" and layer == "formulation" and not label and n not in FEAT_DROP and (family not in sums or family in ARM_FAMILIES[arm])]
 
 
 def arm_columns(spark: SparkSession) -> DataFrame:
@@ -111,9 +126,16 @@ def manifest(spark: SparkSession) -> DataFrame:
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
     """f, known (some concentration is declared), and the features of MANIFEST but the quarantined."""
-    sum_of = lambda *cats: F.sum(F.when(F.col("cat").isin(*cats), F.col("conc")))
+    known = F.count("conc") > 0
+    sums = {
+        f"f_ct{zero}_{endpoint}_s{k}": F.when(known, mixtures.term_sum(term, "conc", eye=eye))
+        for zero, eye in (("0", "eye0"), ("", "cat"))
+        for endpoint, terms in mixtures.ENDPOINT_TERMS.items()
+        for k, term in enumerate(terms, 1)
+    }
+    uncategorised = F.sum(F.when(F.col("cat") == "NC", F.col("conc")))
     return ingredients(spark, sf).groupBy("f").agg(
-        (F.count("conc") > 0).alias("known"),
+        known.alias("known"),
         F.count("*").cast("double").alias("n_ing"),
         F.sum("conc").alias("conc_total"),
         F.coalesce(F.sum("conc"), F.lit(0.0)).alias("conc_total_frozen"),
@@ -122,10 +144,10 @@ def matrix(spark: SparkSession, sf: str) -> DataFrame:
         F.max("conc").alias("conc_max"),
         F.avg("p_size").alias("size_mean"),
         F.avg("price").alias("price_mean"),
-        F.when(F.count("conc") > 0, F.coalesce(sum_of("1"), F.lit(0.0))).alias("f_ct_eye_s1"),
-        F.when(F.count("conc") > 0, F.coalesce(sum_of("2A", "2B"), F.lit(0.0))).alias("f_ct_eye_s2"),
-        F.when(F.count("conc") > 0, F.coalesce(sum_of("NC"), F.lit(0.0))).alias("f_ct_sens_a"),
-        sum_of("NC").alias("f_ct_sens_b"),
+        *[v.alias(k) for k, v in sums.items()],
+        (F.coalesce(F.sum(F.when(F.col("cat").isNotNull(), F.col("conc"))), F.lit(0.0)) / F.sum("conc")).alias("f_ct_coverage"),
+        F.when(known, F.coalesce(uncategorised, F.lit(0.0))).alias("f_ct_sens_a"),
+        uncategorised.alias("f_ct_sens_b"),
         F.lit(1.0).alias("unit"),
     )
 
@@ -141,27 +163,39 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
 
 
-_SUMS = "sum(conc) FILTER (WHERE cat IN ({}))"
+_SUMS = "sum(conc) FILTER (WHERE {})"
+
+
+def _ct_sums(prefix: str, eye: str) -> str:
+    """The rule's four sums from the public text: skin 1 or eye 1, eye 2 of those that aren't skin 1, skin 1, skin 2."""
+    tests = {
+        "eye_s1": f"skin = '1' OR {eye} = '1'",
+        "eye_s2": f"{eye} IN ('2', '2A', '2B') AND skin IS DISTINCT FROM '1'",
+        "skin_s1": "skin = '1'",
+        "skin_s2": "skin = '2'",
+    }
+    return ", ".join(f"CASE WHEN count(conc) > 0 THEN coalesce({_SUMS.format(t)}, 0) END AS {prefix}_{n}" for n, t in tests.items())
+
+
 #: The same views in SQL.
-PRELUDE = f"""WITH
-substances AS (SELECT p_partkey AS s, concat(p_name, '|', p_brand) AS skeleton, p_type AS role, p_size, p_retailprice AS price, {_CAT} AS cat FROM part),
+PRELUDE = f"""WITH RECURSIVE
+substances AS (SELECT p_partkey AS s, concat(p_name, '|', p_brand) AS skeleton, p_type AS role, p_size, p_retailprice AS price, {_CAT} AS cat, {_SKIN_S} AS skin FROM part),
 overlay AS (SELECT * FROM (SELECT p_partkey AS s, CASE p_partkey % 3 WHEN 0 THEN '2A' WHEN 1 THEN 'NC' END AS survey_cat FROM part WHERE p_size > 40) WHERE survey_cat IS NOT NULL),
 lines AS (SELECT l_orderkey AS f, l_partkey AS s, l_linenumber AS ln, l_suppkey AS supp, l_extendedprice AS px,
  CASE WHEN l_returnflag <> 'N' THEN 100.0::DOUBLE * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) END AS conc FROM lineitem),
-ingredients AS (SELECT l.*, p.role, p.p_size, p.price, coalesce(p.cat, o.survey_cat) AS cat FROM lines l LEFT JOIN substances p USING (s) LEFT JOIN overlay o USING (s)),
+ingredients AS (SELECT l.*, p.role, p.p_size, p.price, p.cat AS eye0, coalesce(p.cat, o.survey_cat) AS cat, p.skin FROM lines l LEFT JOIN substances p USING (s) LEFT JOIN overlay o USING (s)),
 formulations AS (SELECT o_orderkey AS f, o_custkey AS grp, o_orderstatus AS tier, o_totalprice AS total, {_LABEL} AS category FROM orders),
 projection(jur, category, y) AS (VALUES {_values(PROJECTION)}),
 endpoint_projection(endpoint, jur, category, y) AS (VALUES {_values([("eye", *r) for r in PROJECTION] + [("skin", *r) for r in SKIN_PROJECTION])}),
 endpoint_labels AS (SELECT * FROM (
  SELECT 'formulation' AS layer, f AS id, 'eye' AS endpoint, category FROM formulations UNION ALL SELECT 'formulation', f, 'skin', {_SKIN_F} FROM formulations UNION ALL
  SELECT 'substance', s, 'eye', cat FROM substances UNION ALL SELECT 'substance', s, 'skin', {_SKIN_S} FROM substances) WHERE category IS NOT NULL),
-ct_rules(endpoint, step, w1, w2, cutoff, result) AS (VALUES {_values(mixtures.CT_RULES)}),
 manifest(feature, family, lane, layer, state, from_label) AS (VALUES {_values(MANIFEST)}),
 matrix AS (SELECT f, count(conc) > 0 AS known, count(*)::DOUBLE AS n_ing, sum(conc) AS conc_total, coalesce(sum(conc), 0) AS conc_total_frozen, sum(conc) AS conc_total_twin,
  avg(conc) AS conc_mean, max(conc) AS conc_max, avg(p_size) AS size_mean, avg(price) AS price_mean,
- CASE WHEN count(conc) > 0 THEN coalesce({_SUMS.format("'1'")}, 0) END AS f_ct_eye_s1,
- CASE WHEN count(conc) > 0 THEN coalesce({_SUMS.format("'2A', '2B'")}, 0) END AS f_ct_eye_s2,
- CASE WHEN count(conc) > 0 THEN coalesce({_SUMS.format("'NC'")}, 0) END AS f_ct_sens_a,
- {_SUMS.format("'NC'")} AS f_ct_sens_b, 1.0::DOUBLE AS unit FROM ingredients GROUP BY f),
+ {_ct_sums("f_ct0", "eye0")}, {_ct_sums("f_ct", "cat")},
+ coalesce({_SUMS.format("cat IS NOT NULL")}, 0) / sum(conc) AS f_ct_coverage,
+ CASE WHEN count(conc) > 0 THEN coalesce({_SUMS.format("cat = 'NC'")}, 0) END AS f_ct_sens_a,
+ {_SUMS.format("cat = 'NC'")} AS f_ct_sens_b, 1.0::DOUBLE AS unit FROM ingredients GROUP BY f),
 scored AS (SELECT doc_id, n_chars::DOUBLE AS score, source AS tier, toxic AS y, quality FROM documents JOIN labels USING (doc_id))
 """

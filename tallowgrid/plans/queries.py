@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallowgrid.functions import scalars
 from tallowgrid.functions.scalars import comparable as c6
-from tallowgrid.operators import checks, folds, labels, matrix, metrics, mixtures, models, ranks
+from tallowgrid.operators import checks, folds, groups, labels, matrix, metrics, mixtures, models, ranks
 from tallowgrid.plans import fixtures as fx
 from tallowgrid.session import settle, shared_root, table
 from tallowgrid.sources import files, lookups, reports, xlsx
@@ -134,7 +134,7 @@ def report_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, x) for k, x in enumerate(text.splitlines(), 1)], "line int, text string")
 
 
-_ALL = ["n_ing", "conc_total", "conc_total_frozen", "conc_total_twin", "conc_mean", "conc_max", "size_mean", "price_mean", "f_ct_eye_s1", "f_ct_eye_s2", "f_ct_sens_a", "f_ct_sens_b", "unit"]
+_ALL = ["n_ing", "conc_total", "conc_total_frozen", "conc_total_twin", "conc_mean", "conc_max", "size_mean", "price_mean", "f_ct0_eye_s1", "f_ct0_eye_s2", "f_ct0_skin_s1", "f_ct0_skin_s2", "f_ct_eye_s1", "f_ct_eye_s2", "f_ct_skin_s1", "f_ct_skin_s2", "f_ct_coverage", "f_ct_sens_a", "f_ct_sens_b", "unit"]
 
 
 def _long(rows: str, more: str = "") -> str:
@@ -214,9 +214,13 @@ def quarantine_planted(spark: SparkSession, sf: str) -> DataFrame:
     return _quarantine(fx.manifest(spark).unionByName(spark.createDataFrame(planted, fx.manifest(spark).schema)))
 
 
-@query("SELECT arm, feature FROM manifest, (VALUES ('A0'), ('A2'), ('A3')) a(arm) WHERE NOT from_label AND feature NOT IN ('conc_total_twin', 'unit') AND ((state = 'ACTIVE' AND (arm <> 'A0' OR family <> 'additivity')) OR (arm = 'A3' AND family = 'additivity'))")
+@query(
+    "SELECT arm, feature FROM manifest, (VALUES ('A0'), ('A2'), ('A3')) a(arm) WHERE NOT from_label AND layer = 'formulation' AND state = 'ACTIVE' AND feature NOT IN ('conc_total_twin', 'unit') "
+    "AND (family NOT LIKE 'additivity%' OR (family = 'additivity_original' AND arm = 'A0') OR (family = 'additivity' AND arm <> 'A0') OR (family = 'additivity_coverage' AND arm = 'A3'))"
+)
 def arm_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns of each arm: A0 without the additive rule's sums, A2 with them, A3 with all of that family."""
+    """Columns of each arm: the additive rule's sums from original categories (A0), with the survey (A2), and
+    with the coverage (A3)."""
     return fx.arm_columns(spark)
 
 
@@ -387,28 +391,32 @@ def role_conc_sums(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mixtures.role_sums(fx.ingredients(spark, sf), "f", "role", "conc", fx.ROLES))
 
 
+_EYE_1, _EYE_2 = "(skin = '1' OR cat = '1')", "(cat IN ('2', '2A', '2B') AND skin IS DISTINCT FROM '1')"
 _CT = (
     "SELECT f, s1, s2, n_missing, CASE WHEN known = 0 THEN NULL WHEN s1 >= 3 - 1e-9 THEN '1' WHEN s1 >= 1 - 1e-9 OR s2 >= 10 - 1e-9 OR 10 * s1 + s2 >= 10 - 1e-9 THEN '2A' ELSE 'NC' END AS category FROM ("
-    "SELECT f, coalesce(sum(CASE WHEN cat = '1' THEN conc END), 0) AS s1, coalesce(sum(CASE WHEN cat IN ('2A', '2B', '2') THEN conc END), 0) AS s2, count(*) - count(conc) AS n_missing, count(conc) AS known FROM ingredients GROUP BY f)"
+    f"SELECT f, coalesce(sum(CASE WHEN {_EYE_1} THEN conc END), 0) AS s1, coalesce(sum(CASE WHEN {_EYE_2} THEN conc END), 0) AS s2, count(*) - count(conc) AS n_missing, count(conc) AS known FROM ingredients GROUP BY f)"
 )
 
 
 @query(f"SELECT f, {_r('s1', 's2')}, n_missing, category FROM ({_CT})")
 def ct_additivity(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(mixtures.additivity(fx.ingredients(spark, sf), "f", "cat", "conc"))
+    return rounded(mixtures.additivity(fx.ingredients(spark, sf), "f", "conc"))
 
 
-_STRENGTH = "CASE WHEN cat = '1' THEN 'strong' WHEN cat IN ('2', '2A', '2B') THEN 'weak' END"
+def _first_step(s1: str, s2: str, first: str, high: int, strong: str, weak: str) -> str:
+    tests = [f"{s1} >= {high} - 1e-9", f"{s1} >= 1 - 1e-9", f"{s2} >= 10 - 1e-9", f"10 * {s1} + {s2} >= 10 - 1e-9"]
+    steps = " ".join(f"WHEN {t} THEN {k}" for k, t in enumerate(tests, 1))
+    return f"SELECT '{first}' AS endpoint, f, (CASE {steps} END)::INTEGER AS step, CASE WHEN known > 0 THEN CASE WHEN {tests[0]} THEN '{strong}' WHEN {' OR '.join(tests[1:])} THEN '{weak}' ELSE 'NC' END END AS category FROM sums"
 
 
 @query(
-    f", sums AS (SELECT f, coalesce(sum(CASE WHEN {_STRENGTH} = 'strong' THEN conc END), 0) AS s1, coalesce(sum(CASE WHEN {_STRENGTH} = 'weak' THEN conc END), 0) AS s2, count(conc) AS known FROM ingredients GROUP BY f), "
-    "hits AS (SELECT endpoint, f, min(step) AS step FROM sums, ct_rules WHERE w1 * s1 + w2 * s2 >= cutoff - 1e-9 GROUP BY ALL) "
-    "SELECT e.endpoint, s.f, h.step, CASE WHEN known > 0 THEN coalesce(r.result, 'NC') END AS category FROM sums s CROSS JOIN (SELECT DISTINCT endpoint FROM ct_rules) e LEFT JOIN hits h ON h.endpoint = e.endpoint AND h.f = s.f LEFT JOIN ct_rules r ON r.endpoint = h.endpoint AND r.step = h.step"
+    ", sums AS (SELECT f, count(conc) AS known, coalesce(sum(CASE WHEN skin = '1' THEN conc END), 0) AS skin1, coalesce(sum(CASE WHEN skin = '2' THEN conc END), 0) AS skin2, "
+    f"coalesce(sum(CASE WHEN {_EYE_1} THEN conc END), 0) AS eye1, coalesce(sum(CASE WHEN {_EYE_2} THEN conc END), 0) AS eye2 FROM ingredients GROUP BY f) "
+    f"{_first_step('eye1', 'eye2', 'eye', 3, '1', '2A')} UNION ALL {_first_step('skin1', 'skin2', 'skin', 5, '1', '2')}"
 )
 def endpoint_additivity(spark: SparkSession, sf: str) -> DataFrame:
-    """The additive rule for eye and skin, its cut-offs from a table."""
-    return mixtures.additivity_by_table(fx.ingredients(spark, sf), "f", "cat", "conc", mixtures.ct_rules(spark))
+    """The additive rule for eye and skin, each over its own sums, terms and cut-offs from a table."""
+    return mixtures.additivity_by_table(fx.ingredients(spark, sf), "f", "conc", mixtures.ct_rules(spark))
 
 
 @query("SELECT f, round(sum(conc) + 1e-10, 6) AS total_correct, round(coalesce(sum(conc), 0) + 1e-10, 6) AS total_nan0, sum(conc) IS NULL AS differs FROM ingredients GROUP BY f")
@@ -531,7 +539,8 @@ def auc_by_tier(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.roc_auc(fx.scored(spark, sf), "y", "score", ["tier"]).drop("n_pos"))
 
 
-_BOTH = f"SELECT (SELECT auc FROM ({_auc_sql('SELECT * FROM scored')})) AS pooled, (SELECT auc FROM ({_auc_sql(chr(83) + 'ELECT * FROM scored WHERE tier <> ' + chr(39) + 'src0' + chr(39))})) AS corrected"
+_CLEAN = "SELECT * FROM scored WHERE tier <> 'src0'"
+_BOTH = f"SELECT (SELECT auc FROM ({_auc_sql('SELECT * FROM scored')})) AS pooled, (SELECT auc FROM ({_auc_sql(_CLEAN)})) AS corrected"
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
@@ -617,6 +626,40 @@ def per_fold_tau(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(picked.join(held.select("seed", "fold", "tau", F.col("mcc").alias("mcc_held_out")), ["seed", "fold", "tau"]))
 
 
+def _sweep_sql(rows: str, by: str = "") -> str:
+    part, comma = (f"PARTITION BY {by} ", f"{by}, ") if by else ("", "")
+    return (
+        f"SELECT {comma}tau, {_mcc_sql()} AS mcc FROM (SELECT {comma}score AS tau, sum(pos) OVER (g) - sum(pos) OVER (w) + pos AS tp, sum(neg) OVER (w) - neg AS tn, sum(neg) OVER (g) - sum(neg) OVER (w) + neg AS fp, sum(pos) OVER (w) - pos AS fn "
+        f"FROM (SELECT {comma}score, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(CASE WHEN y = 0 THEN 1 END) AS neg FROM ({rows}) GROUP BY {comma}score) WINDOW w AS ({part}ORDER BY score), g AS ({part.strip()}))"
+    ).replace("OVER (g)", "OVER g").replace("OVER (w)", "OVER w")
+
+
+_PICK = "SELECT {by}tau, mcc FROM (SELECT *, row_number() OVER ({part}ORDER BY round(mcc + 1e-10, 9) DESC, tau) AS k FROM ({rows}) WHERE mcc IS NOT NULL) WHERE k = 1"
+
+
+@query(f"SELECT tau, round(mcc + 1e-10, 6) AS mcc FROM ({_PICK.format(by='', part='', rows=_sweep_sql(f'SELECT y, {_P} AS score FROM scored'))})")
+def exact_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """The threshold of the largest MCC among all distinct scores, not a grid of them."""
+    found = metrics.exact_threshold(_share(spark, sf), "y", "p")
+    return found.select("tau", c6(F.col("mcc")).alias("mcc"))
+
+
+_OTHERS = "SELECT d.seed, k.fold, d.y, d.p AS score FROM d JOIN (VALUES (0), (1), (2), (3), (4)) k(fold) ON d.fold <> k.fold"
+
+
+@query(
+    f", d AS ({_FOLDED}), picked AS ({_PICK.format(by='seed, fold, ', part='PARTITION BY seed, fold ', rows=_sweep_sql(_OTHERS, 'seed, fold'))}), "
+    f"held AS (SELECT seed, fold, {_CONFUSION} FROM (SELECT d.seed, d.fold, d.y, (d.p >= picked.tau)::INTEGER AS pred FROM d JOIN picked USING (seed, fold)) GROUP BY seed, fold) "
+    f"SELECT seed, fold, tau, round(picked.mcc + 1e-10, 6) AS mcc_train, round({_mcc_sql()} + 1e-10, 6) AS mcc_held_out FROM picked JOIN held USING (seed, fold)"
+)
+def exact_fold_tau(spark: SparkSession, sf: str) -> DataFrame:
+    """For each seed and fold the best threshold of the other folds' rows, over all distinct scores."""
+    rows = _share(spark, sf).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    rows = rows.withColumn("fold", scalars.hash_class(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("seed").cast("string")), 5))
+    found = metrics.exact_fold_thresholds(settle(rows.select("seed", "fold", "y", "p"), "folded-scores"), "y", "p", "seed", "fold")
+    return found.select("seed", "fold", "tau", c6(F.col("mcc_train")).alias("mcc_train"), c6(F.col("mcc_held_out")).alias("mcc_held_out"))
+
+
 @query("SELECT category, count(*) AS n, round(count(*) / (SELECT count(category) FROM formulations)::DOUBLE + 1e-10, 6) AS share FROM formulations WHERE category IS NOT NULL AND category NOT IN ('1', '2A', 'NC') GROUP BY category")
 def unreachable_categories(spark: SparkSession, sf: str) -> DataFrame:
     reach = spark.createDataFrame([(r,) for r in sorted({x[5] for x in mixtures.CT_RULES if x[0] == "eye"} | {"NC"})], "category string")
@@ -642,8 +685,8 @@ def coverage_quartile_mcc(spark: SparkSession, sf: str) -> DataFrame:
     The rule and the coverage come from one pass over ingredient rows; pairs of categories are counted
     before they are multiplied by jurisdictions.
     """
-    rows = fx.ingredients(spark, sf).select("f", "cat", "conc")
-    both = mixtures.additivity(rows, "f", "cat", "conc", extra={"coverage": mixtures.covered("cat")}).select("f", F.col("category").alias("rule"), "coverage")
+    rows = fx.ingredients(spark, sf).select("f", "cat", "skin", "conc")
+    both = mixtures.additivity(rows, "f", "conc", extra={"coverage": mixtures.covered("cat")}).select("f", F.col("category").alias("rule"), "coverage")
     # Ranks read this narrow table three times; ingredient rows are read once.
     binned = ranks.equal_bins(settle(both, "rules"), 4, "coverage", "f", "bin")
     joined = binned.join(fx.formulations(spark, sf).select("f", "category"), "f").groupBy("bin", "rule", "category").agg(F.count("*").alias("n"))
@@ -697,6 +740,30 @@ def vector_moments(spark: SparkSession, sf: str) -> DataFrame:
 # --- folds and models --------------------------------------------------------------------------
 
 
+_ACTIVE_SQL = """, actives AS MATERIALIZED (SELECT DISTINCT f, s FROM (SELECT f, s, rank() OVER (PARTITION BY f ORDER BY conc DESC) AS r FROM lines WHERE conc IS NOT NULL) WHERE r = 1),
+ties AS MATERIALIZED (SELECT DISTINCT a.s AS a, b.s AS b FROM actives a JOIN actives b USING (f)),
+reach AS (SELECT DISTINCT s AS a, s AS b FROM actives UNION SELECT reach.a, ties.b FROM reach JOIN ties ON reach.b = ties.a),
+grouped AS (SELECT l.f, coalesce('i' || min(r.b), 'm' || l.f) AS "group" FROM formulations l LEFT JOIN actives USING (f) LEFT JOIN reach r ON r.a = actives.s GROUP BY l.f)
+"""
+
+
+def _active_groups(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.formulations(spark, sf).select("f")
+    active = groups.active_ingredients(fx.lines(spark, sf).select("f", "s", "conc"), "f", "s", "conc")
+    return groups.active_groups(rows, settle(active, "actives"), "f", "s")
+
+
+@query(_ACTIVE_SQL + 'SELECT f, "group" FROM grouped')
+def active_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The group of each formulation: those that share an active ingredient, or are tied through others."""
+    return _active_groups(spark, sf)
+
+
+@query(_ACTIVE_SQL + 'SELECT group_size, count(*) AS n_groups FROM (SELECT "group", count(*) AS group_size FROM grouped GROUP BY "group") GROUP BY group_size')
+def active_group_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return _active_groups(spark, sf).groupBy("group").agg(F.count("*").alias("group_size")).groupBy("group_size").agg(F.count("*").alias("n_groups"))
+
+
 def _basis_rows(spark: SparkSession, sf: str) -> DataFrame:
     basis = fx.projection(spark).where(F.col("jur") == BASIS).select("category", "y")
     return fx.formulations(spark, sf).join(F.broadcast(basis), "category").where("y IS NOT NULL")

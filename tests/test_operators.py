@@ -98,13 +98,20 @@ def test_the_audit_catches_a_frozen_zero(spark):
     assert [r["f"] for r in matrix.invented(built, raw, "f", "a").collect()] == [2]
 
 
+RULED = [
+    ("a", "1", None, 3.0), ("b", "1", None, 1.0), ("c", "2A", None, 10.0), ("d", "2A", "2", 9.0), ("e", "1", "2", 0.5), ("e", "2B", None, 5.0), ("f", "1", "1", None),
+    ("g", "1", None, None), ("g", "NC", "NC", 50.0), ("h", None, "1", 3.0), ("i", "2A", "1", 0.5), ("i", "2A", "2", 4.9), ("j", "NC", "1", 5.0), ("k", "2A", "2", 10.0), ("l", "2A", "3", 40.0),
+]
+
+
 def test_additivity_steps(spark):
-    rows = [("a", "1", 3.0), ("b", "1", 1.0), ("c", "2A", 10.0), ("d", "2A", 9.0), ("e", "1", 0.5), ("e", "2B", 5.0), ("f", "1", None), ("g", "1", None), ("g", "NC", 50.0)]
-    df = spark.createDataFrame(rows, "f string, cat string, conc double")
-    got = {r["f"]: (r["category"], r["n_missing"]) for r in mixtures.additivity(df, "f", "cat", "conc").collect()}
-    assert got == {"a": ("1", 0), "b": ("2A", 0), "c": ("2A", 0), "d": ("NC", 0), "e": ("2A", 0), "f": (None, 1), "g": ("NC", 1)}
-    skin = mixtures.additivity(df.where("f = 'a'"), "f", "cat", "conc", endpoint="skin").first()
-    assert skin["category"] == "2"
+    df = spark.createDataFrame(RULED, "f string, cat string, skin string, conc double")
+    got = {r["f"]: (r["category"], r["n_missing"]) for r in mixtures.additivity(df, "f", "conc").collect()}
+    # h, i, j: what burns skin counts as eye 1, and once.
+    want = {"a": ("1", 0), "b": ("2A", 0), "c": ("2A", 0), "d": ("NC", 0), "e": ("2A", 0), "f": (None, 1), "g": ("NC", 1), "h": ("1", 0), "i": ("NC", 0), "j": ("1", 0), "k": ("2A", 0), "l": ("2A", 0)}
+    assert got == want
+    skin = {r["f"]: r["category"] for r in mixtures.additivity(df, "f", "conc", endpoint="skin").collect()}
+    assert skin == {"a": "NC", "b": "NC", "c": "NC", "d": "NC", "e": "NC", "f": None, "g": "NC", "h": "2", "i": "NC", "j": "1", "k": "2", "l": "NC"}
 
 
 def test_moments_of_one_ingredient_have_zero_spread(spark):
@@ -202,14 +209,115 @@ def test_ranks_of_values_with_an_outlier(spark):
 
 
 def test_rules_from_a_table_are_the_rules(spark):
-    rows = [("a", "1", 3.0), ("b", "1", 1.0), ("c", "2A", 10.0), ("d", "2A", 9.0), ("e", "1", 0.5), ("e", "2B", 5.0), ("f", "1", None), ("g", "1", None), ("g", "NC", 50.0)]
-    df = spark.createDataFrame(rows, "f string, cat string, conc double")
-    got = {(r["endpoint"], r["f"]): r["category"] for r in mixtures.additivity_by_table(df, "f", "cat", "conc", mixtures.ct_rules(spark)).collect()}
+    df = spark.createDataFrame(RULED, "f string, cat string, skin string, conc double")
+    got = {(r["endpoint"], r["f"]): r["category"] for r in mixtures.additivity_by_table(df, "f", "conc", mixtures.ct_rules(spark)).collect()}
     for endpoint in ("eye", "skin"):
-        for r in mixtures.additivity(df, "f", "cat", "conc", endpoint=endpoint).collect():
+        for r in mixtures.additivity(df, "f", "conc", endpoint=endpoint).collect():
             assert got[endpoint, r["f"]] == r["category"]
 
 
+def test_jurisdictions_that_map_alike():
+    """The equalities that the published text states: one pair maps both endpoints alike, three map skin alike,
+    three map eye alike."""
+    from tallowgrid.plans import fixtures as fx
+
+    of = lambda rows, jur: {c: y for j, c, y in rows if j == jur}
+    eye, skin = (lambda j: of(fx.PROJECTION, j)), (lambda j: of(fx.SKIN_PROJECTION, j))
+    assert eye("K_REACH") == eye("US_OSHA") == eye("UN_GHS") != eye("EU_CLP") and skin("K_REACH") == skin("US_OSHA") == skin("EU_CLP") != skin("UN_GHS")
+    assert skin("UN_GHS")["3"] == 1 and skin("K_REACH")["3"] == 0 and eye("EU_CLP")["2B"] == 0 and eye("EU_CLP")["2"] is None
+
+
+def test_arms_train_on_active_columns_only():
+    from tallowgrid.plans import fixtures as fx
+
+    active = {m[0] for m in fx.MANIFEST if m[4] == "ACTIVE"}
+    arms = {a: set(fx.columns_of(a)) for a in ("A0", "A2", "A3")}
+    assert all(c <= active and not any(x.startswith("f_ct_sens_") for x in c) for c in arms.values())
+    assert arms["A3"] - arms["A2"] == {"f_ct_coverage"} and not any(c.startswith("f_ct_") for c in arms["A0"]) and any(c.startswith("f_ct0_") for c in arms["A0"])
+
+
+def test_components_of_shapes(spark, monkeypatch):
+    import random
+
+    from tallowgrid.operators import groups, skew
+
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 50)
+    rng = random.Random(2)
+    shapes = [[(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 200)], [(rng.randrange(80), rng.randrange(80)) for _ in range(60)], [(5, 5), (9, 5), (None, 4)], []]
+    for edges in shapes:
+        parent = {}
+
+        def root(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if a is not None and b is not None:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+        got = {r["node"]: r["component"] for r in groups.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+        assert got == {x: root(x) for x in list(parent)}
+
+
+def test_a_hub_ingredient_and_folds_on_active_groups(spark, monkeypatch):
+    from tallowgrid.operators import groups, skew
+
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 500)
+    # 10,000 mixtures of one active ingredient, one of which ties a second; others stand alone or know nothing.
+    rows = [(f, 1, 50.0) for f in range(10_000)] + [(7, 2, 50.0), (20_000, 2, 9.0), (20_000, 3, 8.0), (20_001, 3, 1.0), (20_002, 3, None)]
+    df = spark.createDataFrame(rows, "f long, s long, conc double")
+    active = groups.active_ingredients(df, "f", "s", "conc")
+    found = groups.active_groups(df.select("f"), active, "f", "s")
+    got = {r["f"]: r["group"] for r in found.collect()}
+    assert len(got) == 10_003 and {got[f] for f in [*range(10_000), 20_000]} == {"i1"} and got[20_001] == "i3" and got[20_002] == "m20002"
+    labelled = found.withColumn("y", (F.col("f") % 2).cast("int"))
+    assert folds.spanning_groups(folds.stratified_group_folds(labelled, "group", "y", [0]), "group").count() == 0
+
+
+def test_duplicates_among_608_columns(spark):
+    import time
+
+    names = [f"c{i:03}" for i in range(608)]
+    rows = spark.range(200).select(F.col("id").alias("k"), *[((F.col("id") * (i % 300 + 1)) % 97 + (i % 300) * 1000.0).cast("double").alias(n) for i, n in enumerate(names)])
+    rows = rows.withColumn("c001", F.when(F.col("k") != 3, F.col("c001"))).withColumn("c301", F.when(F.col("k") != 3, F.col("c301"))).withColumn("c302", F.when(F.col("k") != 5, F.col("c302")))
+    began = time.time()
+    got = {(r["a"], r["b"]) for r in matrix.duplicate_columns(rows, "k").where("all_equal").collect()}
+    assert time.time() - began < 60
+    want = {(names[i], names[j]) for i in range(608) for j in range(i + 1, 608) if i % 300 == j % 300} - {("c001", "c601"), ("c301", "c601"), ("c002", "c302"), ("c302", "c602")}
+    assert got == want
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1.0, 1.0, 2.0), (2, None, None, 0.0)], "k int, a double, b double, c double")
+    monkeypatch.setattr(matrix, "column_fingerprints", lambda m, key: spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "feature string, fingerprint int"))
+    assert {(r["a"], r["b"]): r["all_equal"] for r in matrix.duplicate_columns(df, "k").collect()} == {("a", "b"): True, ("a", "c"): False, ("b", "c"): False}
+
+
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 1), st.sampled_from([0.1, 0.298, 0.3, 0.5, 0.9]), st.integers(0, 2)), min_size=2, max_size=40))
+def test_exact_thresholds(spark, rows):
+    def mcc(pairs):
+        tp, fp = sum(y and q for y, q in pairs), sum(q and not y for y, q in pairs)
+        tn, fn = sum(not q and not y for y, q in pairs), sum(y and not q for y, q in pairs)
+        low = math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
+        return (tp * tn - fp * fn) / low if low else None
+
+    def best(own):
+        found = [(-round(m + 1e-10, 9), t) for t in {s for _, s, _ in own} if (m := mcc([(y, s >= t) for y, s, _ in own])) is not None]
+        return min(found, default=(None, None))[1]
+
+    df = spark.createDataFrame([(0, *r) for r in rows], "seed int, y int, s double, fold int")
+    got = metrics.exact_threshold(df, "y", "s").first()
+    assert (got["tau"] if got else None) == best(rows)
+    for r in metrics.exact_fold_thresholds(df, "y", "s", "seed", "fold", folds=3).collect():
+        others, own = [x for x in rows if x[2] != r["fold"]], [x for x in rows if x[2] == r["fold"]]
+        assert r["tau"] == best(others)
+        if r["tau"] is not None:
+            want = mcc([(y, s >= r["tau"]) for y, s, _ in own])
+            assert (want is None) == (r["mcc_held_out"] is None) and (want is None or r["mcc_held_out"] == pytest.approx(want))
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("AAAAAAAAAAAAAA-BBBBBBBBBB-C", 1.5, "as_supplied", True, None), ("X", 7.0, "diluted", False, 2.0), (None, None, None, None, 0.0)], "k string, ph double, b string, known boolean, x double")
     got = df.select(
