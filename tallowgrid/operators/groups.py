@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallowgrid.operators.skew import join_unique
+from tallowgrid.operators import skew
 from tallowgrid.session import settle
 
 
@@ -27,12 +27,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     before, now = None, mark(pairs)
     while before != now:
-        both = settle(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "stars")
+        # A round is one plan while no node can have many edges; beyond that, what joins split is written first.
+        n = 2 * now[0]
+        held = settle if n > skew.HEAVY_ROWS else lambda df, tag: df
+        both = held(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "stars")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_unique(both.where("v > u"), least, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = settle(large, "stars")
+        large = skew.join_unique(both.where("v > u"), least, "u", "inner", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = held(large, "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_unique(large, least, "u", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = skew.join_unique(large, least, "u", "inner", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         pairs = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         before, now = now, mark(pairs)
     # Every node but the smallest of a component now has one edge, to it.
@@ -55,6 +58,6 @@ def active_groups(mixtures: DataFrame, active: DataFrame, by: str, ingredient: s
     first = settle(active.groupBy(by).agg(F.min(ingredient).alias("__first")), "first-actives")
     ties = active.join(first, by).where(F.col(ingredient) != F.col("__first")).select("__first", ingredient).distinct()
     found = components(ties, "__first", ingredient).select(F.col("node").alias("__first"), "component")
-    tied = join_unique(first, found, "__first").select(by, F.coalesce("component", "__first").alias("__group"))
+    tied = skew.join_unique(first, found, "__first").select(by, F.coalesce("component", "__first").alias("__group"))
     name = F.coalesce(F.concat(F.lit("i"), F.col("__group").cast("string")), F.concat(F.lit("m"), F.col(by).cast("string")))
     return mixtures.select(by).distinct().join(tied, by, "left").select(by, name.alias("group"))

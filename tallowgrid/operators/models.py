@@ -27,30 +27,32 @@ def encode_missing(matrix: DataFrame, features: list[str], protocol: str) -> tup
     return matrix.withColumns(low | high), [*low, *high]
 
 
-def out_of_fold(rows: DataFrame, key: str, y: str, features: list[str], protocol: str = "native", trees: int = 100, depth: int = 6, seed: int = 7, parallel: int = 4) -> DataFrame:
+def out_of_fold(rows: DataFrame, assigned: DataFrame, key: str, y: str, features: list[str], protocol: str = "native", trees: int = 100, depth: int = 6, seed: int = 7, parallel: int = 8) -> DataFrame:
     """seed, fold, key, p: each row's probability by the forest that its fold was left out of.
 
-    ``rows`` has seed and fold columns. The assembled matrix is written once, dealt and sorted by key, so
-    that every fit reads its rows in one order without a sort of its own. One fit for each (seed, fold),
-    ``parallel`` at a time; each writes its predictions and lets its forest go. The list of (seed, fold) is
-    small by design.
+    ``rows`` has key, y and the features; ``assigned`` has seed, fold and key, and is narrow. The assembled matrix
+    is written once, each row with its folds by seed, dealt and sorted by key, so that every fit reads its rows in
+    one order without a join or sort of its own. One fit for each (seed, fold), ``parallel`` at a time; each writes
+    its predictions and lets its forest go. The list of (seed, fold) is small by design.
     """
     encoded, names = encode_missing(rows.where(F.col(y).isNotNull()), features, protocol)
-    vectors = VectorAssembler(inputCols=names, outputCol="__features").transform(encoded).select("seed", "fold", key, F.col(y).cast("double").alias("y"), "__features")
+    vectors = VectorAssembler(inputCols=names, outputCol="__features").transform(encoded).select(key, F.col(y).cast("double").alias("y"), "__features")
+    own = assigned.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("seed", "fold"))).alias("__folds"))  # a row a seed
     spark = rows.sparkSession
     root = f"{shared_root(spark)}/forests-{uuid.uuid4().hex}"
-    vectors.repartition(F.col(key)).sortWithinPartitions("seed", key).write.partitionBy("seed").parquet(f"{root}/rows")
-    read = spark.read.schema(vectors.schema).parquet(f"{root}/rows")
-    parts = sorted((r["seed"], r["fold"]) for r in read.select("seed", "fold").distinct().collect())
-    empty = spark.createDataFrame([], read.select("seed", "fold", key, F.lit(0.0).alias("p")).schema)
+    ready = vectors.join(own, key)
+    ready.repartition(F.col(key)).sortWithinPartitions(key).write.parquet(f"{root}/rows")
+    read = spark.read.schema(ready.schema).parquet(f"{root}/rows")
+    parts = sorted((r["seed"], r["fold"]) for r in read.select(F.explode("__folds").alias("seed", "fold")).distinct().collect())
+    empty = spark.createDataFrame([], read.select(F.lit(0).alias("seed"), F.lit(0).alias("fold"), key, F.lit(0.0).alias("p")).schema)
 
     def fit(part):
         s, f = part
-        own = read.where(F.col("seed") == s)
+        at = F.element_at("__folds", F.lit(s))
         forest = RandomForestClassifier(featuresCol="__features", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
-        model = forest.fit(own.where(F.col("fold") != f))
+        model = forest.fit(read.where(at != f).select("y", "__features"))
         p = F.element_at(vector_to_array("probability"), -1)
-        model.transform(own.where(F.col("fold") == f)).select("seed", "fold", key, p.alias("p")).write.parquet(f"{root}/p/{s}-{f}")
+        model.transform(read.where(at == f)).select(F.lit(s).alias("seed"), F.lit(f).alias("fold"), key, p.alias("p")).write.parquet(f"{root}/p/{s}-{f}")
 
     with ThreadPool(parallel) as pool:
         pool.map(fit, parts, chunksize=1)

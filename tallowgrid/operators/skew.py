@@ -11,14 +11,15 @@ from tallowgrid.session import settle
 HEAVY_ROWS, HEAVY_KEYS = 10_000, 100_000
 
 
-def join_unique(rows: DataFrame, side: DataFrame, key: str, how: str = "left") -> DataFrame:
+def join_unique(rows: DataFrame, side: DataFrame, key: str, how: str = "left", n: int | None = None) -> DataFrame:
     """rows with the columns of ``side``, which has one row a key; nulls are a key; left or inner.
 
     A key with more than HEAVY_ROWS rows, or more than one in HEAVY_KEYS of all, is split off and broadcast:
     there can't be more than HEAVY_KEYS of those. No other key has more rows than that, so none is hot
-    in the shuffle of the rest. ``rows`` is read three times and is best a written table.
+    in the shuffle of the rest. ``rows`` is read three times and is best a written table, unless ``n``, a bound
+    of its rows that is known already, shows that no key can be heavy.
     """
-    n = rows.count()
+    n = rows.count() if n is None else n
     most = max(HEAVY_ROWS, -(-n // HEAVY_KEYS))
     named = side.withColumnRenamed(key, "__side")
 

@@ -30,6 +30,13 @@ MANIFEST = [
     ("conc_max", "composition", "L2", "formulation", "ACTIVE", False),
     ("size_mean", "descriptor", "L3", "substance", "ACTIVE", False),
     ("price_mean", "descriptor", "L3", "substance", "STAGED", False),
+    ("d_price", "structure", "L3", "substance", "ACTIVE", False),
+    ("d_name_length", "structure", "L3", "substance", "ACTIVE", False),
+    ("d_consonants", "structure", "L3", "substance", "ACTIVE", False),
+    ("d_alert_double", "structure", "L3", "substance", "ACTIVE", False),
+    ("n_mixtures", "context", "L3", "substance", "STAGED", False),
+    ("role_promo", "context", "L3", "substance", "STAGED", False),
+    ("has_label", "label_document", "L1", "substance", "STAGED_QUARANTINE", True),
     ("f_ct0_eye_s1", "additivity_original", "L2", "formulation", "ACTIVE", False),
     ("f_ct0_eye_s2", "additivity_original", "L2", "formulation", "ACTIVE", False),
     ("f_ct0_skin_s1", "additivity_original", "L2", "formulation", "ACTIVE", False),
@@ -110,6 +117,10 @@ def endpoint_labels(spark: SparkSession, sf: str) -> DataFrame:
 ARM_FAMILIES = {"A0": ["additivity_original"], "A2": ["additivity"], "A3": ["additivity", "additivity_coverage"]}
 
 
+#: Columns that models of substances may use: of the structure alone.
+STRUCTURE_ONLY = [n for n, family, _, layer, state, label in MANIFEST if layer == "substance" and family == "structure" and state == "ACTIVE" and not label]
+
+
 def columns_of(arm: str) -> list[str]:
     """An arm's columns: ACTIVE ones of formulations that don't come from labels, with the arm's sums."""
     sums = {f for own in ARM_FAMILIES.values() for f in own}
@@ -152,6 +163,22 @@ def matrix(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_STRUCTURE = {
+    "d_price": "p_retailprice",
+    "d_name_length": "CAST(length(p_name) AS DOUBLE)",
+    "d_consonants": "CAST(length(translate(lower(concat(p_name, p_brand)), 'aeiou', '')) AS DOUBLE)",
+    "d_alert_double": "CASE WHEN p_name LIKE '%ee%' OR p_name LIKE '%ll%' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END",
+}
+
+
+def substance_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """s, scaffold and all columns of substances in MANIFEST but quarantined ones: descriptors of the structure,
+    and what is known of the mixtures a substance is in, which no model of substances may use."""
+    part = table(spark, sf, "part").selectExpr("p_partkey AS s", "p_brand AS scaffold", *[f"{e} AS {n}" for n, e in _STRUCTURE.items()], "CASE WHEN p_type = 'PROMO' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS role_promo")
+    used = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("s")).agg(F.count_distinct("l_orderkey").cast("double").alias("n_mixtures"))
+    return part.join(used, "s", "left")
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, y, score, tier: a binary label, a score, and the kind of source of the label."""
     docs = table(spark, sf, "documents").selectExpr("doc_id", "CAST(n_chars AS DOUBLE) AS score", "source AS tier")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallowgrid.functions import scalars
 from tallowgrid.functions.scalars import comparable as c6
-from tallowgrid.operators import checks, folds, groups, labels, matrix, metrics, mixtures, models, ranks
+from tallowgrid.operators import bootstrap, checks, folds, groups, labels, matrix, metrics, mixtures, models, ranks, trees
 from tallowgrid.plans import fixtures as fx
 from tallowgrid.session import settle, shared_root, table
 from tallowgrid.sources import files, lookups, reports, xlsx
@@ -191,14 +191,14 @@ def as_supplied_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT feature, CASE WHEN from_label THEN 'label-derived' ELSE 'not structure-derived' END AS violation FROM manifest WHERE state = 'ACTIVE' AND (from_label OR (layer = 'substance' AND family <> 'descriptor'))"
+    "SELECT feature, CASE WHEN from_label THEN 'label-derived' ELSE 'not structure-derived' END AS violation FROM manifest WHERE state = 'ACTIVE' AND (from_label OR (layer = 'substance' AND family NOT IN ('descriptor', 'structure')))"
 )
 def quarantine_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _quarantine(fx.manifest(spark))
 
 
 def _quarantine(manifest: DataFrame) -> DataFrame:
-    violation = F.when(F.col("from_label"), "label-derived").when((F.col("layer") == "substance") & (F.col("family") != "descriptor"), "not structure-derived")
+    violation = F.when(F.col("from_label"), "label-derived").when((F.col("layer") == "substance") & ~F.col("family").isin("descriptor", "structure"), "not structure-derived")
     return manifest.where("state = 'ACTIVE'").select("feature", violation.alias("violation")).where("violation IS NOT NULL")
 
 
@@ -206,7 +206,7 @@ _PLANTED = "(SELECT * FROM manifest UNION ALL SELECT 'planted_label', 'label_doc
 
 
 @query(
-    f"SELECT feature, CASE WHEN from_label THEN 'label-derived' ELSE 'not structure-derived' END AS violation FROM {_PLANTED} WHERE state = 'ACTIVE' AND (from_label OR (layer = 'substance' AND family <> 'descriptor'))"
+    f"SELECT feature, CASE WHEN from_label THEN 'label-derived' ELSE 'not structure-derived' END AS violation FROM {_PLANTED} WHERE state = 'ACTIVE' AND (from_label OR (layer = 'substance' AND family NOT IN ('descriptor', 'structure')))"
 )
 def quarantine_planted(spark: SparkSession, sf: str) -> DataFrame:
     """The quarantine check on a manifest with two faults."""
@@ -764,24 +764,31 @@ def active_group_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return _active_groups(spark, sf).groupBy("group").agg(F.count("*").alias("group_size")).groupBy("group_size").agg(F.count("*").alias("n_groups"))
 
 
-def _basis_rows(spark: SparkSession, sf: str) -> DataFrame:
-    basis = fx.projection(spark).where(F.col("jur") == BASIS).select("category", "y")
-    return fx.formulations(spark, sf).join(F.broadcast(basis), "category").where("y IS NOT NULL")
+def _labels(spark: SparkSession, sf: str, layer: str, endpoint: str, jur: str = BASIS) -> DataFrame:
+    """id, y of a layer's labelled units for an endpoint in a jurisdiction."""
+    own = fx.endpoint_projection(spark).where((F.col("jur") == jur) & (F.col("endpoint") == endpoint)).select("category", "y")
+    rows = fx.endpoint_labels(spark, sf).where((F.col("layer") == layer) & (F.col("endpoint") == endpoint))
+    return rows.join(F.broadcast(own), "category").where("y IS NOT NULL").select("id", "y")
+
+
+def _basis_rows(spark: SparkSession, sf: str, endpoint: str = "eye") -> DataFrame:
+    """f, group, y of labelled formulations; the group is that of a shared active ingredient."""
+    return _labels(spark, sf, "formulation", endpoint).withColumnRenamed("id", "f").join(_active_groups(spark, sf), "f")
 
 
 @query()
 def group_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.stratified_group_folds(_basis_rows(spark, sf), "grp", "y", SEEDS)
+    return folds.stratified_group_folds(_basis_rows(spark, sf), "group", "y", SEEDS)
 
 
 @query(
-    "SELECT seed, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, 5::BIGINT AS n_folds, TRUE AS balanced FROM formulations JOIN projection USING (category), (VALUES (0), (1), (2), (3), (4)) s(seed) WHERE jur = 'K_REACH' AND y IS NOT NULL GROUP BY seed"
+    _ACTIVE_SQL + "SELECT seed, count(*) AS n_rows, count(DISTINCT \"group\") AS n_groups, 5::BIGINT AS n_folds, TRUE AS balanced FROM formulations JOIN grouped USING (f) JOIN projection USING (category), (VALUES (0), (1), (2), (3), (4)) s(seed) WHERE jur = 'K_REACH' AND y IS NOT NULL GROUP BY seed"
 )
 def fold_balance(spark: SparkSession, sf: str) -> DataFrame:
     """For each seed what the folds hold together; balanced: no fold's share of positive rows or of groups
     is further from the mean than 2 % of all rows or groups."""
-    rows = _basis_rows(spark, sf).select(F.col("grp").cast("string").alias("group"), "y")
-    held = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).join(group_folds(spark, sf), "group")
+    rows = settle(_basis_rows(spark, sf), "basis")
+    held = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).join(folds.stratified_group_folds(rows, "group", "y", SEEDS), "group")
     of = held.groupBy("seed", "fold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.count("*").alias("groups"))
     even = lambda x: (F.max(x) - F.min(x)) <= 0.04 * F.sum(x)
     return of.groupBy("seed").agg(F.sum("n").alias("n_rows"), F.sum("groups").alias("n_groups"), F.count("*").alias("n_folds"), (even("pos") & even("n") & even("groups")).alias("balanced"))
@@ -790,8 +797,8 @@ def fold_balance(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT seed, \"group\" FROM (VALUES (0, '')) v(seed, \"group\") WHERE FALSE", prelude=False)
 def fold_invariants(spark: SparkSession, sf: str) -> DataFrame:
     """Groups whose rows lie in more than one of the folds in use; none may."""
-    rows = _basis_rows(spark, sf).select("f", F.col("grp").cast("string").alias("group"))
-    return folds.spanning_groups(rows.join(group_folds(spark, sf), "group"), "group").select("seed", "group")
+    rows = settle(_basis_rows(spark, sf), "basis")
+    return folds.spanning_groups(rows.join(folds.stratified_group_folds(rows, "group", "y", SEEDS), "group"), "group").select("seed", "group")
 
 
 _TORN = "SELECT seed, grp, ((('0x' || substring(md5(grp || ':' || seed), 1, 8))::BIGINT % 5) + CASE WHEN grp % 7 = 0 THEN f % 2 ELSE 0 END) % 5 AS fold FROM formulations, (VALUES (0), (1), (2), (3), (4)) s(seed)"
@@ -805,40 +812,179 @@ def fold_invariants_planted(spark: SparkSession, sf: str) -> DataFrame:
     return folds.spanning_groups(torn, "grp").select("seed", F.col("grp").alias("group"))
 
 
-def _ready(spark: SparkSession, sf: str, seeds: list[int]) -> DataFrame:
-    """Labelled rows with their folds and all columns of the matrix, written once."""
-    rows = _basis_rows(spark, sf).select("f", F.col("grp").cast("string").alias("group"), "y")
-    assigned = folds.stratified_group_folds(rows, "group", "y", seeds)
-    return settle(rows.join(assigned, "group").join(fx.matrix(spark, sf), "f"), "ready")
+def _assigned(rows: DataFrame, key: str, seeds: list[int]) -> DataFrame:
+    """seed, fold, key: folds that keep groups together."""
+    found = folds.stratified_group_folds(rows, "group", "y", seeds)
+    return settle(rows.select(key, "group").join(found, "group").select("seed", "fold", key), "assigned")
+
+
+def _protocol(rows: DataFrame, protocol: str, used: list[str]) -> DataFrame:
+    return rows.select("f", "y", *[matrix.cell(c, "known", protocol, fx.ZERO_IS_MISSING).alias(c) for c in used])
 
 
 @query()
 def train_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold predictions of 25 forests of 100 trees; an audit that finds anything stops it."""
     checks.require_empty(audit_symdiff(spark, sf), "columns audited and declared differ")
-    ready = _ready(spark, sf, SEEDS)
+    rows = settle(_basis_rows(spark, sf), "basis")
     used = fx.columns_of("A2")
-    built = _protocol(ready, "native_restored", used)
-    return models.out_of_fold(built, "f", "y", used).select("seed", "fold", F.col("f").alias("key"), "p")
+    built = _protocol(rows.join(fx.matrix(spark, sf), "f"), "native_restored", used)
+    return models.out_of_fold(built, _assigned(rows, "f", SEEDS), "f", "y", used).select("seed", "fold", F.col("f").alias("key"), "p")
 
 
-def _protocol(ready: DataFrame, protocol: str, used: list[str]) -> DataFrame:
-    return ready.select("seed", "fold", "group", "f", "y", *[matrix.cell(c, "known", protocol, fx.ZERO_IS_MISSING).alias(c) for c in used])
+def _scores(rows: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+    """AUC, and MCC and F1 at 0.5, of written predictions."""
+    counts = metrics.mcc(rows.withColumn("pred", scalars.classify(F.col(p))), y, "pred", by)
+    counts = counts.select(*by, "mcc", metrics.f1_of(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
+    return metrics.roc_auc(rows, y, p, by).join(counts, by)
 
 
 @query()
 def model_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """AUC, and MCC and F1 at 0.5, of forests of 20 trees out of fold, for one seed: each missing-value
-    protocol with the columns of A2, and each arm's columns under the headline protocol."""
-    ready = _ready(spark, sf, SEEDS[:1])
-    runs = [(p, "A2") for p in matrix.PROTOCOLS] + [("native_restored", a) for a in ("A0", "A3")]
+    """Metric rows of every jurisdiction, missing-value protocol and arm for formulations and eyes, flagged headline
+    (1 for the basis) or supplementary: forests of 20 trees out of fold, for one seed.
+
+    Jurisdictions that map alike share their forests; folds are those of the basis for all.
+    """
+    basis = settle(_basis_rows(spark, sf), "basis")
+    assigned = _assigned(basis, "f", SEEDS[:1])
+    ready = settle(fx.matrix(spark, sf), "matrix")
+    like: dict = {}
+    for jur in JURISDICTIONS:
+        like.setdefault(tuple((c, y) for j, c, y in fx.PROJECTION if j == jur), []).append(jur)
+    parts = []
+    for jurs in like.values():
+        rows = settle(_labels(spark, sf, "formulation", "eye", jurs[0]).withColumnRenamed("id", "f").join(ready, "f"), "labelled")
+        for protocol in matrix.PROTOCOLS:
+            for arm in ARMS:
+                used = fx.columns_of(arm)
+                found = models.out_of_fold(_protocol(rows, protocol, used), assigned, "f", "y", used, protocol="nan0" if protocol == "nan0" else "native", trees=20)
+                parts.append(found.join(rows.select("f", "y"), "f").select(F.lit("+".join(jurs)).alias("jurs"), F.lit(protocol).alias("protocol"), F.lit(arm).alias("arm"), "y", "p"))
+    found = _scores(settle(labels.union_sources(parts), "scores"), "y", "p", ["jurs", "protocol", "arm"])
+    out = found.select(F.explode(F.split("jurs", "[+]")).alias("jur"), "protocol", "arm", "n", "n_pos", "auc", "mcc", "f1")
+    basis_row = (F.col("jur") == BASIS) & (F.col("protocol") == "native_restored") & (F.col("arm") == "A2")
+    return rounded(out.withColumn("headline", basis_row.cast("int")))
+
+
+@query()
+def headline_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The four models on the basis: substances and formulations, eyes and skin; five seeds of five folds, 100 trees.
+
+    Formulations: the columns of A2 under native_restored, grouped by active ingredient. Substances: structure-derived
+    columns only, native, grouped by scaffold. Of each metric the mean over seeds, and the seeds' least and most.
+    """
+    ready, known = settle(fx.matrix(spark, sf), "matrix"), settle(_active_groups(spark, sf), "groups")
+    single = settle(fx.substance_matrix(spark, sf), "substances")
     parts = []
-    for protocol, arm in runs:
+    for layer in ("substance", "formulation"):
+        for endpoint in ("eye", "skin"):
+            own = _labels(spark, sf, layer, endpoint)
+            if layer == "formulation":
+                rows = settle(own.withColumnRenamed("id", "f").join(known, "f"), "basis")
+                used = fx.columns_of("A2")
+                built = _protocol(rows.join(ready, "f"), "native_restored", used)
+            else:
+                rows = settle(own.withColumnRenamed("id", "f").join(single.withColumnRenamed("s", "f"), "f").withColumn("group", F.col("scaffold")), "basis")
+                used = fx.STRUCTURE_ONLY
+                built = rows.select("f", "y", *used)
+            found = models.out_of_fold(built, _assigned(rows, "f", SEEDS), "f", "y", used)
+            parts.append(found.join(rows.select("f", "y"), "f").select(F.lit(layer).alias("layer"), F.lit(endpoint).alias("endpoint"), "seed", "f", "y", "p"))
+    return rounded(band(settle(labels.union_sources(parts), "predictions")))
+
+
+def band(predictions: DataFrame) -> DataFrame:
+    """layer, endpoint: n, prevalence and, of AUC and MCC, mean, least and most over seeds of fits."""
+    found = _scores(predictions, "y", "p", ["layer", "endpoint", "seed"])
+    spread = [f(m).alias(f"{m}_{n}") for m in ("auc", "mcc") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return found.groupBy("layer", "endpoint").agg(F.count("*").alias("seeds"), F.max("n").alias("n"), F.max(F.col("n_pos") / F.col("n")).alias("prevalence"), *spread)
+
+
+def _arm_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """arm, fold, group, f, y, p, tau, pred of trained arms: forests of 20 trees out of fold, for one seed, classed by
+    the threshold that is best on the other folds' predictions."""
+    basis = settle(_basis_rows(spark, sf), "basis")
+    assigned, ready = _assigned(basis, "f", SEEDS[:1]), settle(basis.join(fx.matrix(spark, sf), "f"), "matrix")
+    parts = []
+    for arm in ARMS:
         used = fx.columns_of(arm)
-        found = models.out_of_fold(_protocol(ready, protocol, used), "f", "y", used, protocol="nan0" if protocol == "nan0" else "native", trees=20)
-        parts.append(found.select(F.lit(protocol).alias("protocol"), F.lit(arm).alias("arm"), "f", "p"))
-    rows = settle(labels.union_sources(parts).join(ready.select("f", "y").distinct(), "f"), "scores")
-    by = ["protocol", "arm"]
-    counts = metrics.mcc(rows.withColumn("pred", scalars.classify(F.col("p"))), "y", "pred", by)
-    counts = counts.select(*by, "mcc", metrics.f1_of(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
-    return rounded(metrics.roc_auc(rows, "y", "p", by).join(counts, by))
+        found = models.out_of_fold(_protocol(ready, "native_restored", used), assigned, "f", "y", used, trees=20)
+        parts.append(found.join(basis, "f").select(F.lit(arm).alias("arm"), "fold", "group", "f", "y", "p"))
+    rows = settle(labels.union_sources(parts), "arms")
+    taus = metrics.exact_fold_thresholds(rows, "y", "p", "arm", "fold").select("arm", "fold", "tau")
+    return rows.join(F.broadcast(taus), ["arm", "fold"]).withColumn("pred", (F.col("p") >= F.col("tau")).cast("int"))  # a row a fold
+
+
+@query()
+def arm_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Trained arms against A0: the difference in MCC, its interval from 200 bootstrap replicates of active groups,
+    paired between arms, and whether no difference lies inside it."""
+    rows = settle(_arm_predictions(spark, sf), "arm-predictions")
+    counts = bootstrap.replicated_counts(rows, "group", "y", "pred", ["arm"], 200)
+    return rounded(bootstrap.verdicts(bootstrap.paired_deltas(counts, [], "arm", "A0"), [], "arm"))
+
+
+@query()
+def model_tier_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the trained arms' scores: AUC over all rows and without those whose label comes from the tier that features
+    come from too, the share of the excess over chance that this takes, and the gate on the corrected one."""
+    tiers = fx.formulations(spark, sf).select("f", "tier")
+    rows = settle(_arm_predictions(spark, sf).join(tiers, "f").select("arm", "y", "p", "tier"), "tiered")
+    parts = [metrics.corrected_auc(rows.where(F.col("arm") == a), "y", "p", F.col("tier") == "F").withColumn("arm", F.lit(a)) for a in ARMS]
+    found = labels.union_sources(parts)
+    share = metrics.leak_share(F.col("pooled"), F.col("corrected"))
+    return rounded(found.select("arm", "pooled", "corrected", share.alias("leak_share"), (F.col("corrected") >= 0.7).alias("met")))
+
+
+_BOOT = 100
+_WEIGHT = "CASE WHEN b = 0 THEN 1 ELSE len(list_filter([{}], lambda c: ('0x' || substring(md5(tier || '-' || doc_id // 3 || ':' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= c)) END".format(", ".join(f"{c}::DOUBLE" for c in bootstrap.poisson_cuts()))
+_WEIGHTED = ", ".join(f"sum(CASE WHEN y = {a} AND pred = {p} THEN w ELSE 0 END) AS {n}" for n, a, p in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0)))
+
+
+@query(
+    f", rows AS (SELECT y, arm, (score >= cut)::INTEGER AS pred, b, {_WEIGHT} AS w FROM scored, (VALUES {fx._values(list(_CUTS.items()))}) a(arm, cut), range({_BOOT + 1}) r(b)), "
+    f"m AS (SELECT arm, b, {_mcc_sql()} AS v FROM (SELECT arm, b, {_WEIGHTED} FROM rows GROUP BY arm, b)), "
+    "d AS (SELECT o.arm, o.b, o.v - z.v AS delta FROM m o JOIN m z ON o.b = z.b AND z.arm = 'A0' WHERE o.arm <> 'A0'), "
+    "q AS (SELECT arm, max(delta) FILTER (WHERE b = 0) AS delta, quantile_cont(delta, 0.025) FILTER (WHERE b > 0) AS low, quantile_cont(delta, 0.975) FILTER (WHERE b > 0) AS high, count(delta) FILTER (WHERE b > 0) AS replicates FROM d GROUP BY arm) "
+    f"SELECT arm, {_r('delta', 'low', 'high')}, replicates, low <= 0 AND high >= 0 AS inside FROM q"
+)
+def bootstrap_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same verdicts over a given score, whose arms are cut-offs: groups of documents drawn anew 100 times."""
+    rows = fx.scored(spark, sf).select("y", "score", F.concat("tier", F.lit("-"), F.floor(F.col("doc_id") / 3).cast("string")).alias("group"))
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), (F.col("score") >= c).cast("int").alias("pred")) for a, c in _CUTS.items()])
+    rows = rows.select("y", "group", F.explode(arms).alias("r")).select("y", "group", "r.*")
+    counts = bootstrap.replicated_counts(rows, "group", "y", "pred", ["arm"], _BOOT)
+    return rounded(bootstrap.verdicts(bootstrap.paired_deltas(counts, [], "arm", "A0"), [], "arm"))
+
+
+_TREE_FEATURES = ["conc_total", "conc_mean", "f_ct_eye_s1", "f_ct_eye_s2", "n_ing"]
+_BINS = 16
+
+
+def _bins_sql() -> str:
+    cell = "SELECT f, y, '{c}' AS feature, CASE WHEN {c} IS NULL THEN NULL WHEN hi > lo THEN least(greatest(floor(({c} - lo) / (hi - lo) * " + str(_BINS) + "), 0), " + str(_BINS - 1) + ") ELSE 0 END::INTEGER AS bin FROM labelled, (SELECT min({c}) AS lo, max({c}) AS hi FROM labelled)"
+    return " UNION ALL ".join(cell.format(c=c) for c in _TREE_FEATURES)
+
+
+@query(
+    f", labelled AS (SELECT m.*, y FROM matrix m JOIN formulations USING (f) JOIN projection USING (category) WHERE jur = 'K_REACH' AND y IS NOT NULL), cells AS ({_bins_sql()}), "
+    "sums AS (SELECT feature, bin, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM cells GROUP BY feature, bin), "
+    "tot AS (SELECT feature, sum(n) AS N1, sum(pos) AS P1, coalesce(sum(n) FILTER (WHERE bin IS NULL), 0) AS mn, coalesce(sum(pos) FILTER (WHERE bin IS NULL), 0) AS mp FROM sums GROUP BY feature), "
+    "cum AS (SELECT feature, bin, sum(n) OVER w AS ln, sum(pos) OVER w AS lp FROM sums WHERE bin IS NOT NULL WINDOW w AS (PARTITION BY feature ORDER BY bin)), "
+    "cand AS (SELECT feature, bin, missing, N1, P1, ln + CASE missing WHEN 'left' THEN mn ELSE 0 END AS ln, lp + CASE missing WHEN 'left' THEN mp ELSE 0 END AS lp FROM cum JOIN tot USING (feature), (VALUES ('left'), ('right')) s(missing)), "
+    "gains AS (SELECT feature, bin, missing, N1::BIGINT AS n, 2 * P1 / N1 * (1 - P1 / N1) - ln / N1 * 2 * lp / ln * (1 - lp / ln) - (N1 - ln) / N1 * 2 * (P1 - lp) / (N1 - ln) * (1 - (P1 - lp) / (N1 - ln)) AS gain FROM cand WHERE ln > 0 AND ln < N1) "
+    "SELECT feature, bin, missing, n, round(gain + 1e-10, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(gain + 1e-12, 9) DESC, bin, missing) AS k FROM gains) WHERE k = 1"
+)
+def best_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The best split of each feature at the root, missing values sent to the better side."""
+    rows = _labels(spark, sf, "formulation", "eye").withColumnRenamed("id", "f").join(fx.matrix(spark, sf).select("f", *_TREE_FEATURES), "f")
+    rows = settle(rows, "tree-rows")
+    cells = trees.binned(rows, ["f", "y"], _TREE_FEATURES, _BINS)
+    found = trees.best_splits(trees.split_gains(cells, "y", _TREE_FEATURES, F.lit(0)), ["feature"])
+    return rounded(found.select("feature", "bin", "missing", "n", "gain"))
+
+
+@query(f"SELECT s, {', '.join(f'{e} AS {n}' for n, e in fx._STRUCTURE.items())} FROM substances JOIN part ON p_partkey = s")
+def structure_only(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns a model of substances may use, chosen by the manifest from all that there are."""
+    allowed = fx.manifest(spark).where("layer = 'substance' AND state = 'ACTIVE' AND family = 'structure' AND NOT from_label").select("feature")
+    return matrix.select_features(fx.substance_matrix(spark, sf), "s", [r["feature"] for r in allowed.collect()])

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallowgrid.functions import scalars
-from tallowgrid.operators import checks, folds, labels, matrix, metrics, mixtures, models, ranks
+from tallowgrid.operators import bootstrap, checks, folds, labels, matrix, metrics, mixtures, models, ranks, trees
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 SCORES = st.lists(st.tuples(st.integers(0, 1), st.sampled_from([-2.5, 0.0, 0.25, 1.0, 7.0, 1e6])), min_size=2, max_size=40)
@@ -145,8 +145,9 @@ def test_missing_may_go_to_either_side_of_a_split(spark):
     # Missing lies with the high class, or with the low one: both can be learned.
     for far in (0, 1):
         rows = [(i, i % 2, 0, 1 - (i % 2) if far else i % 2, None if i % 4 == (1 if far else 0) else float(i % 2)) for i in range(80)]
-        df = spark.createDataFrame([(k, f, s, y, x) for k, f, s, y, x in rows], "k int, fold int, seed int, y int, v double")
-        got = models.out_of_fold(df.withColumn("fold", (F.col("k") / 40).cast("int")), "k", "y", ["v"], trees=5)
+        df = spark.createDataFrame([(k, y, x) for k, _, _, y, x in rows], "k int, y int, v double")
+        assigned = df.select(F.lit(0).alias("seed"), (F.col("k") / 40).cast("int").alias("fold"), "k")
+        got = models.out_of_fold(df, assigned, "k", "y", ["v"], trees=5)
         right = got.join(df.select("k", "y"), "k").where((F.col("p") >= 0.5).cast("int") == F.col("y")).count()
         assert right == 80
 
@@ -161,19 +162,124 @@ def test_forests_are_fitted_over_all_seeds_and_stratified_folds(spark, small_dir
 
     def seen(*args, **options):
         given.update(whole.bind(*args, **options).arguments)
-        return given["rows"].selectExpr("seed", "fold", "f", "0.5D AS p")
+        return given["assigned"].selectExpr("seed", "fold", "f", "0.5D AS p")
 
     monkeypatch.setattr(models, "out_of_fold", seen)
     queries.train_predict(spark, small_dir)
     assert given.get("trees", whole.parameters["trees"].default) == 100
-    rows = given["rows"].select("seed", "fold", "group", "f").collect()
+    basis = queries._basis_rows(spark, small_dir)
+    rows = given["assigned"].join(basis.select("f", "group"), "f").select("seed", "fold", "group", "f").collect()
     assert {(r["seed"], r["fold"]) for r in rows} == {(s, f) for s in range(5) for f in range(5)}
-    labelled = queries._basis_rows(spark, small_dir).join(queries.fx.matrix(spark, small_dir), "f", "left_semi")
-    assert len(rows) == len({(r["seed"], r["f"]) for r in rows}) == 5 * labelled.count()
+    assert len(rows) == len({(r["seed"], r["f"]) for r in rows}) == 5 * basis.count()
+    assert given["rows"].count() == basis.join(queries.fx.matrix(spark, small_dir), "f", "left_semi").count()
     want = {(r["seed"], r["group"]): r["fold"] for r in queries.group_folds(spark, small_dir).collect()}
     assert all(want[r["seed"], r["group"]] == r["fold"] for r in rows)
 
 
+def test_four_models_and_their_band(spark, small_dir, monkeypatch):
+    """The four models, their columns and folds; and their metric rows against SQL over the predictions."""
+    import duckdb
+
+    from tallowgrid.plans import queries
+
+    given, written = [], []
+
+    def seen(rows, assigned, key, y, features, trees=100, **_):
+        given.append((features, trees, assigned.select("seed", "fold").distinct().count()))
+        noise = F.abs(F.hash(F.col(key), F.col("seed"))) % 100 / 100.0
+        return assigned.join(rows.select(key), key).select("seed", "fold", key, (0.3 * noise + 0.35).alias("p"))
+
+    real = queries.band
+    monkeypatch.setattr(models, "out_of_fold", seen)
+    monkeypatch.setattr(queries, "band", lambda p: written.append(p.toArrow()) or real(p))
+    got = {(r["layer"], r["endpoint"]): r.asDict() for r in queries.headline_models(spark, small_dir).collect()}
+    assert set(got) == {(a, b) for a in ("substance", "formulation") for b in ("eye", "skin")} and all(t == 100 and n == 25 for _, t, n in given)
+    assert given[0][0] == given[1][0] == queries.fx.STRUCTURE_ONLY and not set(given[0][0]) & {"n_mixtures", "role_promo", "has_label"}
+    con = duckdb.connect()
+    con.register("predictions", written[0])
+    rows = queries._auc_sql("SELECT layer, endpoint, seed, y, p AS score FROM predictions", "layer, endpoint, seed")
+    for layer, endpoint, n, mean, low, high in con.sql(f"SELECT layer, endpoint, max(n), avg(auc), min(auc), max(auc) FROM ({rows}) GROUP BY layer, endpoint").fetchall():
+        r = got[layer, endpoint]
+        assert (r["n"], r["seeds"]) == (n, 5) and (r["auc_mean"], r["auc_min"], r["auc_max"]) == pytest.approx((mean, low, high), abs=1e-6)
+
+
+def gini_tree(rows, depth, bins):
+    """By hand: rows of (values, y); a nested tree of (feature, bin, missing, left, right) or a share."""
+    ranges = [(min(v), max(v)) if (v := [r[0][k] for r in rows if r[0][k] is not None]) else None for k in range(len(rows[0][0]))]
+
+    def cell(x, k):
+        if x is None:
+            return None
+        low, high = ranges[k]
+        return min(int(math.floor((x - low) / (high - low) * bins)), bins - 1) if high > low else 0
+
+    cells = [([cell(x, k) for k, x in enumerate(v)], y) for v, y in rows]
+
+    def impurity(own):
+        p = sum(y for _, y in own) / len(own)
+        return 2 * p * (1 - p)
+
+    def grow(own, left):
+        best = None
+        for k in range(len(ranges)) if left else []:
+            for b in range(bins):
+                for missing in ("left", "right"):
+                    if not any(c[k] == b for c, _ in own):
+                        continue
+                    goes = [missing == "left" if c[k] is None else c[k] <= b for c, _ in own]
+                    one, two = [r for r, g in zip(own, goes, strict=True) if g], [r for r, g in zip(own, goes, strict=True) if not g]
+                    if one and two:
+                        gain = impurity(own) - len(one) / len(own) * impurity(one) - len(two) / len(own) * impurity(two)
+                        best = min(best or (9,), (-round(gain + 1e-12, 9), f"x{k}", b, missing, one, two), key=lambda x: x[:4])
+        if not best or best[0] > -1e-9:
+            return sum(y for _, y in own) / len(own)
+        return (*best[1:4], grow(best[4], left - 1), grow(best[5], left - 1))
+
+    return grow(cells, depth)
+
+
+def test_trees_with_missing_values_are_those_by_hand(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        v = [rng.choice([None, rng.random(), rng.random()]), rng.choice([None, float(rng.randrange(4))]), rng.random(), None]
+        y = int((v[0] is None) ^ ((v[1] or 3.0) > 1.5) if rng.random() < 0.9 else rng.random() < 0.5)
+        rows.append((i, v, y))
+    names = [f"x{k}" for k in range(4)]
+    df = spark.createDataFrame([(i, y, *v) for i, v, y in rows], "k int, y int, " + ", ".join(f"{n} double" for n in names))
+    tree = trees.fit_tree(df, "k", "y", names, depth=3, bins=8)
+
+    def nested(node=0):
+        if node in tree["splits"]:
+            return (*tree["splits"][node], nested(2 * node + 1), nested(2 * node + 2))
+        return pytest.approx(tree["leaves"][node])
+
+    assert gini_tree([(v, y) for _, v, y in rows], 3, 8) == nested() and len(tree["leaves"]) > 4
+    assert any(m == "right" for _, _, m in tree["splits"].values()) or any(m == "left" for _, _, m in tree["splits"].values())
+    p = {r["k"]: r["p"] for r in trees.predict_tree(df, "k", tree).collect()}
+    assert sum((p[i] >= 0.5) == bool(y) for i, _, y in rows) > 190
+    assert trees.fit_tree(df.limit(0), "k", "y", names)["splits"] == {}
+
+
+def test_bootstrap_pairs_arms_and_keeps_groups(spark):
+    rows = [(g, arm, (g + i) % 2, ((g + i) % 2 if arm == "A" or (g * 7 + i) % 3 else 1 - (g + i) % 2)) for g in range(30) for i in range(4) for arm in "AB"]
+    df = spark.createDataFrame(rows, "g int, arm string, y int, pred int")
+    counts = bootstrap.replicated_counts(df, "g", "y", "pred", ["arm"], 40)
+    by = {(r["arm"], r["b"]): r for r in counts.collect()}
+    # Both arms drew the same rows in every replicate.
+    assert all(sum(by["A", b][c] for c in metrics.COUNTS) == sum(by["B", b][c] for c in metrics.COUNTS) for b in range(41))
+    assert sum(by["A", 0][c] for c in metrics.COUNTS) == 120 and len({sum(by["A", b][c] for c in metrics.COUNTS) for b in range(41)}) > 10
+    got = bootstrap.verdicts(bootstrap.paired_deltas(counts, [], "arm", "A"), [], "arm").first()
+    assert got["delta"] < 0 and got["low"] < got["delta"] < got["high"] < 0 and not got["inside"] and got["replicates"] == 40
+    same = bootstrap.verdicts(bootstrap.paired_deltas(counts.withColumn("arm", F.lit("A")).where("b < 0").unionByName(counts.where("arm = 'A'")).unionByName(counts.where("arm = 'A'").withColumn("arm", F.lit("C"))), [], "arm", "A"), [], "arm").first()
+    assert same["delta"] == 0 and same["inside"]
+    draws = spark.range(20_000).select(bootstrap.poisson_weight(F.col("id").cast("string")).alias("w")).groupBy("w").count().collect()
+    share = {r["w"]: r["count"] / 20_000 for r in draws}
+    assert share[0] == pytest.approx(math.exp(-1), abs=0.02) and share[1] == pytest.approx(math.exp(-1), abs=0.02) and share[2] == pytest.approx(math.exp(-1) / 2, abs=0.02)
+
+
 def test_an_audit_that_finds_something_stops_the_job(spark, small_dir, monkeypatch):
     from tallowgrid.plans import queries
 
