@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 
 
 class Violation(ValueError):
-    """What a check found; the message shows some of the rows."""
+    """What a check found; the message shows some of the rows. ``counts``: rows by rule, where a check counts them."""
+
+    def __init__(self, message: str, counts: dict[str, int] | None = None):
+        super().__init__(message)
+        self.counts = counts or {}
 
 
 def require_empty(found: DataFrame, what: str, shown: int = 20) -> None:

@@ -19,6 +19,25 @@ def fold_skeletons(substances: DataFrame, skeleton: Column, category: str) -> Da
     return substances.groupBy(skeleton.alias("skeleton")).agg(F.count("*").alias("n"), F.count_distinct(category).alias("n_type"))
 
 
+def folded_rows(substances: DataFrame, key: str, skeleton: str, category: str, order: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One row a skeleton, and the ledger of conflicts.
+
+    A folded row has the number of substances, the smallest key, the mean of each value that is known, and the
+    category; where substances disagree, that which comes first in ``order`` (the most severe), flagged by
+    ``conflict``. The ledger keeps every substance of such skeletons with its category and whether it decided. All
+    sums are made within tasks first; a skeleton may fold any number of substances.
+    """
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col(category))
+    known = F.when(F.col(category).isNotNull() & (rank > 0), rank)
+    folded = substances.groupBy(skeleton).agg(
+        F.count("*").alias("n"), F.min(key).alias(f"first_{key}"), *[F.avg(v).alias(v) for v in values], F.min(known).alias("__least"), (F.coalesce(F.min(known) < F.max(known), F.lit(False))).alias("conflict")
+    )
+    folded = folded.withColumn(category, F.get(F.array(*map(F.lit, order)), F.col("__least") - 1)).drop("__least")
+    torn = folded.where("conflict").select(skeleton, F.col(category).alias("__final"))
+    ledger = substances.where(known.isNotNull()).select(key, skeleton, category).join(torn, skeleton)
+    return folded, ledger.select(skeleton, key, category, (F.col(category) == F.col("__final")).alias("decided"))
+
+
 def conflicts(substances: DataFrame, skeleton: Column, category: str) -> DataFrame:
     """Skeletons whose substances disagree, with the categories in order."""
     names = F.array_join(F.sort_array(F.collect_set(category)), ",")

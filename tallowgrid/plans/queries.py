@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tallowgrid.functions import scalars
 from tallowgrid.functions.scalars import comparable as c6
-from tallowgrid.operators import bootstrap, checks, folds, groups, labels, matrix, metrics, mixtures, models, ranks, trees
+from tallowgrid.operators import alerts, bootstrap, checks, folds, groups, labels, matrix, metrics, mixtures, models, ranks, trees
 from tallowgrid.plans import fixtures as fx
 from tallowgrid.session import settle, shared_root, table
-from tallowgrid.sources import files, lookups, reports, xlsx
+from tallowgrid.sources import files, lookups, published, reports, xlsx
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -141,6 +141,85 @@ def _long(rows: str, more: str = "") -> str:
     return " UNION ALL ".join(f"SELECT {more}'{c}' AS feature, {c} AS value FROM {rows}" for c in _ALL)
 
 
+_RULES = {"negative": "conc_total < 0", "beyond": "conc_total > 100 + 1e-6", "counted": "n_ing < 1"}
+
+
+def _checked(spark: SparkSession, sf: str, planted: bool) -> DataFrame:
+    rows = fx.matrix(spark, sf).select("f", "n_ing", "conc_total")
+    return rows.withColumn("conc_total", F.when(F.col("f") % 50 == 0, -F.col("conc_total")).otherwise(F.col("conc_total"))) if planted else rows
+
+
+@query(f"SELECT f, n_ing, {_r('conc_total')} FROM matrix")
+def published_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table that is checked in the pass that writes it, published, and read back through its manifest."""
+    root = f"{shared_root(spark)}/published-{uuid.uuid4().hex}"
+    published.publish(_checked(spark, sf, False), root, "totals", {k: F.expr(v) for k, v in _RULES.items()})
+    return rounded(published.read_published(spark, root, "totals"))
+
+
+@query("SELECT 'totals' AS name, count(*) FILTER (WHERE f % 50 = 0 AND -conc_total < 0) AS n_negative, 0::BIGINT AS n_versions FROM matrix")
+def publish_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with planted negative totals: what the pass counted, and that no version came of it."""
+    root = f"{shared_root(spark)}/published-{uuid.uuid4().hex}"
+    try:
+        published.publish(_checked(spark, sf, True), root, "totals", {k: F.expr(v) for k, v in _RULES.items()})
+        raise AssertionError("a planted fault was published")
+    except checks.Violation as e:
+        n = e.counts["negative"]
+    versions = published.versions(spark, root, "totals")
+    return versions.agg(F.lit("totals").alias("name"), F.lit(n).cast("long").alias("n_negative"), F.count("*").alias("n_versions"))
+
+
+_UPSERTED = (
+    "u AS (SELECT s, 1::BIGINT AS stamp, cat AS found FROM substances WHERE s % 2 = 0 UNION ALL SELECT s, 2, 'NC' FROM substances WHERE s % 6 = 0 UNION ALL SELECT s, 1, '1' FROM substances WHERE s % 5 = 0)"
+)
+
+
+@query(f", {_UPSERTED} SELECT s, stamp, found FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY stamp DESC, found DESC NULLS LAST) AS k FROM u) WHERE k = 1")
+def lookup_cache_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookups put into a cache three times, the second time twice: the last of each key stays."""
+    path, base = f"{shared_root(spark)}/cache-{uuid.uuid4().hex}", fx.substances(spark, sf)
+    puts = [(base.where("s % 2 = 0"), 1, F.col("cat")), (base.where("s % 6 = 0"), 2, F.lit("NC")), (base.where("s % 6 = 0"), 2, F.lit("NC")), (base.where("s % 5 = 0"), 1, F.lit("1"))]
+    for rows, at, value in puts:
+        lookups.upsert(rows.select("s", F.lit(at).cast("long").alias("stamp"), value.alias("found")), path, "s", "stamp", buckets=8)
+    return lookups.read_cache(spark, path).select("s", "stamp", "found")
+
+
+_LINE = "CASE WHEN p_partkey % 97 = 0 THEN p_partkey || ',x' || p_size || ',' || p_name WHEN p_partkey % 101 = 0 THEN p_partkey || ',' || p_size || ',' || p_name || ',more' WHEN p_partkey % 89 = 0 THEN p_partkey || ',' || p_size ELSE p_partkey || ',' || p_size || ',' || p_name END"
+
+
+@query(
+    f"SELECT reason, count(*) AS n, string_agg(line, ';' ORDER BY line) AS lines FROM (SELECT {_LINE} AS line, CASE WHEN p_partkey % 97 = 0 THEN 'size is no int' WHEN p_partkey % 101 = 0 THEN 'fields too many' WHEN p_partkey % 89 = 0 THEN 'fields missing' ELSE 'good' END AS reason FROM part) WHERE reason <> 'good' GROUP BY reason "
+    "UNION ALL SELECT 'good', count(*), NULL FROM part WHERE p_partkey % 97 <> 0 AND p_partkey % 101 <> 0 AND p_partkey % 89 <> 0",
+    prelude=False,
+)
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A submission with broken lines: good rows go on, the others to a ledger by reason."""
+    path = f"{shared_root(spark)}/submitted-{uuid.uuid4().hex}"
+    table(spark, sf, "part").selectExpr(f"{_LINE} AS value").write.text(path)
+    schema = spark.createDataFrame([], "k long, size int, name string").schema
+    good, bad = files.read_csv_split(spark, path, schema, header=False)
+    ledger = bad.groupBy("reason").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("line")), ";").alias("lines"))
+    return ledger.unionByName(good.agg(F.lit("good").alias("reason"), F.count("*").alias("n"), F.lit(None).cast("string").alias("lines")))
+
+
+@query()
+def original_tree_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Originals as trees of hashes of ranges of 1 MB, by as many tasks as there are ranges."""
+    return files.roots(files.tree_hashes(files.range_hashes(spark, sf, "*.parquet", 1 << 20)))
+
+
+@query(
+    "WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS pattern FROM benchmark) SELECT pattern, count(*) AS n_docs FROM words JOIN documents ON contains(text, pattern) GROUP BY pattern",
+    prelude=False,
+)
+def alert_table(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents hold each word of a table of alerts, all words in one pass over each text."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("pattern"))
+    found = alerts.find_patterns(table(spark, sf, "documents"), ["doc_id"], "text", words, "pattern")
+    return found.groupBy("pattern").agg(F.count("*").alias("n_docs"))
+
+
 # --- selection ---------------------------------------------------------------------------------
 
 _KEPT = [c for c in _ALL if c not in fx.FEAT_DROP and not c.startswith(tuple(fx.DROP_PREFIXES))]
@@ -365,6 +444,26 @@ def skeleton_fold(spark: SparkSession, sf: str) -> DataFrame:
     return labels.fold_skeletons(fx.substances(spark, sf), F.col("skeleton"), "role")
 
 
+_ORDER = "CASE cat WHEN '1' THEN 1 WHEN '2A' THEN 2 WHEN '2B' THEN 3 WHEN 'NC' THEN 4 END"
+_FOLDED_ROWS = f"SELECT skeleton, count(*) AS n, min(s) AS first_s, round(avg(price) + 1e-10, 6) AS price, ['1', '2A', '2B', 'NC'][min({_ORDER})] AS cat, coalesce(min({_ORDER}) < max({_ORDER}), FALSE) AS conflict FROM substances GROUP BY skeleton"
+
+
+def _folded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return labels.folded_rows(fx.substances(spark, sf), "s", "skeleton", "cat", ["1", "2A", "2B", "NC"], ["price"])
+
+
+@query(_FOLDED_ROWS)
+def folded_substances(spark: SparkSession, sf: str) -> DataFrame:
+    """Substances folded by skeleton, the most severe category where they disagree."""
+    return rounded(_folded(spark, sf)[0])
+
+
+@query(f"SELECT skeleton, s, s.cat, s.cat = f.cat AS decided FROM substances s JOIN ({_FOLDED_ROWS}) f USING (skeleton) WHERE f.conflict AND s.cat IS NOT NULL")
+def folded_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger of what folding had to decide."""
+    return _folded(spark, sf)[1]
+
+
 @query("SELECT skeleton, string_agg(DISTINCT role, ',' ORDER BY role) AS categories FROM substances GROUP BY skeleton HAVING count(DISTINCT role) > 1")
 def label_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return labels.conflicts(fx.substances(spark, sf), F.col("skeleton"), "role")

@@ -438,3 +438,24 @@ def test_filters_reach_the_scan(spark, small_dir):
     plan = fixtures.overlay(spark, small_dir).select("s")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,40)]" in plan
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
+
+
+def test_alert_tables(spark):
+    from tallowgrid.operators import alerts
+
+    texts = [(1, "abcabc xabcdx"), (2, None), (3, ""), (4, "bcd"), (1, "q" * 5000 + "abcd")]
+    words = [("abc",), ("abcd",), ("bcd",), ("",), (None,), ("abc",), ("zzz",)]
+    want = sorted((k, w) for k, t in texts for w in {w for (w,) in words if w} if t and w in t)
+    df = spark.createDataFrame(texts, "k int, t string")
+    for block in (50_000, 2):
+        got = alerts.find_patterns(df, ["k"], "t", spark.createDataFrame(words, "w string"), "w", block)
+        assert sorted(map(tuple, got.collect())) == want
+    assert alerts.find_patterns(df, ["k"], "t", spark.createDataFrame([], "w string"), "w").count() == 0
+
+
+def test_folding_decides_conflicts_and_says_so(spark):
+    rows = [(1, "a", "NC", 1.0), (2, "a", "2A", None), (3, "a", None, 4.0), (4, "b", None, None), (5, "c", "1", 2.0), (6, "c", "1", 2.0)]
+    folded, ledger = labels.folded_rows(spark.createDataFrame(rows, "s int, sk string, cat string, v double"), "s", "sk", "cat", ["1", "2A", "NC"], ["v"])
+    got = {r["sk"]: (r["n"], r["first_s"], r["v"], r["cat"], r["conflict"]) for r in folded.collect()}
+    assert got == {"a": (3, 1, 2.5, "2A", True), "b": (1, 4, None, None, False), "c": (2, 5, 2.0, "1", False)}
+    assert sorted(map(tuple, ledger.collect())) == [("a", 1, "NC", False), ("a", 2, "2A", True)]

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallowgrid.sources import files, lookups, reports, xlsx
+from tallowgrid.operators import checks
+from tallowgrid.sources import files, lookups, published, reports, xlsx
 
 
 def test_csv_keeps_types_of_null_columns(spark, tmp_path):
@@ -62,3 +63,84 @@ def test_reports(spark):
     with pytest.raises(ValueError):
         reports.markdown(df.union(df), most=3)
     assert df.select(F.col("v")).count() == 2
+
+
+def test_only_clean_output_is_published(spark, tmp_path):
+    root, df = str(tmp_path / "out"), spark.range(100).select("id", F.when(F.col("id") != 50, F.col("id") / 2).alias("v"))
+    rules = {"negative": F.col("v") < 0, "unknown": F.col("v").isNull()}
+    with pytest.raises(checks.Violation, match="unknown: 1 rows"):
+        published.publish(df, root, "t", rules)
+    with pytest.raises(LookupError):
+        published.read_published(spark, root, "t")
+    assert published.publish(df.where("v IS NOT NULL"), root, "t", rules) == 1
+    with pytest.raises(checks.Violation):
+        published.publish(df, root, "t", rules)
+    assert published.read_published(spark, root, "t").count() == 99
+    assert published.publish(df.where("id < 10"), root, "t", rules) == 2
+    assert published.read_published(spark, root, "t").count() == 10 and published.read_published(spark, root, "t", 1).count() == 99
+    with pytest.raises(ValueError):
+        published.publish(df, root, "../t", rules)
+
+
+def test_publishing_scans_once(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "in"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.read.parquet(str(tmp_path / "in")).mapInArrow(count, "id long")
+    published.publish(df, str(tmp_path / "out"), "t", {"big": F.col("id") > 5000, "small": F.col("id") < 0})
+    assert seen.value == 1000
+
+
+def test_a_cache_that_grows(spark, tmp_path):
+    path, make = str(tmp_path / "cache"), (lambda rows: spark.createDataFrame(rows, "cas string, at long, v string"))
+    assert lookups.read_cache(spark, path) is None
+    first, second = [("a", 1, "x"), ("b", 1, "y"), (None, 1, "n"), ("a", 2, "z"), ("a", 2, "y")], [("b", 5, None), ("c", 1, "w"), ("a", 1, "old")]
+    want = {"a": (2, "z"), "b": (5, None), "c": (1, "w")}
+    for rows in (first, second, second, first, []):
+        lookups.upsert(make(rows), path, "cas", "at", buckets=4)
+    assert {r["cas"]: (r["at"], r["v"]) for r in lookups.read_cache(spark, path).collect()} == want
+    assert lookups.read_cache(spark, path).columns == ["cas", "at", "v"]
+
+
+def test_rejected_lines_come_with_their_reasons(spark, tmp_path):
+    lines = {"one.csv": ["k,x,t", "1,0.5,a", "z,0.5,b", '2,,"c,d"', "3,1.5"], "two.csv": ["k,x,t", "4,1.0,e,f", "5,no,g", "6,2.0,"]}
+    for name, own in lines.items():
+        (tmp_path / name).write_text("\n".join(own) + "\n")
+    schema = spark.createDataFrame([], "k long, x double, t string").schema
+    good, bad = files.read_csv_split(spark, str(tmp_path), schema)
+    assert sorted(map(tuple, good.collect())) == [(1, 0.5, "a"), (2, None, "c,d"), (6, 2.0, None)]
+    want = {("one.csv", "z,0.5,b", "k is no bigint"), ("one.csv", "3,1.5", "fields missing"), ("two.csv", "4,1.0,e,f", "fields too many"), ("two.csv", "5,no,g", "x is no double")}
+    assert set(map(tuple, bad.collect())) == want
+
+
+def test_trees_of_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "d").mkdir()
+    data = bytes(i * 7 % 251 for i in range(10_000))
+    (tmp_path / "d" / "big.bin").write_bytes(data)
+    (tmp_path / "d" / "empty.bin").write_bytes(b"")
+
+    def by_hand(content, size, fan):
+        level = [hashlib.sha256(content[i : i + size]).digest() for i in range(0, max(len(content), 1), size)]
+        while True:
+            level = [hashlib.sha256(b"".join(level[i : i + fan])).digest() for i in range(0, len(level), fan)]
+            if len(level) == 1:
+                return level[0].hex()
+
+    make = lambda tasks: files.tree_hashes(files.range_hashes(spark, str(tmp_path / "d"), "*.bin", 100).repartition(tasks), 8)
+    first = make(1)
+    want = {"big.bin": by_hand(data, 100, 8)}  # Spark lists no empty files
+    for tree in (first, make(7)):
+        assert {r["path"].rpartition("/")[2]: r["sha256"] for r in files.roots(tree).collect()} == want
+    stored = spark.createDataFrame(first.collect(), first.schema)
+    assert files.changed_ranges(make(2), stored).count() == 0
+    changed = bytearray(data)
+    changed[4321] ^= 1
+    (tmp_path / "d" / "big.bin").write_bytes(changed)
+    assert [r["at"] for r in files.changed_ranges(make(3), stored).collect()] == [43]
