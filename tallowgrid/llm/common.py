@@ -12,6 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallowgrid.operators.skew import join_unique  # noqa: F401  joins that stand keys of any frequency
 from tallowgrid.session import settle as materialise  # noqa: F401  rows written once to the shared folder
 from tallowgrid.session import shared_root
 
@@ -120,34 +121,6 @@ def map_texts(docs: DataFrame, columns: list[str], text: str, make, schema: str)
     return rows.mapInArrow(lean(run), f"{kept}, {schema}")
 
 
-#: Rows a key may have before a join splits it off, and the keys that may then be broadcast.
-HEAVY_ROWS, HEAVY_KEYS = 10_000, 100_000
-
-
-def join_unique(rows: DataFrame, side: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """rows with the columns of ``side``, which has one row a key; nulls are a key; left or inner.
-
-    A key with more than HEAVY_ROWS rows, or more than one in HEAVY_KEYS of all, is split off and broadcast:
-    there can't be more than HEAVY_KEYS of those. No other key has more rows than that, so none is hot
-    in the shuffle of the rest. ``rows`` is read three times and is best a written table.
-    """
-    n = rows.count()
-    most = max(HEAVY_ROWS, -(-n // HEAVY_KEYS))
-    heavy = rows.groupBy(F.col(key).alias("__heavy")).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("__heavy") if n > most else None
-    named = side.withColumnRenamed(key, "__side")
-
-    def meet(part: DataFrame, other: DataFrame) -> DataFrame:
-        return part.join(other, part[key].eqNullSafe(other["__side"]), how).drop("__side")
-
-    if heavy is None:
-        return meet(rows, named)
-    hot = F.broadcast(materialise(heavy, "heavy-keys"))
-    few = named.join(hot, named["__side"].eqNullSafe(hot["__heavy"]), "left_semi")
-    own = rows.join(hot, rows[key].eqNullSafe(hot["__heavy"]), "left_semi")
-    rest = rows.join(hot, rows[key].eqNullSafe(hot["__heavy"]), "left_anti")
-    return meet(own, F.broadcast(few)).unionByName(meet(rest, named))
-
-
 def keep_texts(docs: DataFrame, make, text: str = "text") -> DataFrame:
     """Rows of docs, all columns as they are, for whose texts ``make()(texts)`` is true."""
     bound_batches(docs.sparkSession)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallowgrid.llm.common import map_texts, materialise
+from tallowgrid.llm.common import join_unique, map_texts, materialise
 
 _WHITE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 #: Rules: name and the condition, in SQL, under which a document fails it.
@@ -101,8 +101,8 @@ def judge_documents(docs: DataFrame, **options) -> DataFrame:
     measures are written once, narrow, and read for the hosts' sums and for the result.
     """
     measured = materialise(measure_documents(docs), "host-measures")
-    verdicts = host_verdicts(measured, **options).select(F.col("source").alias("__host"), "host_ok")
-    joined = measured.join(verdicts, measured["source"].eqNullSafe(verdicts["__host"]), "left")
+    # A host with a third of all documents is the normal case: such keys are split off.
+    joined = join_unique(measured, host_verdicts(measured, **options).select("source", "host_ok"), "source")
     base = F.expr(f"({RULES['short']}) OR ({RULES['repetitive']})")
     return joined.select("doc_id", *MEASURES, base.alias("base_failed"), (~base & F.coalesce("host_ok", F.lit(True))).alias("kept"))
 

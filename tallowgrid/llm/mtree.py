@@ -168,7 +168,7 @@ def quantised(batch_ids: pa.Array, batch_vectors: pa.Array) -> tuple[np.ndarray,
     """Ids and integer vectors floor(256 x) of the rows that take part.
 
     Rows without an id, null vectors, and vectors with null or non-finite components are left out.
-    Shorter vectors are filled up with zeros. Components beyond 2^62 are held at it.
+    Shorter vectors are filled up with zeros. An integer of 2^62 or more in magnitude is an error.
     """
     ids, rows = [], []
     flat = batch_vectors.flatten() if not batch_vectors.null_count else None
@@ -190,14 +190,17 @@ def quantised(batch_ids: pa.Array, batch_vectors: pa.Array) -> tuple[np.ndarray,
 
 
 def _floor(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(256.0 * x), -(2.0**62), 2.0**62).astype(np.int64)
+    scaled = np.floor(256.0 * x)
+    if scaled.size and np.abs(scaled).max() >= 2.0**62:
+        raise ValueError("a component is beyond 2^54 in magnitude: its integer has no exact form here")
+    return scaled.astype(np.int64)
 
 
 def _exhaustive(own: int, query: np.ndarray, tree: MTree, raw: np.ndarray, k: int, found: tuple) -> tuple:
-    """The same result by Python integers, where doubles can't hold the sums; scores end at the range of long."""
+    """The same result by Python integers, where doubles can't hold the sums; a resulting score that a long can't hold is an error."""
     n = min(len(query), raw.shape[1])
     dots = raw[:, :n].astype(object) @ query[:n].astype(object) if n else np.zeros(len(raw), dtype=object)
-    both = [(-int(s), int(i)) for s, i in zip(*found, strict=True)] + [(-min(max(int(s), -(2**63)), 2**63 - 1), int(i)) for s, i in zip(dots, tree.ids, strict=True) if i != own]
+    both = [(-int(s), int(i)) for s, i in zip(*found, strict=True)] + [(-int(s), int(i)) for s, i in zip(dots, tree.ids, strict=True) if i != own]
     both.sort()
     return np.array([-s for s, _ in both[:k]], dtype=object), np.array([i for _, i in both[:k]], dtype=np.int64)
 
@@ -212,7 +215,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, tree_vectors: int
     is not opened, and queries that can't are not searched in it. Trees and blocks lie in the shared folder, a
     task holds one of each, and only k rows for each query and task are shuffled. Rows with the query's id are
     its own; repeated query rows are answered each; ties go to the smaller vec_id. Without vectors or queries
-    there are no rows. Further columns, whatever their names, are not read.
+    there are no rows. Scores are exact: a component of 2^54 or more, or a resulting score beyond a long, stops the job. Further columns, whatever their names, are not read.
 
     How much the bounds spare is the data's: of clustered vectors more than half (see the tests). The
     test tables' vectors lie evenly on a sphere of 64 dimensions: a query's fifth neighbour is 0.75 to 0.81 as

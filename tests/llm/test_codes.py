@@ -119,7 +119,8 @@ def test_a_lost_file_of_bounds_changes_nothing(spark, small_dir):
 
 
 def test_frequent_labels(spark, monkeypatch, small_dir):
-    from tallowgrid.llm import common, queries
+    from tallowgrid.llm import queries
+    from tallowgrid.operators import skew
 
-    monkeypatch.setattr(common, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 20)
     same(queries.op13_net_drift_codes(spark, small_dir), connect(small_dir), codes.ORACLE_SQL)

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from compare import same
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -160,10 +161,15 @@ def test_top_k(spark):
     assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id IN (0, 1)")
     assert [tuple(r)[:3] for r in mtree.top_k(few, few.where("vec_id = 0")).collect()] == [(0, 1, 1)]
-    huge = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 2.0])], "vec_id long, embedding array<float>")
-    a = math.floor(256.0 * float(np.float32(1e12)))
-    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
-    assert sorted(map(tuple, mtree.top_k(huge, huge.where("vec_id = 0")).collect())) == [(0, 1, 1, clip(a * a + 256 * 512)), (0, 2, 2, clip(-a * a + 256 * 512))]
+    large = spark.createDataFrame([(0, [1e6, 1e6]), (1, [1e6, 2e6]), (2, [-1e6, 2.5e6])], "vec_id long, embedding array<float>")
+    u = {r["vec_id"]: [math.floor(256.0 * x) for x in r["embedding"]] for r in large.collect()}
+    want = [(0, 1, 1, sum(a * b for a, b in zip(u[0], u[1], strict=True))), (0, 2, 2, sum(a * b for a, b in zip(u[0], u[2], strict=True)))]
+    assert sorted(map(tuple, mtree.top_k(large, large.where("vec_id = 0")).collect())) == want
+    # What has no exact result is an error, never a held value: a component, and a score.
+    for x in (1e30, 1e12):
+        huge = spark.createDataFrame([(0, [x, 1.0]), (1, [x, 2.0])], "vec_id long, embedding array<float>")
+        with pytest.raises(Exception, match="beyond|too large|overflow|out of bounds"):
+            mtree.top_k(huge, huge.where("vec_id = 0")).collect()
 
 
 def test_bounds_spare_computations():

@@ -7,7 +7,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tallowgrid.llm import common, trie
+from tallowgrid.llm import trie
+from tallowgrid.operators import skew
 
 KIND = "conv_id long, turn long, role string, text string, depth long, key string"
 
@@ -57,7 +58,7 @@ def test_random_conversations(spark, seed):
 
 def test_a_long_conversation_and_its_copies(spark, monkeypatch):
     # One conversation holds most turns and lies in all ranges; others have its beginning.
-    monkeypatch.setattr(common, "HEAVY_ROWS", 30)
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 30)
     monkeypatch.setattr(trie, "PIECE", 20)
     rows = [(7, t, "u", f"t{t}") for t in range(260)] + [(c, t, "u", f"t{t}") for c in range(10, 50) for t in range(3)]
     rows += [(5, t, "u", f"t{t}") for t in range(30)]
@@ -92,7 +93,7 @@ def shapes():
 
 @pytest.mark.parametrize("name,edges", list(shapes()))
 def test_totals_of_shapes(spark, monkeypatch, name, edges):
-    monkeypatch.setattr(common, "HEAVY_ROWS", 40)
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 40)
     rng = random.Random(name)
     tree = [(i, p, rng.randrange(5), rng.randrange(1000)) for i, p in edges]
     df = spark.createDataFrame(tree, "id long, parent long, leaves long, saved long")
