@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallowgrid.functions import scalars
 from tallowgrid.functions.scalars import comparable as c6
-from tallowgrid.operators import alerts, bootstrap, checks, folds, groups, labels, matrix, metrics, mixtures, models, ranks, trees
+from tallowgrid.operators import alerts, bootstrap, checks, fingerprints, folds, groups, labels, matrix, metrics, mixtures, models, ranks, trees
 from tallowgrid.plans import fixtures as fx
 from tallowgrid.session import settle, shared_root, table
 from tallowgrid.sources import files, lookups, published, reports, xlsx
@@ -836,6 +836,23 @@ def vector_moments(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.groupBy("label", "pos").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd_pop"), F.min("v").alias("min"), F.max("v").alias("max")))
 
 
+_PRINTS = "SELECT doc_id, (('0x' || substring(md5(doc_id || ':0'), 1, 8))::BIGINT % 5)::INTEGER AS fold, list_distinct(list_transform(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')), lambda w: ('0x' || substring(md5(w), 1, 8))::BIGINT % 1024)) AS bits FROM documents"
+
+
+@query(
+    f"WITH prints AS MATERIALIZED (SELECT * FROM ({_PRINTS}) WHERE len(bits) > 0), pairs AS (SELECT q.doc_id, c.doc_id AS neighbour, len(list_intersect(q.bits, c.bits)) AS both_, len(q.bits) AS a, len(c.bits) AS b FROM prints q JOIN prints c ON q.fold <> c.fold AND q.doc_id % 20 = 0) "
+    "SELECT doc_id, neighbour, round(score + 1e-10, 6) AS score FROM (SELECT doc_id, neighbour, both_ / (a + b - both_)::DOUBLE AS score, row_number() OVER (PARTITION BY doc_id ORDER BY both_ / (a + b - both_)::DOUBLE DESC, neighbour) AS k FROM pairs) WHERE k = 1",
+    prelude=False,
+)
+def fingerprint_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """For the documents whose id 20 divides, the most similar of all documents in another fold, by word fingerprints."""
+    docs = table(spark, sf, "documents").select("doc_id", fingerprints.word_bits(F.col("text")).alias("bits"))
+    fold = scalars.hash_class(F.concat(F.col("doc_id").cast("string"), F.lit(":0")), 5)
+    rows = settle(docs.select("doc_id", fold.alias("fold"), F.size("bits").alias("ones"), fingerprints.packed(F.col("bits")).alias("fp")), "prints")
+    found = fingerprints.nearest(rows, rows.where("doc_id % 20 = 0"), "doc_id")
+    return rounded(found.select(F.col("query").alias("doc_id"), "neighbour", "score"))
+
+
 # --- folds and models --------------------------------------------------------------------------
 
 

@@ -459,3 +459,26 @@ def test_folding_decides_conflicts_and_says_so(spark):
     got = {r["sk"]: (r["n"], r["first_s"], r["v"], r["cat"], r["conflict"]) for r in folded.collect()}
     assert got == {"a": (3, 1, 2.5, "2A", True), "b": (1, 4, None, None, False), "c": (2, 5, 2.0, "1", False)}
     assert sorted(map(tuple, ledger.collect())) == [("a", 1, "NC", False), ("a", 2, "2A", True)]
+
+
+def test_nearest_fingerprints_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    from tallowgrid.operators import fingerprints
+
+    monkeypatch.setattr(fingerprints, "BLOCK", 16)
+    monkeypatch.setattr(fingerprints, "QUERY_BLOCK", 4)
+    rng = random.Random(6)
+    sets = {k: {rng.randrange(1024) for _ in range(rng.choice([0, 1, 5, 40, 300]))} for k in range(220)}
+    sets |= {300: set(sets[7]), 301: set(sets[7]), 302: set(sets[9]) | {3}}
+    df = spark.createDataFrame([(k, k % 3, len(v), sorted(v)) for k, v in sets.items()], "k long, fold int, ones int, bits array<int>").withColumn("fp", fingerprints.packed(F.col("bits")))
+    for r in df.select("bits", "fp").limit(20).collect():
+        assert {b for b in range(1024) if r["fp"][b // 64] >> (b % 64) & 1} == set(r["bits"])
+    got = fingerprints.nearest(df, df.where("k % 2 = 0 OR k > 290"), "k").collect()
+    asked = [k for k in sets if (k % 2 == 0 or k > 290) and sets[k]]
+    score = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {q: min((-score(q, c), c) for c in sets if sets[c] and c % 3 != q % 3) for q in asked}
+    assert {r["query"]: (-r["score"], r["neighbour"]) for r in got} == {q: (pytest.approx(s), c) for q, (s, c) in want.items()}
+    pairs = sum(sum(1 for c in sets if sets[c] and c % 3 != q % 3) for q in asked)
+    assert sum(r["seen"] for r in got) < pairs
+    assert fingerprints.nearest(df.limit(0), df.limit(0), "k").count() == 0
