@@ -21,8 +21,15 @@ def poisson_cuts(upto: int = 7) -> list[float]:
 
 def poisson_weight(text: Column) -> Column:
     """A Poisson weight of mean 1 from the first 32 bits of the md5 of a text: reruns and engines agree."""
-    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
-    return F.size(F.filter(F.array(*map(F.lit, poisson_cuts())), lambda c: u >= c))
+    return weight_of(uniform(text))
+
+
+def uniform(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
+def weight_of(u: Column) -> Column:
+    return sum(((u >= c).cast("int") for c in poisson_cuts()), F.lit(0))
 
 
 def replicated_counts(rows: DataFrame, group: str, y: str, pred: str, by: list[str], replicates: int) -> DataFrame:
@@ -35,10 +42,13 @@ def replicated_counts(rows: DataFrame, group: str, y: str, pred: str, by: list[s
     known = rows.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
     of = lambda a, b: F.count(F.when((F.col(y) == a) & (F.col(pred) == b), 1))
     cells = known.groupBy(*by, group).agg(of(1, 1).alias("tp"), of(0, 0).alias("tn"), of(0, 1).alias("fp"), of(1, 0).alias("fn"))
-    spread = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    # A group's cells, one an arm, are together while its weights are drawn.
+    own = cells.groupBy(group).agg(F.collect_list(F.struct(*by, *COUNTS)).alias("__cells"))
+    spread = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     name = F.concat(F.col(group).cast("string"), F.lit(":"), F.col("b").cast("string"))
-    weight = F.when(F.col("b") == 0, 1).otherwise(poisson_weight(name))
-    return spread.withColumn("__w", weight).groupBy(*by, "b").agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in COUNTS])
+    drawn = spread.withColumn("__u", uniform(name)).withColumn("__w", F.when(F.col("b") == 0, 1).otherwise(weight_of(F.col("__u"))))
+    flat = drawn.select("b", "__w", F.explode("__cells").alias("__c")).select("b", "__w", "__c.*")
+    return flat.groupBy(*by, "b").agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in COUNTS])
 
 
 def paired_deltas(counts: DataFrame, key: list[str], arm: str, base: str) -> DataFrame:
