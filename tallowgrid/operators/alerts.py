@@ -13,6 +13,8 @@ from tallowgrid.session import settle
 
 #: Patterns of an automaton: what a worker holds at once. More patterns are looked for in further passes.
 BLOCK = 50_000
+#: Findings that a worker holds before it gives them out.
+PAIRS = 20_000
 
 
 def find_patterns(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame, pattern: str, block: int = BLOCK) -> DataFrame:
@@ -39,12 +41,23 @@ def find_patterns(texts: DataFrame, keys: list[str], text: str, patterns: DataFr
             machine.make_automaton()
             for batch in batches:
                 held, found = [], []
-                for i, content in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                    own = sorted({w for _, w in machine.iter(content)}) if content else []
-                    held += [i] * len(own)
-                    found += own
-                taken = batch.take(pa.array(held, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array(found, pa.string())], names=[*keys, "pattern"])
+
+                def flush(batch=batch, held=held, found=found):
+                    taken = batch.select(range(len(keys))).take(pa.array(held, pa.int64()))
+                    out = pa.RecordBatch.from_arrays([*taken.columns, pa.array(found, pa.string())], names=[*keys, "pattern"])
+                    held.clear()
+                    found.clear()
+                    return out
+
+                for i, content in enumerate(batch.column(len(keys))):
+                    own = sorted({w for _, w in machine.iter(content.as_py())}) if content.is_valid and len(content.as_py()) else []
+                    for at in range(0, len(own), PAIRS):
+                        held += [i] * len(own[at : at + PAIRS])
+                        found += own[at : at + PAIRS]
+                        if len(found) >= PAIRS:
+                            yield flush()
+                if found:
+                    yield flush()
 
         parts.append(rows.mapInArrow(run, f"{kinds}, pattern string"))
     if not parts:
