@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallowgrid.functions.scalars import hash_class
@@ -36,18 +36,31 @@ def class_quotas(classes: list[tuple[int, int, int]], folds: int) -> dict[tuple[
     return out
 
 
+#: Counts up to this are classes of their own; larger ones are classed by their three leading bits.
+EXACT = 64
+
+
+def coarse(count: Column) -> Column:
+    """A count as it is, or its three leading bits followed by zeros: four values an octave, so there are at most
+    (EXACT + 1 + 4 * 57)^2 pairs of coarse counts, whatever groups there are."""
+    shift = (F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double"))) - 2).cast("int")
+    cut = F.call_function("shiftleft", F.call_function("shiftright", count, shift), shift)
+    return F.when(count <= EXACT, count).otherwise(cut)
+
+
 def stratified_group_folds(rows: DataFrame, group: str, y: str, seeds: list[int], folds: int = 5) -> DataFrame:
     """seed, group, fold: no group spans two folds, and folds have like shares of each class.
 
     Rows are summed to a row for each group first. Groups with the same counts are alike to the greedy
     rule, so it deals classes of groups, on a table with a row for each pair of counts (see
-    ``class_quotas``); which groups of a class a fold gets is decided by their rank in the order of a
-    hash of group and seed, a global rank that no single task makes.
+    ``class_quotas``); counts above EXACT are coarse for it, so that table is bounded however many sizes of
+    groups there are. Which groups of a class a fold gets is decided by their rank in the order of a hash of
+    group and seed, a global rank that no single task makes.
     """
     known = rows.where(F.col(y).isNotNull())
     counts = known.groupBy(F.col(group).cast("string").alias("group")).agg(F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) == 0, 1)).alias("neg"))
-    counts = settle(counts, "fold-groups")
-    # A row for each pair of counts.
+    counts = settle(counts.select("group", coarse(F.col("pos")).alias("pos"), coarse(F.col("neg")).alias("neg")), "fold-groups")
+    # A row for each pair of coarse counts.
     classes = [tuple(r) for r in counts.groupBy("pos", "neg").agg(F.count("*").alias("n")).collect()]
     if not classes:
         return counts.select(F.lit(0).alias("seed"), "group", F.lit(0).alias("fold")).limit(0)

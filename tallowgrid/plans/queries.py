@@ -110,7 +110,7 @@ def xlsx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     with fs.open_output_stream(path) as out:
         out.write(xlsx.write_xlsx(rows))
     spark.dataSource.register(xlsx.XlsxSource)
-    return spark.read.format("tallowgrid_xlsx").schema(rows.schema).option("path", path).load()
+    return spark.read.format("tallowgrid_xlsx").schema(rows.schema).option("path", uri).load()
 
 
 @query("SELECT 'job_a' AS job, s, cat FROM substances WHERE s % 2 = 0 UNION ALL SELECT 'job_b', s, cat FROM substances WHERE s % 2 = 1")

@@ -1,7 +1,7 @@
 """A data source for .xlsx workbooks, on the standard library: sheets of plain cells.
 
 ``spark.dataSource.register(XlsxSource)``, then ``spark.read.format("tallowgrid_xlsx")`` with a schema
-and the options ``path`` and ``sheet`` (1 by default); ``write_xlsx`` makes a workbook of one sheet. A
+and the options ``path`` (of any store that Arrow opens) and ``sheet`` (1 by default); ``write_xlsx`` makes a workbook of one sheet. A
 sheet is one partition: the format is a compressed stream and can't be split.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegerType, LongType, StructType
 
+from tallowgrid.sources.files import open_file
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REF = re.compile(r"([A-Z]+)\d+")
 
@@ -101,7 +103,7 @@ class XlsxReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition):
-        with open(self.path.removeprefix("file://"), "rb") as f:
+        with open_file(self.path) as f:
             rows = read_cells(f.read(), self.sheet)
         head = {name: at for at, name in next(rows, {}).items()}
 

@@ -305,6 +305,24 @@ def test_quotas_of_classes_balance(spark):
     assert folds.stratified_group_folds(rows.limit(0), "g", "y", [0]).count() == 0
 
 
+def test_the_table_of_classes_is_bounded(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    sizes = [(rng.randrange(1, 4000), rng.randrange(1, 4000)) for _ in range(3000)] + [(70_000, 30_000), (0, 64), (64, 65)]
+    seen, whole = [], folds.class_quotas
+    monkeypatch.setattr(folds, "class_quotas", lambda classes, n: seen.append(len(classes)) or whole(classes, n))
+    counts = spark.createDataFrame([(g, p, q) for g, (p, q) in enumerate(sizes)], "g int, p long, q long")
+    rows = counts.select("g", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("p").alias("n")), F.struct(F.lit(0).alias("y"), F.col("q").alias("n")))).alias("r")).select("g", "r.y", F.explode(F.sequence(F.lit(1), F.greatest("r.n", F.lit(1)))).alias("i"))
+    found = folds.stratified_group_folds(rows.where("i > 0").select("g", "y"), "g", "y", [0])
+    held = found.join(counts, F.col("group") == F.col("g").cast("string")).groupBy("fold").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).collect()
+    total = sum(r["p"] for r in held)
+    assert seen[0] <= 45 * 45 < 3000 and len(held) == 5
+    assert all(abs(r["p"] / total - 0.2) < 0.03 for r in held)
+    got = {r["c"]: r["k"] for r in spark.createDataFrame([(c,) for c in (0, 1, 64, 65, 127, 128, 1000, 2**40 + 5)], "c long").select("c", folds.coarse(F.col("c")).alias("k")).collect()}
+    assert got == {0: 0, 1: 1, 64: 64, 65: 64, 127: 112, 128: 128, 1000: 896, 2**40 + 5: 2**40}
+
+
 def test_ranks_of_values_with_an_outlier(spark):
     values = [(i, float((i * 37) % 101) if i else 1e300) for i in range(400)]
     df = spark.createDataFrame(values, "k long, v double").repartition(5)
