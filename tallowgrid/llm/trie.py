@@ -116,17 +116,20 @@ def trie_nodes(prefixes: DataFrame, ends: DataFrame) -> DataFrame:
 
 def _doubled(unary: DataFrame) -> DataFrame:
     """For nodes with one child: next, the first node below that isn't one of them, and the sums from the node
-    down to it, by pointer doubling: as many joins as the longest chain's length has binary digits."""
-    step = materialise(unary.select("id", "next", "leaves", "saved"), "chains")
+    down to it, by pointer doubling: as many joins as the longest chain's length has binary digits.
+
+    A node is done when its next lies below the chain. Only nodes that aren't are joined, and their nexts
+    differ, so no key has more than one row on either side, however long a chain is.
+    """
+    names = unary.select(F.col("id").alias("next"), F.lit(False).alias("done"))
+    step = materialise(unary.select("id", "next", "leaves", "saved").join(names, "next", "left").withColumn("done", F.coalesce("done", F.lit(True))), "chains")
     while True:
-        other = step.select(F.col("id").alias("next"), F.col("next").alias("__next"), F.col("leaves").alias("__leaves"), F.col("saved").alias("__saved"))
-        # Only ends of chains have many rows, and they have no match: each node that matches has one parent.
-        inner = step.join(step.select(F.col("id").alias("next")), "next", "left_semi")
-        if inner.isEmpty():
-            return step
-        moved = inner.join(other, "next").select("id", F.col("__next").alias("next"), (F.col("leaves") + F.col("__leaves")).alias("leaves"), (F.col("saved") + F.col("__saved")).alias("saved"))
-        done = step.join(step.select(F.col("id").alias("next")), "next", "left_anti").select("id", "next", "leaves", "saved")
-        step = materialise(moved.unionByName(done), "chains")
+        open_ = step.where("NOT done")
+        if open_.isEmpty():
+            return step.drop("done")
+        other = step.select(F.col("id").alias("next"), F.col("next").alias("__next"), F.col("leaves").alias("__leaves"), F.col("saved").alias("__saved"), F.col("done").alias("__done"))
+        moved = open_.join(other, "next").select("id", F.col("__next").alias("next"), (F.col("leaves") + F.col("__leaves")).alias("leaves"), (F.col("saved") + F.col("__saved")).alias("saved"), F.col("__done").alias("done"))
+        step = materialise(moved.unionByName(step.where("done")), "chains")
 
 
 def subtree_totals(tree: DataFrame) -> DataFrame:
@@ -156,9 +159,9 @@ def subtree_totals(tree: DataFrame) -> DataFrame:
             current = left
             continue
         chain = _doubled(unary)
-        chains.append((len(raked), chain))
-        names = unary.select(F.col("id").alias("parent"))
-        tops = unary.select("id", "parent").join(names, "parent", "left_anti").join(chain, "id")  # a row a chain
+        chains.append(chain)
+        # A row a chain: its top is no other's child. Ids and children differ, while many tops may share a parent.
+        tops = unary.select("id", "parent").join(unary.select(F.col("next").alias("id")), "id", "left_anti").join(chain, "id")
         tops = materialise(tops, "chain-tops")
         up = tops.groupBy(F.col("parent").alias("id")).agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s"))
         rest = left.join(unary.select("id"), "id", "left_anti").join(up, "id", "left").join(tops.select(F.col("next").alias("id"), F.col("parent").alias("above")), "id", "left")
@@ -168,7 +171,7 @@ def subtree_totals(tree: DataFrame) -> DataFrame:
     known = raked[0] if raked else current.select("id", "leaves", "saved")
     for r in raked[1:]:
         known = known.unionByName(r)
-    for _, chain in reversed(chains):
+    for chain in reversed(chains):
         below = known.select(F.col("id").alias("next"), F.col("leaves").alias("l"), F.col("saved").alias("s"))
         ended = below.join(chain.select("next").distinct(), "next")
         opened = join_unique(chain, ended, "next", "inner")
