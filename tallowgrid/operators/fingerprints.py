@@ -39,14 +39,14 @@ def _blocks(rows: DataFrame, key: str, size: int, tag: str) -> DataFrame:
                 piece = batch.slice(s, size)
                 fps = piece.column(3).flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()
                 ones = piece.column(2).to_numpy()
-                one = lambda c: pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), c)  # noqa: B023, E731
+                keys, folds = (piece.column(i).to_numpy().astype("<i8").tobytes() for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{at}-{k}"]), pa.array([int(ones.min())], pa.int32()), pa.array([int(ones.max())], pa.int32()), one(piece.column(0)), one(piece.column(1)), pa.array([fps], pa.binary())],
-                    names=["block", "low", "high", "keys", "folds", "data"],
+                    [pa.array([f"{at}-{k}"]), pa.array([int(ones.min())], pa.int32()), pa.array([int(ones.max())], pa.int32()), pa.array([piece.num_rows], pa.int32()), *(pa.array([x], pa.binary()) for x in (keys, folds, fps))],
+                    names=["block", "low", "high", "n", "keys", "folds", "data"],
                 )
                 k += 1
 
-    return settle(dealt.mapInArrow(run, "block string, low int, high int, keys array<long>, folds array<int>, data binary"), tag)
+    return settle(dealt.mapInArrow(run, "block string, low int, high int, n int, keys binary, folds binary, data binary"), tag)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -55,26 +55,32 @@ def _best(pairs: DataFrame) -> DataFrame:
     ``pairs`` has both blocks of a pair in a row; a task holds one pair.
     """
 
-    def load(data):
-        return np.frombuffer(data, "<u8").reshape(-1, BITS // 64)
+    def load(keys, folds, data):
+        fps = np.frombuffer(data, "<u8").reshape(-1, BITS // 64)
+        return np.frombuffer(keys, "<i8"), np.frombuffer(folds, "<i8"), fps, np.bitwise_count(fps).sum(axis=1).astype(np.int64)
 
     def run(batches):
+        held, candidates = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b = load(r["q_data"]), load(r["data"])
-                qk, ck, qf, cf = (np.array(r[n]) for n in ("q_keys", "keys", "q_folds", "folds"))
-                size_b = np.bitwise_count(b).sum(axis=1).astype(np.int64)
+            for r in range(batch.num_rows):
+                cell = lambda name: batch.column(batch.schema.get_field_index(name))[r].as_py()  # noqa: B023, E731
+                if cell("block") != held:  # rows come sorted by block
+                    held, candidates = cell("block"), load(cell("keys"), cell("folds"), cell("data"))
+                ck, cf, b, size_b = candidates
+                qk, qf, a, size_a = load(cell("q_keys"), cell("q_folds"), cell("q_data"))
                 score, key, seen = np.full(len(a), -1.0), np.full(len(a), -1, np.int64), 0
                 for i in range(len(a)):
-                    other = np.flatnonzero((cf != qf[i]) & (ck != qk[i]))
-                    if len(other):
-                        both = np.bitwise_count(a[i] & b[other]).sum(axis=1).astype(np.int64)
-                        t = both / (int(np.bitwise_count(a[i]).sum()) + size_b[other] - both)
-                        first = np.lexsort((ck[other], -t))[0]
-                        score[i], key[i] = t[first], ck[other[first]]
-                        seen += len(other)
+                    both = np.bitwise_count(a[i] & b).sum(axis=1, dtype=np.int64)
+                    t = both / (size_a[i] + size_b - both)
+                    t[(cf == qf[i]) | (ck == qk[i])] = -1.0
+                    best = t.max()
+                    if best >= 0:
+                        score[i], key[i] = best, ck[t == best].min()
+                    seen += int((t >= 0).sum())
                 good = key >= 0
-                yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]] * int(good.sum())), pa.array(qk[good]), pa.array(score[good]), pa.array(key[good]), pa.array(([seen] + [0] * len(a))[: int(good.sum())], pa.int64())], names=["q_block", "query", "score", "key", "seen"])
+                n = int(good.sum())
+                columns = [pa.array([cell("q_block")] * n, pa.string()), pa.array(qk[good]), pa.array(score[good]), pa.array(key[good]), pa.array(([seen] + [0] * n)[:n], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["q_block", "query", "score", "key", "seen"])
 
     found = pairs.mapInArrow(run, "q_block string, query long, score double, key long, seen long")
     best = F.max(F.struct(F.col("score"), (-F.col("key")).alias("nk")))
@@ -101,10 +107,12 @@ def nearest(candidates: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     pairs = settle(heads.join(spans, F.lit(True)).select("q_block", "block", apart.alias("most")), "block-pairs")
 
     def meet(some: DataFrame) -> DataFrame:
-        return some.join(rows, "block").join(asked, "q_block")
+        # Blocks of queries are dealt to blocks of candidates, which are larger and travel once.
+        dealt = some.join(asked, "q_block").repartition("block")
+        return dealt.join(rows, "block").sortWithinPartitions("block")
 
     first = settle(_best(meet(pairs.where("most >= 1").select("q_block", "block"))), "first-best")
-    counts = asked.select("q_block", F.size("q_keys").alias("n"))
+    counts = asked.select("q_block", F.col("q_n").alias("n"))
     floor = counts.join(first.groupBy("q_block").agg(F.min("score").alias("least"), F.count("*").alias("m")), "q_block", "left")
     floor = floor.select("q_block", F.when(F.col("m") == F.col("n"), F.col("least")).otherwise(F.lit(0.0)).alias("least"))
     more = pairs.where("most < 1").join(floor, "q_block").where("most >= least").select("q_block", "block")
