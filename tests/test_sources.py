@@ -78,6 +78,7 @@ def test_only_clean_output_is_published(spark, tmp_path):
     assert published.read_published(spark, root, "t").count() == 99
     assert published.publish(df.where("id < 10"), root, "t", rules) == 2
     assert published.read_published(spark, root, "t").count() == 10 and published.read_published(spark, root, "t", 1).count() == 99
+    assert published.publish(df.limit(0), root, "none", rules) == 1 and published.read_published(spark, root, "none").dtypes == df.dtypes
     with pytest.raises(ValueError):
         published.publish(df, root, "../t", rules)
 
@@ -96,6 +97,15 @@ def test_publishing_scans_once(spark, tmp_path):
     assert seen.value == 1000
 
 
+def test_a_session_that_published_can_still_fit_forests(spark, tmp_path):
+    from tallowgrid.operators import models
+
+    published.publish(spark.range(3), str(tmp_path / "out"), "t", {"negative": F.col("id") < 0})
+    df = spark.range(40).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2).cast("double").alias("v"))
+    assigned = df.select(F.lit(0).alias("seed"), (F.col("id") % 5).cast("int").alias("fold"), "id")
+    assert models.out_of_fold(df, assigned, "id", "y", ["v"], trees=2).count() == 40
+
+
 def test_a_cache_that_grows(spark, tmp_path):
     path, make = str(tmp_path / "cache"), (lambda rows: spark.createDataFrame(rows, "cas string, at long, v string"))
     assert lookups.read_cache(spark, path) is None
