@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallowgrid.llm.common import materialise
@@ -12,7 +12,23 @@ SHARE, MOST = 1.5, 2
 #: Classes of the exponential keys whose sums are taken before any row is ordered.
 BUCKETS = 4096
 _WORD = r"[^\x20\x09-\x0D]+"
-_SYMBOLS = "#*$%&|<>!"
+#: ASCII that is no letter: runs of it are removed before letters are counted.
+_NO_LETTERS = r"[\x00-\x40\[-`{-\x7F]+"
+_SPACES = r"[\x20\x09-\x0D]+"
+
+
+def quality_weight(text: Column) -> Column:
+    """Letters' share of the characters in words, times the root of the share of words that are distinct;
+    0.1 at least. Any character beyond ASCII counts as a letter; a text without a word weighs 0.1.
+
+    Symbols and digits lower the first factor, repetition the second. The root spares long texts, in
+    which words come again in any case.
+    """
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    letters = F.length(F.regexp_replace(text, _NO_LETTERS, ""))
+    characters = F.length(F.regexp_replace(text, _SPACES, ""))
+    distinct = F.size(F.array_distinct(words)) / F.nullif(F.size(words), F.lit(0))
+    return F.greatest(F.lit(0.1), F.coalesce(letters / F.nullif(characters, F.lit(0)) * F.sqrt(distinct), F.lit(0.1)))
 
 
 def keyed(docs: DataFrame, seed: int = 17) -> DataFrame:
@@ -20,22 +36,21 @@ def keyed(docs: DataFrame, seed: int = 17) -> DataFrame:
 
     The key is -ln(u) / w: u is uniform, from the md5 of seed, doc_id and the text's md5, so reruns agree
     and rows without an id, or with one in common, have keys of their own; w is the document's quality
-    weight, 1 less its symbols per word, 0.1 at least. Ascending keys are a draw without replacement with
-    chances in proportion to w. The bucket is a class of the key that ascends with it.
+    weight (``quality_weight``). Ascending keys are a draw without replacement with chances in proportion
+    to w. The bucket is a class of the key that ascends with it.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns(
         {
             "__source": F.col("source").cast("string"),
             "__size": F.regexp_count(text, F.lit(_WORD)).cast("long"),
-            "__symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))),
+            "__weight": quality_weight(text),
         }
     )
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     named = F.concat(F.lit(f"{seed}:"), number, F.lit(":"), F.md5(text))
     u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    w = F.greatest(F.lit(0.1), 1.0 - F.col("__symbols") / F.greatest(F.col("__size"), F.lit(1)))
-    rows = rows.withColumn("__key", -F.ln(u) / w).drop("__symbols")
+    rows = rows.withColumn("__key", -F.ln(u) / F.col("__weight")).drop("__weight")
     return rows.withColumn("__bucket", F.floor(BUCKETS * F.col("__key") / (1.0 + F.col("__key"))).cast("int"))
 
 
@@ -135,10 +150,11 @@ def repeat_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 ORACLE_SQL = f"""
 WITH sized AS (
  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
-  length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{_SYMBOLS}', '')) AS symbols,
+  length(regexp_replace(coalesce(text, ''), '{_NO_LETTERS}', '', 'g'))::DOUBLE / nullif(length(regexp_replace(coalesce(text, ''), '{_SPACES}', '', 'g')), 0)::DOUBLE AS letters,
+  len(list_distinct(regexp_extract_all(coalesce(text, ''), '{_WORD}')))::DOUBLE / nullif(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')), 0)::DOUBLE AS distinct_words,
   (('0x' || substring(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
  FROM documents),
-rows AS (SELECT *, -ln(u) / greatest(0.1::DOUBLE, 1.0::DOUBLE - symbols::DOUBLE / greatest(size, 1)::DOUBLE) AS key FROM sized),
+rows AS (SELECT *, -ln(u) / greatest(0.1::DOUBLE, coalesce(letters * sqrt(distinct_words), 0.1::DOUBLE)) AS key FROM sized),
 sums AS (
  SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::DOUBLE AS stop,
   [3.0, 1.0, 2.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)]::DOUBLE AS weight

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallowgrid.llm.common import agreed_labels, held_out, keep_texts, labelled_sample, lean, logistic, map_texts, probability
@@ -16,6 +16,10 @@ MODULUS, REMAINDER = 4, 2
 #: segments that dictionaries are trained from. Small blocks tell words apart, large ones repetition.
 SCALES = ((1024, 32768, 200), (256, 32768, 64), (64, 65536, 64))
 
+#: Blocks as long as a segment without which no dictionary is trained: the trainer holds a quarter back
+#: and needs several of the rest.
+FEW = 16
+
 
 def _chunks(content: bytes, size: int) -> list[bytes]:
     """A text in blocks short enough that the dictionary counts; together they are the whole text."""
@@ -66,12 +70,14 @@ def scorer(model: dict):
     return CompressionScorer(model) if "dictionaries" in model else ConstantScorer(model)
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 8000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, each: int = 8000, most_bytes: int = 64 << 20) -> dict:
     """Dictionaries from one half of the sampled rows, the calibration from the other half.
 
     ``each`` bounds the labelled rows learned from, for each label; of these whole texts are used. A
-    dictionary is trained in a task of its own from all blocks of its label's half; the driver gets the
-    dictionaries and a row of differences for each row of the other half. Held-out rows and rows with
+    label's dictionaries are trained in one task from all blocks of its half, which ``most_bytes`` bounds:
+    rows, in the order of their hashes, that would go beyond it are not trained from (a first row always
+    is). The driver gets the dictionaries and a row of differences for each row of the other half, however
+    long its text. No rows give a constant; further columns are not read. Held-out rows and rows with
     conflicting labels are never learned from. Without rows of both labels the model is a constant: 1 or 0
     for the one label there is, 0.5 for none.
     """
@@ -83,7 +89,11 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 8000) -> dict:
         found = [dictionary([c for t in texts for c in _chunks(t, size)], most, segment) for size, most, segment in SCALES]
         return pd.DataFrame({"label": [int(key[0])] * len(found), "scale": range(len(found)), "content": found})
 
-    trained = sample.where(half == 0).select("label", "text").groupBy("label").applyInPandas(train, "label int, scale int, content binary")
+    upto = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sizes = sample.where(half == 0).select("doc_id", "label", F.octet_length("text").cast("long").alias("bytes")).withColumn("upto", upto)
+    within = sizes.where((F.col("upto") <= most_bytes) | (F.col("upto") == F.col("bytes"))).select("doc_id")
+    # At most 2 * each ids: small by parameter, so this side may be broadcast.
+    trained = sample.join(F.broadcast(within), "doc_id").select("label", "text").groupBy("label").applyInPandas(train, "label int, scale int, content binary")
     by = {(r["label"], r["scale"]): bytes(r["content"]) for r in trained.collect()}
     labels_seen = {label for label, _ in by}
     if labels_seen != {0, 1}:
@@ -109,12 +119,12 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 8000) -> dict:
 
 
 def dictionary(pool: list[bytes], size: int, segment: int) -> bytes:
-    """A trained dictionary, the same for a pool in any order; of few or small blocks, their own text."""
+    """A trained dictionary, the same for a pool in any order; of fewer than FEW blocks that hold a
+    segment, their own text. A training that fails for another reason raises."""
     pool = sorted(pool)
-    try:
-        return zstandard.train_dictionary(size, pool, k=segment, d=8).as_bytes()
-    except zstandard.ZstdError:
+    if sum(len(x) >= segment for x in pool) < FEW:
         return b"".join(pool)[-size:] or b"\0" * 8
+    return zstandard.train_dictionary(size, pool, k=segment, d=8).as_bytes()
 
 
 def score_documents(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:

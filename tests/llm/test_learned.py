@@ -183,6 +183,40 @@ def test_quality_without_both_labels(spark, make_docs):
     assert quality.score_documents(docs.limit(0), quality.fit(docs.limit(0), none)).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 40), st.sampled_from(["a", "ab", "abcdefghij "]), st.sampled_from(quality.SCALES), st.integers(0, 99))
+def test_dictionaries_of_small_or_dull_pools(n, letters, scale, seed):
+    draw, (size, most, segment) = random.Random(seed), scale
+    pool = ["".join(draw.choices(letters, k=segment)).encode() for _ in range(n)] + [b"", b"x"] * draw.randint(0, 9)
+    got = quality.dictionary(pool, most, segment)
+    assert got and quality.dictionary(pool[::-1], most, segment) == got
+    zstandard.ZstdCompressionDict(got)
+    if n < quality.FEW:
+        assert got == b"".join(sorted(pool))[-most:] or not any(pool)
+
+
+def test_a_failed_training_is_not_hidden(monkeypatch):
+    def fails(*args, **more):
+        raise zstandard.ZstdError("no memory")
+
+    monkeypatch.setattr(zstandard, "train_dictionary", fails)
+    with pytest.raises(zstandard.ZstdError):
+        quality.dictionary([b"0123456789" * 20] * 50, 32768, 64)
+
+
+def test_dictionaries_learn_from_bounded_bytes(spark, make_docs):
+    rows, labels = quality_rows(200)
+    docs = make_docs([*rows, (5000, "light house stone " * 100_000)])
+    marks = spark.createDataFrame([*labels, (5000, 1, 0)], "doc_id long, quality int, toxic int")
+    most = 2000
+    small, whole = quality.fit(docs, marks, most_bytes=most), quality.fit(docs, marks)
+    for tight, all_of in zip(small["dictionaries"], whole["dictionaries"], strict=True):
+        for a, b in zip(tight, all_of, strict=True):
+            assert 0 < len(a) <= 2 * most < len(b)
+    first = quality.fit(docs, marks, most_bytes=0)  # a first row is always learned from
+    assert all(len(d) > 8 for pair in first["dictionaries"] for d in pair)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

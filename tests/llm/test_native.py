@@ -130,9 +130,28 @@ def test_rows_without_an_id_have_keys_of_their_own(spark, make_docs):
     assert abs(sum(taken) - 1.5 * 40_000) <= 2 and taken[0] == 4 and taken[-1] == 8
 
 
+def direct_weight(text):
+    words = _WORD.findall(text or "")
+    if not words:
+        return 0.1
+    characters = "".join(words)
+    letters = sum(ord(c) > 127 or c.isalpha() for c in characters)
+    return max(0.1, letters / len(characters) * math.sqrt(len(set(words)) / len(words)))
+
+
+def test_quality_weight(spark, make_docs):
+    texts = [None, "", " \n", "a b c d", "a a a a", "x1 y2", "#### ||", "\x00\x7f ab", "na\u00efve \u6f22\u5b57 1", "one one two!\nOne", "a" * 50_000 + " 12 " * 50_000]
+    got = {r["doc_id"]: r["w"] for r in make_docs(list(enumerate(texts))).select("doc_id", mixing.quality_weight(mixing.F.coalesce("text", mixing.F.lit(""))).alias("w")).collect()}
+    assert all(math.isclose(got[i], direct_weight(t), rel_tol=1e-12) for i, t in enumerate(texts))
+    # Equal words, symbols and figures lower the weight.
+    assert got[3] == 1.0 and got[4] == 0.5 and got[5] == 0.5 and got[6] == 0.1
+
+
 def test_keys_draw_by_weight(spark, make_docs):
     # Of pairs of a clean and a symbol-laden document, the clean one comes first ten times in eleven.
-    docs = make_docs([(i, "a b c d" if i % 2 else "a### b### c### d###") for i in range(4000)])
+    clean, laden = "a b c d", "a######### b######### c######### d#########"
+    assert direct_weight(clean) == 1.0 and math.isclose(direct_weight(laden), 0.1)
+    docs = make_docs([(i, clean if i % 2 else laden) for i in range(4000)])
     keys = {r["doc_id"]: r["__key"] for r in mixing.keyed(docs).select("doc_id", "__key").collect()}
     first = sum(keys[i + 1] < keys[i] for i in range(0, 4000, 2)) / 2000
     assert abs(first - 10 / 11) < 0.03
