@@ -500,3 +500,15 @@ def test_nearest_fingerprints_are_those_of_all_pairs(spark, monkeypatch):
     pairs = sum(sum(1 for c in sets if sets[c] and c % 3 != q % 3) for q in asked)
     assert sum(r["seen"] for r in got) < pairs
     assert fingerprints.nearest(df.limit(0), df.limit(0), "k").count() == 0
+
+
+def test_ingredient_rows_are_dealt_by_number(spark, small_dir, monkeypatch):
+    """Tasks of bounded rows however rows are compressed, and one shuffle of them for shares and sums."""
+    from tallowgrid import session
+    from tallowgrid.plans import queries
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    held = queries.fx.ingredients(spark, small_dir).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= 10 and max(r["count"] for r in held) <= 1000
+    rows = queries.fx.matrix(spark, small_dir)
+    assert rows.rdd.getNumPartitions() == -(-queries.table(spark, small_dir, "lineitem").count() // 500)
