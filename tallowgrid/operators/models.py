@@ -1,59 +1,212 @@
-"""Tree models over matrices with missing values, out of fold."""
+"""Forests over matrices with missing values, out of fold: all folds' forests are grown together, level by level."""
 
 from __future__ import annotations
 
-import uuid
-from multiprocessing.pool import ThreadPool
+import math
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallowgrid.session import shared_root
+from tallowgrid.operators.bootstrap import poisson_cuts
+from tallowgrid.session import settle
 
-#: Stands for a missing value inside a model's input only; never stored.
-SENTINEL = 1e300
+#: Bins of a feature's known values. Cells of a block: a task draws weights and sums for one block at a time.
+BINS, BLOCK = 32, 1 << 18
 
 
-def encode_missing(matrix: DataFrame, features: list[str], protocol: str) -> tuple[DataFrame, list[str]]:
-    """Model columns: with nan0 missing is 0; natively a feature becomes two, in which missing lies
-    below and above all values, so that a split can send it either way."""
-    if protocol == "nan0":
-        return matrix.withColumns({f"m_{c}": F.coalesce(F.col(c), F.lit(0.0)) for c in features}), [f"m_{c}" for c in features]
-    low = {f"lo_{c}": F.coalesce(F.col(c), F.lit(-SENTINEL)) for c in features}
-    high = {f"hi_{c}": F.coalesce(F.col(c), F.lit(SENTINEL)) for c in features}
-    return matrix.withColumns(low | high), [*low, *high]
+def thresholds(rows: DataFrame, features: list[str]) -> dict[str, list[float]]:
+    """Of each feature at most BINS - 1 values that part it: all but the largest of few values, else quantiles."""
+    cuts = [i / BINS for i in range(1, BINS)]
+    found = rows.agg(*[x for c in features for x in (F.percentile_approx(c, cuts, 10_000).alias(f"q_{c}"), F.approx_count_distinct(c, 0.02).alias(f"n_{c}"), F.max(c).alias(f"m_{c}"))]).first()
+    few = [c for c in features if found[f"n_{c}"] <= 2 * BINS]
+    sets = rows.agg(*[F.collect_set(c).alias(c) for c in few]).first() if few else {}  # at most about 2 * BINS values each
+    out = {}
+    for c in features:
+        own = sets[c] if c in few and len(sets[c]) <= BINS else found[f"q_{c}"] or []
+        out[c] = sorted({float(v) for v in own if v < found[f"m_{c}"]})
+    return out
 
 
-def out_of_fold(rows: DataFrame, assigned: DataFrame, key: str, y: str, features: list[str], protocol: str = "native", trees: int = 100, depth: int = 6, seed: int = 7, parallel: int = 8) -> DataFrame:
+def bin_of(column: str, cuts: list[float]) -> Column:
+    """1 and up by how many thresholds a value is above; 0 for a missing one."""
+    above = sum((F.when(F.col(column) > c, 1).otherwise(0) for c in cuts), F.lit(1))
+    return F.when(F.col(column).isNull(), 0).otherwise(above).cast("byte")
+
+
+def _blocks(cells: DataFrame, seeds: list[int]) -> tuple[DataFrame, int]:
+    """Cells in written blocks of a seed, and in how many tasks: a row a block, so that its draws are alike in all levels."""
+    cores, n = cells.sparkSession.sparkContext.defaultParallelism, cells.count()
+    each = max(-(-4 * cores // len(seeds)), -(-n // (len(seeds) * BLOCK)))
+    at = F.array_position(F.array(*map(F.lit, seeds)), F.col("seed")) - 1
+    dealt = cells.repartitionById(each * len(seeds), (at * each + F.pmod(F.xxhash64("bins", "fold", "y"), F.lit(each))).cast("int")).sortWithinPartitions("bins", "fold", "y")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        at, k, held, rows = TaskContext.get().partitionId(), 0, [], 0
+
+        def block():
+            t = pa.Table.from_batches(held).combine_chunks()
+            of = lambda c, d: t.column(c).to_numpy().astype(d).tobytes()
+            bins = t.column("bins").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("u1").tobytes()
+            return pa.RecordBatch.from_pydict({"seed": pa.array([t.column("seed")[0].as_py()], pa.int32()), "block": pa.array([(at << 20) + k], pa.int64()), "fold": pa.array([of("fold", "<i4")], pa.binary()), "y": pa.array([of("y", "u1")], pa.binary()), "n": pa.array([of("n", "<i8")], pa.binary()), "bins": pa.array([bins], pa.binary())})
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BLOCK:
+                yield block()
+                held, rows, k = [], 0, k + 1
+        if rows:
+            yield block()
+
+    return settle(dealt.mapInArrow(run, "seed int, block long, fold binary, y binary, n binary, bins binary"), "blocks"), each * len(seeds)
+
+
+def _sides(bins: np.ndarray, native: bool) -> np.ndarray:
+    """Columns that splits are of: natively each feature twice, missing values below all others and above."""
+    return np.ascontiguousarray(np.hstack([bins, np.where(bins == 0, BINS + 1, bins)]).astype(np.uint8) if native else bins)
+
+
+def _walk(flat: np.ndarray, at: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    """The node, of a heap, that each row reaches within some levels; ``at`` are offsets of rows in ``flat``."""
+    node = np.zeros(len(at), np.int32)
+    for _ in range(levels):
+        own = feature[node]
+        split = own >= 0
+        if not split.any():
+            break
+        right = flat[at + np.maximum(own, 0)] > cut[node]
+        node = np.where(split, 2 * node + 1 + right, node)
+    return node
+
+
+def _sums(blocks: DataFrame, tasks: int, grown: dict, subsets: dict, width: int, native: bool, level: int, seed: int) -> DataFrame:
+    """seed, fold, tree, sums: of each block and tree the drawn rows of a level by node, column, bin and label."""
+    cuts, first, side = np.array(poisson_cuts(15)), (1 << level) - 1, 2 * (BINS + 2)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                s, fold, y, n = r["seed"], np.frombuffer(r["fold"], "<i4"), np.frombuffer(r["y"], "u1"), np.frombuffer(r["n"], "<i8")
+                columns = _sides(np.frombuffer(r["bins"], "u1").reshape(len(y), width), native)
+                for f in sorted(k for q, k in grown if q == s):
+                    own = np.flatnonzero(fold != f)
+                    many, trees, sums = np.flatnonzero(n[own] > 1), [], []
+                    lam = n[own][many].astype(float)
+                    for t, (feature, cut, open_) in enumerate(zip(*grown[s, f][:3], strict=True)):
+                        if not open_[first : 2 * first + 1].any():
+                            continue
+                        draw = np.random.Generator(np.random.SFC64([seed, s, f, t, r["block"]]))
+                        # Equal rows are one cell: the sum of n draws of mean 1 is a draw of mean n.
+                        w = np.searchsorted(cuts, draw.random(len(own)), side="right")
+                        w[many] = draw.poisson(lam)
+                        taken = np.flatnonzero(w)
+                        at = own[taken].astype(np.int64) * columns.shape[1]
+                        node = _walk(columns.ravel(), at, feature, cut, level)
+                        live = np.flatnonzero((node >= first) & open_[node])
+                        at, node, w, label = at[live], node[live] - first, w[taken[live]], y[own[taken[live]]]
+                        ask, base, size = subsets[s, f][t], node * side + label, (first + 1) * side
+                        found = [np.bincount(base + 2 * columns.ravel()[at + ask[node, j]], w, size) for j in range(ask.shape[1])]
+                        trees.append(t)
+                        sums.append(np.array(found).astype("<i8").tobytes())
+                    k = len(trees)
+                    yield pa.RecordBatch.from_pydict({"seed": pa.array([s] * k, pa.int32()), "fold": pa.array([f] * k, pa.int32()), "tree": pa.array(trees, pa.int32()), "sums": pa.array(sums, pa.binary())})
+
+    return blocks.repartitionById(tasks, F.shiftright("block", 20).cast("int")).mapInArrow(run, "seed int, fold int, tree int, sums binary")
+
+
+def _splits(sums: DataFrame, level: int) -> DataFrame:
+    """seed, fold, tree, node, p, at, cut, low, high, more_low, more_high: a node's share of label 1 and its split of the
+    largest fall of Gini impurity, with both sides' shares and whether they are mixed; ``at`` is null without one."""
+    nodes, bins = 1 << level, BINS + 2
+
+    def run(key, table):
+        total = sum(np.frombuffer(x.as_py(), "<i8") for x in table.column("sums"))
+        h = total.reshape(-1, nodes, bins, 2).astype(float)
+        left = h.cumsum(axis=2)
+        whole = left[:, :, -1:, :]
+        right = whole - left
+        rest = lambda x: np.divide(x[..., 0] * x[..., 1], x.sum(axis=-1), out=np.zeros(x.shape[:-1]), where=x.sum(axis=-1) > 0)
+        gain = np.where((left.sum(axis=-1) > 0) & (right.sum(axis=-1) > 0), rest(whole) - rest(left) - rest(right), 0.0)
+        rows = []
+        for k in range(nodes):
+            size = whole[0, k, 0].sum()
+            if size == 0:
+                continue
+            j, b = np.unravel_index(np.argmax(gain[:, k]), gain[:, k].shape)
+            row = {"seed": key[0].as_py(), "fold": key[1].as_py(), "tree": key[2].as_py(), "node": nodes - 1 + k, "p": whole[0, k, 0, 1] / size}
+            if gain[j, k, b] > 1e-9:
+                a, z = left[j, k, b], right[j, k, b]
+                row |= {"at": int(j), "cut": int(b), "low": a[1] / a.sum(), "high": z[1] / z.sum(), "more_low": bool(a.all()), "more_high": bool(z.all())}
+            rows.append(row)
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    schema = pa.schema([("seed", pa.int32()), ("fold", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("p", pa.float64()), ("at", pa.int32()), ("cut", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("more_low", pa.bool_()), ("more_high", pa.bool_())])
+    return sums.groupBy("seed", "fold", "tree").applyInArrow(run, "seed int, fold int, tree int, node int, p double, at int, cut int, low double, high double, more_low boolean, more_high boolean")
+
+
+def _predicted(rows: DataFrame, key: str, grown: dict, native: bool, width: int, depth: int) -> DataFrame:
+    """seed, fold, key, p: the mean share of the leaves that a row reaches in the forest without its fold."""
+    schema = rows.select(F.lit(0).alias("seed"), F.lit(0).alias("fold"), key, F.lit(0.0).alias("p")).schema
+
+    def run(batches):
+        for batch in batches:
+            columns = _sides(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype("u1").reshape(batch.num_rows, width), native)
+            flat, offsets = columns.ravel(), np.arange(batch.num_rows, dtype=np.int64) * columns.shape[1]
+            folds = batch.column(1)
+            starts, parts = np.diff(folds.offsets.to_numpy()), folds.flatten()
+            row, seeds, fold = np.repeat(np.arange(batch.num_rows), starts), parts.field(0).to_numpy(), parts.field(1).to_numpy()
+            for (s, f), (feature, cut, _, value) in grown.items():
+                own = row[(seeds == s) & (fold == f)]
+                total = np.zeros(len(own))
+                for t in range(len(feature)) if len(own) else ():
+                    total += value[t][_walk(flat, offsets[own], feature[t], cut[t], depth)]
+                k = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([s] * k, pa.int32()), pa.array([f] * k, pa.int32()), batch.column(0).take(pa.array(own)), pa.array(total / len(feature))], names=schema.names)
+
+    return rows.select(key, "folds", "bins").mapInArrow(run, schema)
+
+
+def out_of_fold(rows: DataFrame, assigned: DataFrame, key: str, y: str, features: list[str], protocol: str = "native", trees: int = 100, depth: int = 6, seed: int = 7) -> DataFrame:
     """seed, fold, key, p: each row's probability by the forest that its fold was left out of.
 
-    ``rows`` has key, y and the features; ``assigned`` has seed, fold and key, and is narrow. The assembled matrix
-    is written once, each row with its folds by seed, dealt and sorted by key, so that every fit reads its rows in
-    one order without a join or sort of its own. One fit for each (seed, fold), ``parallel`` at a time; each writes
-    its predictions and lets its forest go. The list of (seed, fold) is small by design.
+    ``rows`` has key, y and the features; ``assigned`` has seed, fold and key, and is narrow. With the protocol nan0
+    missing is 0; natively a feature is two columns, in which missing lies below and above all values, so that a split can
+    send it either way. Features are cut into bins by the values of all rows, labels aside. Rows of equal bins, label
+    and fold are one cell with a count; a tree draws a Poisson weight of that mean, which is what single rows' draws
+    add up to. All seeds' and folds' trees grow a level at a time, in one pass of blocks of cells: tasks sum drawn
+    rows by node, column, bin and label for the columns drawn at each node (as many as the root of all), and a tree's sums meet in
+    one group. What reaches the driver are splits, at most 2 ** depth a tree.
     """
-    encoded, names = encode_missing(rows.where(F.col(y).isNotNull()), features, protocol)
-    vectors = VectorAssembler(inputCols=names, outputCol="__features").transform(encoded).select(key, F.col(y).cast("double").alias("y"), "__features")
-    own = assigned.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("seed", "fold"))).alias("__folds"))  # a row a seed
-    spark = rows.sparkSession
-    root = f"{shared_root(spark)}/forests-{uuid.uuid4().hex}"
-    ready = vectors.join(own, key)
-    ready.repartition(F.col(key)).sortWithinPartitions(key).write.parquet(f"{root}/rows")
-    read = spark.read.schema(ready.schema).parquet(f"{root}/rows")
-    parts = sorted((r["seed"], r["fold"]) for r in read.select(F.explode("__folds").alias("seed", "fold")).distinct().collect())
-    empty = spark.createDataFrame([], read.select(F.lit(0).alias("seed"), F.lit(0).alias("fold"), key, F.lit(0.0).alias("p")).schema)
-
-    def fit(part):
-        s, f = part
-        at = F.element_at("__folds", F.lit(s))
-        forest = RandomForestClassifier(featuresCol="__features", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
-        model = forest.fit(read.where(at != f).select("y", "__features"))
-        p = F.element_at(vector_to_array("probability"), -1)
-        model.transform(read.where(at == f)).select(F.lit(s).alias("seed"), F.lit(f).alias("fold"), key, p.alias("p")).write.parquet(f"{root}/p/{s}-{f}")
-
-    with ThreadPool(parallel) as pool:
-        pool.map(fit, parts, chunksize=1)
-    return spark.read.schema(empty.schema).parquet(*[f"{root}/p/{s}-{f}" for s, f in parts]) if parts else empty
+    native = protocol != "nan0"
+    known = rows.where(F.col(y).isNotNull()).select(key, F.col(y).cast("int").alias("y"), *[(F.col(c) if native else F.coalesce(F.col(c), F.lit(0.0))).cast("double").alias(c) for c in features])
+    known = settle(known, "forest-rows")
+    cuts = thresholds(known, features)
+    own = assigned.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("seed").cast("int").alias("seed"), F.col("fold").cast("int").alias("fold")))).alias("folds"))  # a row a seed
+    ready = settle(known.select(key, "y", F.array(*[bin_of(c, cuts[c]) for c in features]).alias("bins")).join(own, key), "forest-bins")
+    cells = ready.select(F.explode("folds").alias("r"), "y", "bins").groupBy("r.seed", "r.fold", "y", "bins").agg(F.count("*").alias("n"))
+    cells = settle(cells, "forest-cells")
+    parts = sorted((r["seed"], r["fold"]) for r in cells.select("seed", "fold").distinct().collect())
+    columns, nodes = len(features) * (2 if native else 1), (2 << depth) - 1
+    asked = columns if trees == 1 else math.ceil(math.sqrt(columns))
+    # A tree: the column and the bin of each node's split (-1: a leaf), whether it is still open, its share of label 1.
+    grown = {p: (np.full((trees, nodes), -1, np.int16), np.zeros((trees, nodes), np.uint8), np.zeros((trees, nodes), bool), np.zeros((trees, nodes), np.float64)) for p in parts}
+    for _, _, open_, _ in grown.values():
+        open_[:, 0] = True
+    blocks, tasks = _blocks(cells, sorted({s for s, _ in parts})) if parts else (cells, 0)
+    for level in range(depth if parts else 0):
+        subsets = {p: np.random.default_rng([seed, *p, level]).permuted(np.tile(np.arange(columns, dtype=np.int16), (trees, 1 << level, 1)), axis=2)[:, :, :asked] for p in parts}
+        found = _splits(_sums(blocks, tasks, grown, subsets, len(features), native, level, seed), level).collect()
+        for r in found:
+            feature, cut, open_, value = grown[r["seed"], r["fold"]]
+            t, k = r["tree"], r["node"]
+            value[t, k] = r["p"]
+            if r["at"] is not None:
+                feature[t, k], cut[t, k] = subsets[r["seed"], r["fold"]][t, k - (1 << level) + 1, r["at"]], r["cut"]
+                value[t, 2 * k + 1], value[t, 2 * k + 2], open_[t, 2 * k + 1], open_[t, 2 * k + 2] = r["low"], r["high"], r["more_low"], r["more_high"]
+        if not any(x[2][:, (2 << level) - 1 :].any() for x in grown.values()):
+            break
+    return settle(_predicted(ready, key, grown, native, len(features), depth), "forest-predictions")

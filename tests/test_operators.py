@@ -512,3 +512,17 @@ def test_ingredient_rows_are_dealt_by_number(spark, small_dir, monkeypatch):
     assert len(held) >= 10 and max(r["count"] for r in held) <= 1000
     rows = queries.fx.matrix(spark, small_dir)
     assert rows.rdd.getNumPartitions() == -(-queries.table(spark, small_dir, "lineitem").count() // 500)
+
+
+def test_forests_grow_together_over_cells_of_equal_rows(spark, monkeypatch):
+    """Copies of rows are counted, not multiplied; and a signal of two columns is found out of fold."""
+    rows = [(c * 100 + k, int(k % 10 > 4) ^ int(k // 10 > 4), float(k % 10), None if k % 7 == 0 and k // 10 > 4 else float(k // 10)) for c in range(40) for k in range(100)]
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double")
+    assigned = df.select(F.explode(F.array(F.lit(0), F.lit(3))).alias("seed"), (F.col("k") / 100 % 5).cast("int").alias("fold"), "k")
+    written, real = {}, models.settle
+    monkeypatch.setattr(models, "settle", lambda d, tag: written.setdefault(tag, real(d, tag)))
+    got = models.out_of_fold(df, assigned, "k", "y", ["a", "b"], trees=10)
+    assert got.count() == got.select("seed", "k").distinct().count() == 8000
+    assert written["forest-cells"].count() == 2 * 5 * 100 and written["forest-cells"].agg(F.sum("n")).first()[0] == 8000
+    right = got.join(df.select("k", "y"), "k").where((F.col("p") >= 0.5).cast("int") == F.col("y")).count()
+    assert right >= 7600
