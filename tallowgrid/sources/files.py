@@ -15,9 +15,46 @@ from tallowgrid.session import settle
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, sha256 of every file: compared with stored hashes, it proves originals unchanged."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    """path, sha256 of every file: compared with stored hashes, it proves originals unchanged.
+
+    A file is read in pieces of 1 MB, so its size isn't bounded by a row or by memory; a file is a task. A SHA-256 takes
+    bytes in their order, so one task reads a whole file: ``tree_hashes`` are for many tasks. Stores that Arrow has no
+    file system for are read by Spark, a file a row.
+    """
+    found = _listed(spark, path, pattern)
+    files, one = found.count(), found.first()
+    try:
+        if one:
+            open_file(one["path"]).close()
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):  # no such scheme
+        whole = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+        return whole.select("path", F.sha2("content", 256).alias("sha256"))
+
+    def run(batches):
+        for batch in batches:
+            uris, sizes = (c.to_pylist() for c in batch.columns)
+            digests = [_digest(uri, 0, size).hex() for uri, size in zip(uris, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["path", "sha256"])
+
+    return found.repartition(max(files, 1)).mapInArrow(run, "path string, sha256 string")
+
+
+def _listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """path, length of every file; contents aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+def _digest(uri: str, start: int, size: int) -> bytes:
+    """The SHA-256 of ``size`` bytes of a file, of which 1 MB is held."""
+    digest, left = hashlib.sha256(), size
+    with open_file(uri) as f:
+        f.seek(start)
+        while left > 0 and (piece := f.read(min(left, 1 << 20))):
+            digest.update(piece)
+            left -= len(piece)
+    if left > 0:
+        raise OSError(f"{uri} ended {left} bytes before its length")
+    return digest.digest()
 
 
 def open_file(uri: str):
@@ -35,22 +72,11 @@ def range_hashes(spark: SparkSession, path: str, pattern: str = "*", size: int =
 
     A range is a row, so a file of any size is read by as many tasks as it has ranges; a task holds 1 MB of it.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length")
-    ranges = found.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("at"))
+    ranges = _listed(spark, path, pattern).select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size))).alias("at"))
 
     def run(batches):
         for batch in batches:
-            digests = []
-            for uri, length, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                digest, left = hashlib.sha256(), min(size, length - at * size)
-                with open_file(uri) as f:
-                    f.seek(at * size)
-                    while left > 0 and (piece := f.read(min(left, 1 << 20))):
-                        digest.update(piece)
-                        left -= len(piece)
-                if left > 0:
-                    raise OSError(f"{uri} ended before its length of {length} bytes")
-                digests.append(digest.digest())
+            digests = [_digest(uri, at * size, min(size, length - at * size)) for uri, length, at in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * len(digests), pa.int32()), batch.column(2), pa.array(digests, pa.binary())], names=["path", "level", "at", "digest"])
 
     return ranges.repartition(F.col("path"), F.col("at")).mapInArrow(run, "path string, level int, at long, digest binary")

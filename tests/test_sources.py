@@ -154,3 +154,17 @@ def test_trees_of_hashes(spark, tmp_path):
     changed[4321] ^= 1
     (tmp_path / "d" / "big.bin").write_bytes(changed)
     assert [r["at"] for r in files.changed_ranges(make(3), stored).collect()] == [43]
+
+
+def test_hashes_of_files_beyond_a_row(spark, tmp_path):
+    """A file may be larger than what Spark puts into one row."""
+    import hashlib
+
+    data = bytes(i * 7 % 251 for i in range(3_000_000))
+    (tmp_path / "big.bin").write_bytes(data)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        got = [tuple(r) for r in files.file_hashes(spark, str(tmp_path), "*.bin").collect()]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == [((tmp_path / "big.bin").as_uri().replace("file:///", "file:/"), hashlib.sha256(data).hexdigest())]
