@@ -526,3 +526,16 @@ def test_forests_grow_together_over_cells_of_equal_rows(spark, monkeypatch):
     assert written["forest-cells"].count() == 2 * 5 * 100 and written["forest-cells"].agg(F.sum("n")).first()[0] == 8000
     right = got.join(df.select("k", "y"), "k").where((F.col("p") >= 0.5).cast("int") == F.col("y")).count()
     assert right >= 7600
+
+
+def test_the_join_with_substances_sorts_no_ingredient_rows(spark):
+    """However many rows a task gets it holds its substances alone; rows without a substance stay."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mixtures.ingredient_rows(spark.range(700).selectExpr("id AS f", "id % 7 AS s"), spark.range(5).selectExpr("id AS s", "id * 10 AS x"))
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {(r["s"], r["x"], r["count"]) for r in found.groupBy("s", "x").count().collect()} == {(s, s * 10 if s < 5 else None, 100) for s in range(7)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
