@@ -502,6 +502,34 @@ def test_nearest_fingerprints_are_those_of_all_pairs(spark, monkeypatch):
     assert fingerprints.nearest(df.limit(0), df.limit(0), "k").count() == 0
 
 
+def test_copies_of_fingerprints_are_compared_once(spark, monkeypatch):
+    """Rows of equal fingerprints cost one comparison, in whatever batches they come; a row of no fold is no candidate."""
+    import random
+
+    from tallowgrid.operators import fingerprints
+
+    monkeypatch.setattr(fingerprints, "BLOCK", 64)
+    monkeypatch.setattr(fingerprints, "QUERY_BLOCK", 32)
+    monkeypatch.setattr(fingerprints, "COLUMNS", 8, raising=False)
+    rng = random.Random(4)
+    texts = [{rng.randrange(1024) for _ in range(rng.choice([1, 30, 60, 200, 1000]))} for _ in range(40)]
+    # Thirty copies a text: of the first ten texts in two folds, of the others in one.
+    sets = {k: (texts[k % 40], k % 40 % 3 + (k % 40 < 10 and k % 7 == 0) * 3) for k in range(1200)}
+    rows = [(k, fold, len(s), sorted(s)) for k, (s, fold) in sets.items()] + [(5000, None, 5, [1, 2, 3, 4, 5])]
+    df = spark.createDataFrame(rows, "k long, fold int, ones int, bits array<int>").withColumn("fp", fingerprints.packed(F.col("bits")))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["query"]: r for r in fingerprints.nearest(df, df.where("k % 20 < 10"), "k").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    asked = [k for k in sets if k % 20 < 10]
+    like = [[len(a & b) / len(a | b) for b in texts] for a in texts]
+    want = {q: min((-like[q % 40][c % 40], c) for c in sets if sets[c][1] != sets[q][1]) for q in asked}
+    assert {q: (-r["score"], r["neighbour"]) for q, r in got.items()} == {q: (pytest.approx(s), c) for q, (s, c) in want.items()}
+    assert max(r["seen"] for r in got.values()) <= 32 * 50  # one row counts for a block of queries; 50 classes at most
+
+
 def test_ingredient_rows_are_dealt_by_number(spark, small_dir, monkeypatch):
     """Tasks of bounded rows however rows are compressed, and one shuffle of them for shares and sums."""
     from tallowgrid import session
