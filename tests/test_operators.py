@@ -567,3 +567,68 @@ def test_the_join_with_substances_sorts_no_ingredient_rows(spark):
         assert {(r["s"], r["x"], r["count"]) for r in found.groupBy("s", "x").count().collect()} == {(s, s * 10 if s < 5 else None, 100) for s in range(7)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_variants_grow_in_one_pass(spark, monkeypatch):
+    """Models of the same rows share cells, blocks and levels; a variant is the forest that it would be alone."""
+    rows = [(k, int(k % 10 > 4), float(k % 10), None if k % 7 == 0 else float(k // 10 % 10), float(k % 3)) for k in range(600)]
+    df = spark.createDataFrame(rows, "k int, y int, a double, b double, c double")
+    assigned = df.select(F.lit(0).alias("seed"), (F.col("k") / 10 % 5).cast("int").alias("fold"), "k")
+    passes, real = [], models._sums
+    monkeypatch.setattr(models, "_sums", lambda *args: passes.append(1) or real(*args))
+    variants = {"all": (["a", "b", "c"], True), "filled": (["a", "c"], False), "one": (["b"], True)}
+    got = models.out_of_fold_each(df, assigned, "k", "y", variants, trees=6, depth=3)
+    by = {v: {r["k"]: r["p"] for r in got.where(F.col("variant") == v).collect()} for v in variants}
+    assert len(passes) <= 3 and all(len(p) == 600 for p in by.values())
+    alone = {r["k"]: r["p"] for r in models.out_of_fold(df, assigned, "k", "y", ["a", "b", "c"], trees=6, depth=3).collect()}
+    assert by["all"] == alone
+    assert all(sum((by[v][k] >= 0.5) == bool(y) for k, y, *_ in rows) > 560 for v in ("all", "filled"))
+
+
+def test_arms_and_protocols_are_grown_together(spark, small_dir, monkeypatch):
+    """Metrics of 3 protocols and 3 arms take one growth of forests a mapping of labels; trained arms take one."""
+    from tallowgrid.plans import queries
+
+    grown = []
+
+    def seen(rows, assigned, key, y, variants, **options):
+        grown.append((variants, options))
+        names = F.explode(F.array(*map(F.lit, variants))).alias("variant")
+        return assigned.join(rows.select(key, *{c for used, _ in variants.values() for c in used}), key).select(names, "seed", "fold", key, (F.abs(F.hash(F.col(key))) % 100 / 100.0).alias("p"))
+
+    monkeypatch.setattr(models, "out_of_fold_each", seen)
+    found = queries.model_metrics(spark, small_dir).collect()
+    assert len(found) == len({(r["jur"], r["protocol"], r["arm"]) for r in found}) == 36 and sum(r["headline"] for r in found) == 1
+    assert len(grown) == 2 and all(len(v) == 9 and o == {"trees": 20} for v, o in grown)
+    for variants, _ in grown:
+        assert {n: len(used) for n, (used, _) in variants.items()} == {f"{p}+{a}": len(queries.fx.columns_of(a)) for p in matrix.PROTOCOLS for a in queries.ARMS}
+        assert all(native == (not n.startswith("nan0")) for n, (_, native) in variants.items())
+        assert "conc_total_frozen" in variants["native+A2"][0] and "conc_total_frozen@native_restored" in variants["native_restored+A2"][0]
+    grown.clear()
+    assert {r["arm"] for r in queries.arm_verdicts(spark, small_dir).collect()} == {"A2", "A3"}
+    assert [v for v, _ in grown] == [{a: (queries.fx.columns_of(a), True) for a in queries.ARMS}]
+
+
+def test_weights_of_cells_are_poisson():
+    """Looked up or not, the sum of a cell's draws has its count as mean and variance."""
+    import numpy as np
+
+    n = np.sort(np.concatenate([np.repeat([1, 2, 9, 100, 3000], 20_000), np.arange(101, 131)]))
+    runs, rest = models._runs(n)
+    assert [m for m, _, _ in runs] == [1, 2, 9, 100] and len(rest) == 20_030
+    w = models._weights(np.random.Generator(np.random.SFC64(5)), n, runs, rest).astype(float)
+    for mean in (1, 2, 9, 100, 3000):
+        own = w[n == mean]
+        assert own.mean() == pytest.approx(mean, abs=5 * math.sqrt(mean / len(own))) and own.var() == pytest.approx(mean, rel=0.06)
+    share = [math.exp(-1) / math.factorial(k) for k in range(4)]
+    assert [(w[n == 1] == k).mean() for k in range(4)] == pytest.approx(share, abs=0.02)
+
+
+def test_thresholds_are_quantiles_or_all_values(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("CAST(id AS double) AS a", "CAST(id % 3 AS double) AS b", "CAST(NULL AS double) AS c", "if(id % 2 = 0, CAST(id AS double), NULL) AS d")
+    want = [math.ceil(5000 * i / 32) - 1 for i in range(1, 32)]
+    assert models.thresholds(df, ["a", "b", "c", "d"])["a"] == want
+    got = models.thresholds(df, ["a", "b", "c", "d"])
+    assert got["b"] == [0.0, 1.0] and got["c"] == [] and len(got["d"]) == 31 and all(v % 2 == 0 for v in got["d"])
+    monkeypatch.setattr(models, "POINTS", 500)
+    assert all(abs(v - w) <= 5000 / 500 for v, w in zip(models.thresholds(df, ["a"])["a"], want, strict=True))
