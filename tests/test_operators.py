@@ -632,3 +632,13 @@ def test_thresholds_are_quantiles_or_all_values(spark, monkeypatch):
     assert got["b"] == [0.0, 1.0] and got["c"] == [] and len(got["d"]) == 31 and all(v % 2 == 0 for v in got["d"])
     monkeypatch.setattr(models, "POINTS", 500)
     assert all(abs(v - w) <= 5000 / 500 for v, w in zip(models.thresholds(df, ["a"])["a"], want, strict=True))
+
+
+def test_the_audited_matrix_is_built_once(spark, small_dir, monkeypatch):
+    from tallowgrid.plans import queries
+
+    built, real = [], queries.fx.matrix
+    monkeypatch.setattr(queries.fx, "matrix", lambda *args: built.append(1) or real(*args))
+    monkeypatch.setattr(models, "out_of_fold", lambda rows, assigned, *_, **__: assigned.selectExpr("seed", "fold", "f", "0.5D AS p"))
+    queries.train_predict(spark, small_dir)
+    assert len(built) == 1
